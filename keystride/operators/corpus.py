@@ -1,0 +1,100 @@
+"""Synthetic query corpus: phrase families, numbered padding, Zipf-like counts.
+
+Vocabularies are short word lists given by the caller. They are exploded next to the rows as literal
+arrays, so the combinations need no join. All chance is drawn from hashes and repeats exactly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from keystride.functions.hashing import hashed_below
+from keystride.operators.ordered import row_numbers
+from keystride.params import MAX_GROUP_ROWS
+
+MAX_VOCABULARY = 10_000
+
+# Shape of the counts and range of the numbered variants.
+TOP_COUNT = 100_000.0
+EXPONENT = 0.85
+NOISE = 50
+FIRST_NUMBER, NUMBERS = 1000, 9000
+TRIES_PER_ROW = 5
+
+
+def vocabulary(table: DataFrame, column: str, limit: int = MAX_VOCABULARY) -> Column:
+    """A column's distinct words as one array literal; too many words are an error, never a cut."""
+    words = table.select(F.col(column).alias("w")).where(F.col("w").isNotNull()).distinct()
+    some = words.limit(limit + 1).agg(F.array_sort(F.collect_list("w")).alias("all"))
+    too_many = F.raise_error(F.lit(f"{column} has more than {limit} distinct words"))
+    return some.select(F.when(F.size("all") > limit, too_many).otherwise(F.col("all")).alias("v")).scalar()
+
+
+def word_array(words: Sequence[str] | Column) -> Column:
+    return words if isinstance(words, Column) else F.array(*[F.lit(w) for w in words])
+
+
+def _family(rows: DataFrame, number: int, phrase: Column) -> DataFrame:
+    return rows.select(F.lit(number).alias("family"), phrase.alias("query"))
+
+
+def suffixed(heads: DataFrame, suffixes: Sequence[str] | Column, number: int, lead: str = "",
+             alone: bool = True) -> DataFrame:
+    """``head suffix`` for every suffix, and the bare head if ``alone``."""
+    pairs = heads.select("head", F.explode(word_array(suffixes)).alias("tail"))
+    out = _family(pairs, number, F.concat(F.lit(lead), F.col("head"), F.lit(" "), F.col("tail")))
+    return _family(heads, number, F.col("head")).unionByName(out) if alone else out
+
+
+def versus(heads: DataFrame, others: Sequence[str] | Column, number: int) -> DataFrame:
+    """``a vs b`` for every two different words."""
+    pairs = heads.select("head", F.explode(word_array(others)).alias("tail")).where(F.col("head") != F.col("tail"))
+    return _family(pairs, number, F.concat(F.col("head"), F.lit(" vs "), F.col("tail")))
+
+
+def union_families(*families: DataFrame) -> DataFrame:
+    """Each phrase once, under the first family that holds it."""
+    rows = families[0]
+    for more in families[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("query").agg(F.min("family").alias("family"))
+
+
+def ranked(corpus: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Add ``rank``: position by (family, query), from 1."""
+    return row_numbers(corpus, [], [F.asc("family"), F.asc("query")], "rank", max_group_rows)
+
+
+def pad(corpus: DataFrame, target: int, seed: str = "42", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Add ``base number`` variants until there are ``target`` different queries.
+
+    At most five tries per wanted row are made; the earliest tries that give a new text are kept.
+    """
+    base = ranked(corpus, max_group_rows)
+    size = corpus.count()
+    if size == 0 or target <= size:
+        return base
+    tries = corpus.sparkSession.range(TRIES_PER_ROW * target).select(
+        F.col("id").alias("try"),
+        (hashed_below(size, seed, "base", F.col("id")) + 1).alias("rank"),
+        (hashed_below(NUMBERS, seed, "number", F.col("id")) + FIRST_NUMBER).alias("number"),
+    )
+    named = tries.join(base.select("rank", "query"), "rank").select(
+        "try", F.concat("query", F.lit(" "), F.col("number").cast("string")).alias("query")
+    )
+    new = named.groupBy("query").agg(F.min("try").alias("try")).join(corpus.select("query"), "query", "left_anti")
+    numbered = row_numbers(new, [], [F.asc("try")], "_n", max_group_rows).where(F.col("_n") <= target - size)
+    last_family = 6  # the padding comes after all phrase families
+    return base.unionByName(numbered.select(
+        "query", F.lit(last_family).alias("family"), (F.col("_n") + size).alias("rank")
+    ))
+
+
+def zipf_counts(corpus: DataFrame, seed: str = "42") -> DataFrame:
+    """Add ``count``: a power of the rank plus a small hashed noise."""
+    power = F.floor(F.lit(TOP_COUNT) / F.pow(F.col("rank").cast("double"), F.lit(EXPONENT)))
+    noise = hashed_below(NOISE, seed, "noise", F.col("query")) + 1
+    return corpus.withColumn("count", power + noise)
