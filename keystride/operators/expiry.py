@@ -78,7 +78,7 @@ def refills(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts", reques
         .groupBy(key, "ms").agg(F.min(request_id).alias(request_id))
     )
     sliced = once.groupBy(key, F.floor(F.col("ms") / F.lit(slice_ms)).alias("slice")).agg(
-        F.array_sort(F.collect_list("ms")).alias("times")  # slice_ms entries at most
+        F.sort_array(F.collect_list("ms")).alias("times")  # slice_ms entries at most
     )
     summary = sliced.select(key, "slice", _summarize(ttl_ms, slice_ms, entries is not None)("times", "slice").alias("s"))
     packed = summary.select(key, F.struct("slice", "s.upto", "s.leaves").alias("s"))
@@ -89,7 +89,7 @@ def refills(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts", reques
             F.array(F.col("ends_ms")).alias("leaves"),
         )
         packed = packed.unionByName(entries.select(F.col(key), carried.alias("s")))
-    chained = packed.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("slices"))
+    chained = packed.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("slices"))
     entered = chained.select(key, F.explode(_chain()("slices")).alias("e")).select(key, "e.slice", "e.inherits")
     replayed = sliced.join(entered, [key, "slice"]).select(
         key,

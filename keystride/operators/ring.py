@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,13 +20,17 @@ _LOWEST, _HIGHEST = -(2 ** 63), 2 ** 63 - 1
 _BUCKET_BITS = 12  # 4096 slices of the ring; 64-bit positions are shifted down to a slice number
 
 
+def node_label(index: Column, spec: Column) -> Column:
+    """``node-i (host:port/db)`` of one ``host:port[:db]`` item; the db defaults to 0."""
+    parts = F.split(F.trim(spec), ":")
+    db = F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0))
+    return F.format_string("node-%d (%s:%d/%d)", index, parts[0], parts[1].cast("int"), db)
+
+
 def parse_nodes(specs: DataFrame, column: str = "spec") -> DataFrame:
-    """``host:port[:db], ...`` lists to ``node_index, node``; the label shows host, port and db."""
+    """Comma-separated ``host:port[:db]`` lists to ``node_index, node``."""
     listed = specs.select(F.posexplode(F.split(F.col(column), ",")).alias("node_index", "item"))
-    parts = F.split(F.trim("item"), ":")
-    db = F.coalesce(F.try_element_at(parts, F.lit(3)).cast("int"), F.lit(0))
-    label = F.format_string("node-%d (%s:%d/%d)", F.col("node_index"), parts[0], parts[1].cast("int"), db)
-    return listed.select("node_index", label.alias("node"))
+    return listed.select("node_index", node_label(F.col("node_index"), F.col("item")).alias("node"))
 
 
 def nodes_from_spec(spark: SparkSession, spec: str) -> DataFrame:
@@ -43,7 +47,7 @@ def build_ring(nodes: DataFrame, virtual_nodes: int = VIRTUAL_NODES) -> DataFram
     return spots.groupBy(pos.alias("pos")).agg(last.alias("n")).select("pos", "n.node_index", "n.node")
 
 
-def _bucket(pos):
+def _bucket(pos: Column) -> Column:
     return F.shiftright(pos, 64 - _BUCKET_BITS)
 
 
@@ -172,7 +176,7 @@ def placement(prefixes: DataFrame, nodes: DataFrame, stored: DataFrame, as_of,
     live = stored.where(F.col("expires_at") > as_of).select("cache_key", "expires_at", "node")
     counted = keys_per_node(live, nodes)
     # One row per node in one array: as long as the node list.
-    ring = counted.agg(F.array_sort(F.collect_list(F.struct(
+    ring = counted.agg(F.sort_array(F.collect_list(F.struct(
         F.col("node_index"), F.col("node"), F.lit(virtual_nodes).alias("virtual_nodes"), F.col("keys").alias("live_keys")
     ))).alias("ring")).scalar()
     left = F.floor((F.unix_micros("expires_at") - F.unix_micros(as_of)) / F.lit(1_000_000))

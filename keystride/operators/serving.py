@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import text
 from keystride.operators import prefix, ring
+from keystride.session import materialize
 from keystride.params import ALPHA, K, TTL_POPULARITY_SECONDS, TTL_RECENCY_SECONDS
 
 _EMPTY_LIST = "[]"
@@ -18,7 +19,7 @@ _EMPTY_LIST = "[]"
 def as_lists(ranked: DataFrame, by: str = "prefix") -> DataFrame:
     """``by, value``: the ranked rows of each group as one JSON list of (query, count)."""
     # A group has at most k rows by now.
-    rows = F.array_sort(F.collect_list(F.struct("rank", "query", "count")))
+    rows = F.sort_array(F.collect_list(F.struct("rank", "query", "count")))
     pairs = F.transform(rows, lambda r: F.struct(r["query"].alias("query"), r["count"].alias("count")))
     return ranked.groupBy(by).agg(text.list_to_json(pairs).alias("value"))
 
@@ -89,7 +90,8 @@ def answer(requests: DataFrame, stored: DataFrame, dictionary: DataFrame, scores
     asked = resolve(requests)
     live = stored.where(F.col("expires_at") > as_of).select("cache_key", "value")
     needed = asked.where(F.col("cache_key").isNotNull()).select("prefix", "mode", "cache_key").distinct()
-    missing = needed.join(live, "cache_key", "left_anti")
+    # Kept once: several branches of the computation read it.
+    missing = materialize(needed.join(live, "cache_key", "left_anti"))
     computed = compute_lists(missing, dictionary, scores, k, alpha)
     lists = live.withColumn("source", F.lit("MATERIALIZED")).unionByName(
         computed.withColumn("source", F.lit("COMPUTED"))
