@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystride.functions import text
+from keystride.operators.prefix import sort_for_prefixes
 
 # Events name one of the 100 most frequent words by its position, 0 to 99.
 POSITIONS = 100
@@ -93,3 +94,31 @@ class TestViews:
         return self.doc_word.groupBy(F.col("doc_id").alias("line_no"), F.col("w").alias("query")).agg(
             F.count(F.lit(1)).alias("count")
         )
+
+
+class StoredViews(TestViews):
+    """The same views written once, as a running system would hold them, and read back."""
+
+    NAMES = ("search_query", "raw_event", "query_line")
+
+    def __init__(self, spark: SparkSession, folder: str, root: str):
+        super().__init__(spark, folder)
+        self.root = root
+        derived = TestViews(spark, folder)
+        for name in self.NAMES:
+            frame = getattr(derived, name)
+            if name == "search_query":
+                frame = sort_for_prefixes(frame).sortWithinPartitions("query_norm", "query")
+            frame.write.parquet(f"{root}/{name}")
+
+    @cached_property
+    def search_query(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/search_query")
+
+    @cached_property
+    def raw_event(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/raw_event")
+
+    @cached_property
+    def query_line(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/query_line")
