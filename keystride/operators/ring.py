@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from keystride.functions import text
 from keystride.functions.hashing import ring_position
 from keystride.params import MAX_BROADCAST_ROWS, VIRTUAL_NODES
+from keystride.session import materialize
 
 _LOWEST, _HIGHEST = -(2 ** 63), 2 ** 63 - 1
 _BUCKET_BITS = 12  # 4096 slices of the ring; 64-bit positions are shifted down to a slice number
@@ -54,27 +55,32 @@ def _bucket(pos: Column) -> Column:
 def build_arcs(ring: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``lo, hi, node_index, node``: a key with ``lo < position <= hi`` belongs to the node.
 
-    Positions are numbered inside slices of the ring and only the slices' last positions (a bounded
-    number) are put in order, so a ring of any size is built without one task holding all of it.
+    Neighbours are found inside slices of the ring; between slices only their last positions (one
+    row per slice, 4096 at most) are put in order, so no task holds all of a large ring.
     ``by`` keeps several rings apart.
     """
+    ring = materialize(ring)  # small next to the keys, and read twice
     sliced = ring.withColumn("_b", _bucket(F.col("pos")))
     lasts = sliced.groupBy(*by, "_b").agg(F.max("pos").alias("_last"))
-    before = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b"))).drop("_last")
+    order = Window.partitionBy(*by)
+    before = lasts.select(
+        *by, "_b", F.lag("_last").over(order.orderBy("_b")).alias("_before"), F.max("_last").over(order).alias("_top")
+    )
     inside = F.lag("pos").over(Window.partitionBy(*by, "_b").orderBy("pos"))
-    placed = sliced.withColumn("_in", inside).join(before, [*by, "_b"]).withColumn(
-        "lo", F.coalesce("_in", "_before")
+    placed = sliced.withColumn("_in", inside).join(F.broadcast(before), [*by, "_b"]).withColumn(
+        "_lo", F.coalesce("_in", "_before")
+    )
+
+    def arc(lo: Column, hi: Column, closed: bool) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(closed).alias("closed"))
+
+    # The lowest position owns all below it, and what lies past the highest one.
+    wrapped = F.array(arc(F.lit(_LOWEST), F.col("pos"), True), arc(F.col("_top"), F.lit(_HIGHEST), False))
+    normal = F.array(arc(F.col("_lo"), F.col("pos"), False))
+    arcs = placed.select(
+        *by, F.explode(F.when(F.col("_lo").isNull(), wrapped).otherwise(normal)).alias("a"), "node_index", "node"
     )
-    # The lowest position also owns what lies past the highest one.
-    tops = ring.groupBy(*by).agg(F.max("pos").alias("_top"), F.min("pos").alias("_low"))
-    whole = F.struct(F.lit(_LOWEST).alias("lo"), F.col("pos").alias("hi"), F.lit(True).alias("closed"))
-    wrap = F.struct(F.col("_top").alias("lo"), F.lit(_HIGHEST).alias("hi"), F.lit(False).alias("closed"))
-    normal = F.struct(F.col("lo"), F.col("pos").alias("hi"), F.lit(False).alias("closed"))
-    firsts = placed.where(F.col("lo").isNull())
-    firsts = firsts.join(F.broadcast(tops), list(by)) if by else firsts.withColumn("_top", tops.select("_top").scalar())
-    wrapped = firsts.select(*by, F.explode(F.array(whole, wrap)).alias("a"), "node_index", "node")
-    rest = placed.where(F.col("lo").isNotNull()).select(*by, normal.alias("a"), "node_index", "node")
-    return rest.unionByName(wrapped).select(*by, "a.lo", "a.hi", "a.closed", "node_index", "node")
+    return materialize(arcs.select(*by, "a.lo", "a.hi", "a.closed", "node_index", "node"))
 
 
 def assign(keys: DataFrame, arcs: DataFrame, key: str = "key", by: Sequence[str] = (),

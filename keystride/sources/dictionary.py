@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from keystride.operators.merge import DICTIONARY, upsert
 from keystride.operators.prefix import sort_for_prefixes
+from keystride.params import MAX_BROADCAST_ROWS
 
 
 class DictionaryStore:
@@ -74,7 +75,11 @@ class DictionaryStore:
         named = self._read("batch_id bigint, rows bigint", "commits").where(F.col("batch_id") > through)
         schema = DICTIONARY.simpleString().removeprefix("struct<").removesuffix(">") + ",batch_id:bigint"
         deltas = self._read(schema.replace(":", " "), "delta").where(F.col("batch_id") > through)
-        return deltas.join(named.select("batch_id"), "batch_id", "left_semi")
+        named = named.select("batch_id")
+        # One row per batch since the last compaction. Beyond the bound Spark picks the join.
+        if named.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+            named = F.broadcast(named)
+        return deltas.join(named, "batch_id", "left_semi")
 
     def read(self) -> DataFrame:
         """Base and pending deltas, merged."""
