@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str, master: str | None = None, **settings: str) -> SparkSession:
@@ -48,3 +50,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so later readers all see the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def empty_table(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """No rows of the given schema, without a Python worker."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])

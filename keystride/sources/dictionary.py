@@ -12,11 +12,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from keystride.operators.merge import DICTIONARY, upsert
 from keystride.operators.prefix import sort_for_prefixes
 from keystride.params import MAX_BROADCAST_ROWS
+from keystride.session import empty_table
 
 
 class DictionaryStore:
@@ -31,7 +33,7 @@ class DictionaryStore:
         except AnalysisException as problem:
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
 
     def _note(self, folder: str, **values: int) -> None:
         row = self.spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in values.items()])
@@ -49,7 +51,7 @@ class DictionaryStore:
         self._note(f"versions/version={version}", through=through)
 
     def is_empty(self) -> bool:
-        return self.read().isEmpty()
+        return self.base().isEmpty() and self.pending().isEmpty()
 
     def load_if_empty(self, rows: DataFrame) -> bool:
         """First load; does nothing and returns False once any row exists."""
@@ -66,16 +68,19 @@ class DictionaryStore:
     def base(self) -> DataFrame:
         version, _ = self._current()
         if version is None:
-            return self.spark.createDataFrame([], DICTIONARY)
+            return empty_table(self.spark, DICTIONARY)
         return self.spark.read.schema(DICTIONARY).parquet(f"{self.root}/base/version={version}")
 
+    def _committed(self) -> DataFrame:
+        """Batches committed since the base was written."""
+        _, through = self._current()
+        return self._read("batch_id bigint, rows bigint", "commits").where(F.col("batch_id") > through)
+
     def pending(self) -> DataFrame:
         """Committed deltas the base does not contain yet, with their ``batch_id``."""
-        _, through = self._current()
-        named = self._read("batch_id bigint, rows bigint", "commits").where(F.col("batch_id") > through)
-        schema = DICTIONARY.simpleString().removeprefix("struct<").removesuffix(">") + ",batch_id:bigint"
-        deltas = self._read(schema.replace(":", " "), "delta").where(F.col("batch_id") > through)
-        named = named.select("batch_id")
+        named = self._committed().select("batch_id")
+        fields = T.StructType([*DICTIONARY.fields, T.StructField("batch_id", T.LongType())])
+        deltas = self._read(fields, "delta")
         # One row per batch since the last compaction. Beyond the bound Spark picks the join.
         if named.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
             named = F.broadcast(named)
@@ -88,10 +93,10 @@ class DictionaryStore:
     def compact(self) -> int:
         """Write base and pending deltas as the next version; returns its number."""
         version, through = self._current()
-        last = self.pending().agg(F.max("batch_id")).first()[0]
+        last = self._committed().agg(F.max("batch_id")).first()[0]
         number = 0 if version is None else version + 1
-        merged = self.read() if last is None else upsert(
-            self.base(), self.pending().where(F.col("batch_id") <= last).drop("batch_id")
-        )
-        self._write_base(merged, number, through if last is None else last)
+        deltas = self.pending()
+        if last is not None:  # leave out what is committed while this runs
+            deltas = deltas.where(F.col("batch_id") <= last)
+        self._write_base(upsert(self.base(), deltas.drop("batch_id")), number, through if last is None else last)
         return number

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from keystride.functions import text
+from keystride.session import empty_table
 
 LINE_ORDER = ["file", "block", "line_no"]
 _LINES = T.StructType([
@@ -23,7 +24,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
-        return spark.createDataFrame([], _LINES)
+        return empty_table(spark, _LINES)
     return raw.select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"),
@@ -54,12 +55,16 @@ def parse(lines: DataFrame) -> DataFrame:
 
     The last comma separates; the query may be quoted, with inner quotes doubled.
     """
-    tail = F.substring_index("line", ",", -1)
-    head = F.substring(F.col("line"), F.lit(1), F.char_length("line") - F.char_length(tail) - 1)
-    query = text.unquote(text.strip(head))
-    count = text.parse_long(tail)
-    good = F.contains(F.col("line"), F.lit(",")) & (F.char_length(head) > 0) & (query != "") & count.isNotNull()
-    return lines.withColumns({"query": F.when(good, query), "count": F.when(good, count)})
+    cut = lines.withColumn("_tail", F.substring_index("line", ",", -1)).withColumn(
+        "_head", F.substring(F.col("line"), F.lit(1), F.char_length("line") - F.char_length("_tail") - 1)
+    )
+    read = cut.withColumn("_count", F.when(F.char_length("_head") > 0, text.parse_long(F.col("_tail"))))
+    read = read.withColumn("_text", F.when(F.col("_count").isNotNull(), text.strip(F.col("_head"))))
+    query = F.nullif(text.unquote(F.col("_text")), F.lit(""))
+    # One-element arrays keep Spark from copying the parser into every filter on its result.
+    once = read.select("*", F.explode(F.array(query)).alias("query"))
+    count = F.when(F.col("query").isNotNull(), F.col("_count"))
+    return once.withColumn("count", count).drop("_tail", "_head", "_count", "_text")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
