@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystride.functions.hashing import hashed_below
+from keystride.operators import words
 from keystride.operators.ordered import row_numbers
 from keystride.params import MAX_GROUP_ROWS
 
 MAX_VOCABULARY = 10_000
+DEFAULT_ROWS = 120_000
 
 # Shape of the counts and range of the numbered variants.
 TOP_COUNT = 100_000.0
@@ -23,49 +25,68 @@ EXPONENT = 0.85
 NOISE = 50
 FIRST_NUMBER, NUMBERS = 1000, 9000
 TRIES_PER_ROW = 5
+PADDING_FAMILY = 6  # comes after all phrase families
 
 
 def vocabulary(table: DataFrame, column: str, limit: int = MAX_VOCABULARY) -> Column:
     """A column's distinct words as one array literal; too many words are an error, never a cut."""
-    words = table.select(F.col(column).alias("w")).where(F.col("w").isNotNull()).distinct()
-    some = words.limit(limit + 1).agg(F.array_sort(F.collect_list("w")).alias("all"))
+    found = table.select(F.col(column).alias("w")).where(F.col("w").isNotNull()).distinct()
+    some = found.limit(limit + 1).agg(F.array_sort(F.collect_list("w")).alias("all"))
     too_many = F.raise_error(F.lit(f"{column} has more than {limit} distinct words"))
     return some.select(F.when(F.size("all") > limit, too_many).otherwise(F.col("all")).alias("v")).scalar()
 
 
-def word_array(words: Sequence[str] | Column) -> Column:
-    return words if isinstance(words, Column) else F.array(*[F.lit(w) for w in words])
+def word_array(listed: Sequence[str] | Column) -> Column:
+    return listed if isinstance(listed, Column) else F.array(*[F.lit(w) for w in listed])
 
 
-def _family(rows: DataFrame, number: int, phrase: Column) -> DataFrame:
-    return rows.select(F.lit(number).alias("family"), phrase.alias("query"))
+def heads(spark: SparkSession, listed: Sequence[str] | Column) -> DataFrame:
+    """``at, head``: the words with their positions."""
+    return spark.range(1).select(F.posexplode(word_array(listed)).alias("at", "head"))
 
 
-def suffixed(heads: DataFrame, suffixes: Sequence[str] | Column, number: int, lead: str = "",
+def _family(rows: DataFrame, number: int, tail_at: Column, variant: Column | int, phrase: Column) -> DataFrame:
+    """Phrases with their place: family, position of the first and second word, variant."""
+    place = F.struct(
+        F.lit(number).alias("family"), F.col("at"), tail_at.alias("tail_at"), F.lit(variant).alias("variant")
+    )
+    return rows.select(place.alias("place"), phrase.alias("query"))
+
+
+def _pairs(first: DataFrame, second: Sequence[str] | Column) -> DataFrame:
+    return first.select("at", "head", F.posexplode(word_array(second)).alias("tail_at", "tail"))
+
+
+def suffixed(first: DataFrame, suffixes: Sequence[str] | Column, number: int, leads: Sequence[str] = ("",),
              alone: bool = True) -> DataFrame:
-    """``head suffix`` for every suffix, and the bare head if ``alone``."""
-    pairs = heads.select("head", F.explode(word_array(suffixes)).alias("tail"))
-    out = _family(pairs, number, F.concat(F.lit(lead), F.col("head"), F.lit(" "), F.col("tail")))
-    return _family(heads, number, F.col("head")).unionByName(out) if alone else out
+    """``lead + head suffix`` for every suffix and lead; the bare head before them if ``alone``."""
+    pairs = _pairs(first, suffixes)
+    phrase = F.concat(F.col("head"), F.lit(" "), F.col("tail"))
+    out = _family(first.where(F.lit(alone)), number, F.lit(-1), 0, F.col("head"))
+    for variant, lead in enumerate(leads):
+        out = out.unionByName(_family(pairs, number, F.col("tail_at"), variant, F.concat(F.lit(lead), phrase)))
+    return out
 
 
-def versus(heads: DataFrame, others: Sequence[str] | Column, number: int) -> DataFrame:
+def versus(first: DataFrame, others: Sequence[str] | Column, number: int) -> DataFrame:
     """``a vs b`` for every two different words."""
-    pairs = heads.select("head", F.explode(word_array(others)).alias("tail")).where(F.col("head") != F.col("tail"))
-    return _family(pairs, number, F.concat(F.col("head"), F.lit(" vs "), F.col("tail")))
+    pairs = _pairs(first, others).where(F.col("head") != F.col("tail"))
+    return _family(pairs, number, F.col("tail_at"), 0, F.concat(F.col("head"), F.lit(" vs "), F.col("tail")))
 
 
 def union_families(*families: DataFrame) -> DataFrame:
-    """Each phrase once, under the first family that holds it."""
+    """``query, place, family``: each phrase once, at its first place."""
     rows = families[0]
     for more in families[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("query").agg(F.min("family").alias("family"))
+    first = rows.groupBy("query").agg(F.min("place").alias("place"))
+    return first.withColumn("family", F.col("place.family"))
 
 
 def ranked(corpus: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``rank``: position by (family, query), from 1."""
-    return row_numbers(corpus, [], [F.asc("family"), F.asc("query")], "rank", max_group_rows)
+    """``query, family, rank``: position by place, from 1."""
+    placed = row_numbers(corpus, [], [F.asc("place")], "rank", max_group_rows)
+    return placed.select("query", "family", "rank")
 
 
 def pad(corpus: DataFrame, target: int, seed: str = "42", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -87,9 +108,8 @@ def pad(corpus: DataFrame, target: int, seed: str = "42", max_group_rows: int =
     )
     new = named.groupBy("query").agg(F.min("try").alias("try")).join(corpus.select("query"), "query", "left_anti")
     numbered = row_numbers(new, [], [F.asc("try")], "_n", max_group_rows).where(F.col("_n") <= target - size)
-    last_family = 6  # the padding comes after all phrase families
     return base.unionByName(numbered.select(
-        "query", F.lit(last_family).alias("family"), (F.col("_n") + size).alias("rank")
+        "query", F.lit(PADDING_FAMILY).alias("family"), (F.col("_n") + size).alias("rank")
     ))
 
 
@@ -98,3 +118,16 @@ def zipf_counts(corpus: DataFrame, seed: str = "42") -> DataFrame:
     power = F.floor(F.lit(TOP_COUNT) / F.pow(F.col("rank").cast("double"), F.lit(EXPONENT)))
     noise = hashed_below(NOISE, seed, "noise", F.col("query")) + 1
     return corpus.withColumn("count", power + noise)
+
+
+def default_corpus(spark: SparkSession, target: int = DEFAULT_ROWS, seed: str = "42") -> DataFrame:
+    """``query, family, rank, count`` from the built-in word lists, padded to ``target`` queries."""
+    brands, categories, topics = (heads(spark, w) for w in (words.BRANDS, words.CATEGORIES, words.TOPICS))
+    families = union_families(
+        suffixed(brands, words.SHOP_SUFFIXES, 1),
+        suffixed(categories, words.SHOP_SUFFIXES, 2, leads=("", "best ")),
+        suffixed(topics, words.TOPIC_SUFFIXES, 3),
+        suffixed(brands, words.CATEGORIES, 4, alone=False),
+        versus(topics, words.TOPICS, 5),
+    )
+    return zipf_counts(pad(families, target, seed), seed)

@@ -92,16 +92,18 @@ def sort_for_prefixes(dictionary: DataFrame) -> DataFrame:
 
 
 def all_prefix_top(dictionary: DataFrame, k: int = K, max_length: int = MAX_PREFIX_LENGTH,
-                   wanted: DataFrame | None = None) -> DataFrame:
+                   wanted: DataFrame | None = None, cluster: bool = False) -> DataFrame:
     """``prefix, rank, query, count``: the top ``k`` of every prefix, or of the ``wanted`` ones.
 
     The rank filter becomes a group limit before the shuffle: each task forwards at most ``k`` rows
-    per prefix, so a prefix that matches a third of the dictionary stays cheap.
+    per prefix, so a prefix that matches a third of the dictionary stays cheap. Set ``cluster`` for
+    a dictionary that is not stored by normal form; see ``sort_for_prefixes``.
     """
     cut = keep = None
     if wanted is not None:
         max_length, cut, keep = only_for(wanted)
-    spread = explode_prefixes(dictionary.select("query", "query_norm", "count"), max_length)
+    rows = dictionary.select("query", "query_norm", "count")
+    spread = explode_prefixes(sort_for_prefixes(rows) if cluster else rows, max_length)
     ranked = (cut(spread) if cut else spread).withColumn(
         "rank", F.row_number().over(Window.partitionBy("prefix").orderBy(*_by_count()))
     ).where(F.col("rank") <= k)
@@ -109,10 +111,10 @@ def all_prefix_top(dictionary: DataFrame, k: int = K, max_length: int = MAX_PREF
 
 
 def all_prefix_norm_top(dictionary: DataFrame, k: int = K, max_length: int = MAX_PREFIX_LENGTH,
-                        how: str = "max") -> DataFrame:
+                        how: str = "max", cluster: bool = False) -> DataFrame:
     """As ``all_prefix_top``, on normal forms."""
     merged = per_norm(dictionary, how).withColumn("query", F.col("query_norm"))
-    return all_prefix_top(merged, k, max_length)
+    return all_prefix_top(merged, k, max_length, cluster=cluster)
 
 
 def with_scores(dictionary: DataFrame, scores: DataFrame) -> DataFrame:
@@ -153,18 +155,20 @@ def prefix_recency(dictionary: DataFrame, scores: DataFrame, prefix: str, k: int
 
 def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alpha: float = ALPHA,
                        pool: int | None = -1, max_length: int = MAX_PREFIX_LENGTH,
-                       wanted: DataFrame | None = None) -> DataFrame:
+                       wanted: DataFrame | None = None, cluster: bool = False) -> DataFrame:
     """``prefix, rank, query, count, score, blended`` for every prefix, or the ``wanted`` ones.
 
     Scores are joined before the prefixes are spread out, once per query instead of once per
-    (query, prefix). Pool cut, maxima and final rank share the one shuffle by prefix.
+    (query, prefix). Pool cut, maxima and final rank share the one shuffle by prefix. ``cluster``
+    lays the joined rows out by normal form first, for a dictionary that is not stored that way or
+    a score table too large to broadcast.
     """
     pool = candidate_pool(k) if pool == -1 else pool
     cut = keep = None
     if wanted is not None:
         max_length, cut, keep = only_for(wanted)
     scored = with_scores(dictionary.select("query", "query_norm", "count"), scores)
-    spread = explode_prefixes(scored, max_length)
+    spread = explode_prefixes(sort_for_prefixes(scored) if cluster else scored, max_length)
     spread = cut(spread) if cut else spread
     by_prefix = Window.partitionBy("prefix")
     if pool is None:
@@ -183,3 +187,14 @@ def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alp
         "rank", F.row_number().over(by_prefix.orderBy(*_blend_order()))
     ).where(F.col("rank") <= k)
     return (keep(ranked) if keep else ranked).select("prefix", "rank", "query", "count", "score", "blended")
+
+
+def suggest(dictionary: DataFrame, scores: DataFrame, prefix: str | None, mode: str = "popularity", k: int = K,
+            alpha: float = ALPHA, source: str = "DB") -> DataFrame:
+    """``rank, query, count`` for one request. ``mode`` ``recency`` (any case) blends recency in;
+    ``source`` ``TRIE`` answers popularity with normal forms."""
+    if (mode or "").lower() == "recency":
+        return prefix_recency(dictionary, scores, prefix, k, alpha).select("rank", "query", "count")
+    if source.upper() == "TRIE":
+        return norm_top(dictionary, prefix, k)
+    return prefix_top(dictionary, prefix, k)

@@ -124,6 +124,16 @@ def trending_recency(dictionary: DataFrame, scores: DataFrame, size: int = TREND
     return hot.unionByName(cold).withColumn("mode", F.lit("RECENCY"))
 
 
+def trending(dictionary: DataFrame, scores: DataFrame, mode: str = "recency", size: int = TRENDING_SIZE,
+             alpha: float = ALPHA) -> DataFrame:
+    """``rank, query, count, mode, source``; only ``popularity`` (any case) leaves recency out."""
+    if (mode or "").lower() == "popularity":
+        top = trending_popularity(dictionary, size)
+    else:
+        top = trending_recency(dictionary, scores, size, alpha)
+    return top.select("rank", "query", "count", "mode", "source")
+
+
 # Half-lives per epoch of the running score: weights up to 2**512 fit a double with room to spare.
 _EPOCH_HALF_LIVES = 512
 

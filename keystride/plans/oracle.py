@@ -207,20 +207,22 @@ ASKED = f"""
                CASE WHEN req_id % 4 = 1 THEN 'POPULARITY' ELSE 'RECENCY' END AS trending_mode FROM request_log)"""
 
 FAMILIES = """
-    brand AS (SELECT DISTINCT p_brand AS w FROM part), type AS (SELECT DISTINCT p_type AS w FROM part),
-    name AS (SELECT DISTINCT p_name AS w FROM part), place AS (SELECT DISTINCT r_name AS w FROM region),
+    brand AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT p_brand AS w FROM part)),
+    type AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT p_type AS w FROM part)),
+    name AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT p_name AS w FROM part)),
+    place AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT r_name AS w FROM region)),
     phrase AS (
-        SELECT 1 AS family, w AS query FROM brand
-        UNION ALL SELECT 1, b.w || ' ' || p.w FROM brand b, place p
-        UNION ALL SELECT 2, w FROM type
-        UNION ALL SELECT 2, t.w || ' ' || p.w FROM type t, place p
-        UNION ALL SELECT 2, 'best ' || t.w || ' ' || p.w FROM type t, place p
-        UNION ALL SELECT 3, w FROM name
-        UNION ALL SELECT 3, n.w || ' ' || t.w FROM name n, type t
-        UNION ALL SELECT 4, b.w || ' ' || t.w FROM brand b, type t
-        UNION ALL SELECT 5, a.w || ' vs ' || b.w FROM place a, place b WHERE a.w <> b.w),
-    family AS (SELECT query, min(family) AS family FROM phrase GROUP BY query),
-    ranked AS (SELECT query, family, row_number() OVER (ORDER BY family, query) AS rank FROM family)"""
+        SELECT 1 AS family, w AS query, i, -1 AS j, 0 AS variant FROM brand
+        UNION ALL SELECT 1, b.w || ' ' || p.w, b.i, p.i, 0 FROM brand b, place p
+        UNION ALL SELECT 2, w, i, -1, 0 FROM type
+        UNION ALL SELECT 2, t.w || ' ' || p.w, t.i, p.i, 0 FROM type t, place p
+        UNION ALL SELECT 2, 'best ' || t.w || ' ' || p.w, t.i, p.i, 1 FROM type t, place p
+        UNION ALL SELECT 3, w, i, -1, 0 FROM name
+        UNION ALL SELECT 3, n.w || ' ' || t.w, n.i, t.i, 0 FROM name n, type t
+        UNION ALL SELECT 4, b.w || ' ' || t.w, b.i, t.i, 0 FROM brand b, type t
+        UNION ALL SELECT 5, a.w || ' vs ' || b.w, a.i, b.i, 0 FROM place a, place b WHERE a.w <> b.w),
+    family AS (SELECT query, min((family, i, j, variant)) AS at FROM phrase GROUP BY query),
+    ranked AS (SELECT query, at[1] AS family, row_number() OVER (ORDER BY at) AS rank FROM family)"""
 
 ZIPF = f"""(floor(100000.0::DOUBLE / pow(rank::DOUBLE, 0.85)))::BIGINT + {below('50', "'42'", "'noise'", 'query')} + 1"""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import scoring, text
 from keystride.operators import corpus, expiry, fold, merge, prefix, reports, replay, ring, serving, trending
+from keystride.operators.ordered import row_numbers
 from keystride.session import work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
@@ -129,12 +130,12 @@ def norm_topk(v):
 
 @query
 def all_prefix_topk(v):
-    return prefix.all_prefix_top(v.search_query)
+    return prefix.all_prefix_top(v.search_query, cluster=not v.laid_out)
 
 
 @query
 def all_prefix_norm_topk(v):
-    return prefix.all_prefix_norm_top(v.search_query, how="sum")
+    return prefix.all_prefix_norm_top(v.search_query, how="sum", cluster=True)
 
 
 @query
@@ -151,13 +152,13 @@ def prefix_recency_unpooled(v):
 
 @query
 def all_prefix_recency(v):
-    top = prefix.all_prefix_recency(v.search_query, scores(v))
+    top = prefix.all_prefix_recency(v.search_query, scores(v), cluster=not v.laid_out)
     return top.select("prefix", "rank", "query", "count", r6("score"), r6("blended"))
 
 
 @query
 def all_prefix_recency_unpooled(v):
-    top = prefix.all_prefix_recency(v.search_query, scores(v), pool=None)
+    top = prefix.all_prefix_recency(v.search_query, scores(v), pool=None, cluster=not v.laid_out)
     return top.select("prefix", "rank", "query", "count", r6("score"), r6("blended"))
 
 
@@ -329,7 +330,7 @@ def _arcs(v: TestViews) -> DataFrame:
 
 
 def _stored(v: TestViews, max_length: int, k: int = 10) -> DataFrame:
-    top = prefix.all_prefix_top(v.search_query, k, max_length)
+    top = prefix.all_prefix_top(v.search_query, k, max_length, cluster=not v.laid_out)
     return serving.materialize_lists(top, _arcs(v), at(AS_OF))
 
 
@@ -457,15 +458,14 @@ def latency_percentiles(v):
 
 def _families(v: TestViews) -> DataFrame:
     part, region = v.table("part"), v.table("region")
-    brands = part.select(F.col("p_brand").alias("head")).distinct()
-    types = part.select(F.col("p_type").alias("head")).distinct()
-    names = part.select(F.col("p_name").alias("head")).distinct()
-    places = region.select(F.col("r_name").alias("head")).distinct()
-    all_types, all_places = corpus.vocabulary(part, "p_type"), corpus.vocabulary(region, "r_name")
+    all_brands, all_types, all_names = (corpus.vocabulary(part, c) for c in ("p_brand", "p_type", "p_name"))
+    all_places = corpus.vocabulary(region, "r_name")
+    brands, types, names, places = (
+        corpus.heads(v.spark, w) for w in (all_brands, all_types, all_names, all_places)
+    )
     return corpus.union_families(
         corpus.suffixed(brands, all_places, 1),
-        corpus.suffixed(types, all_places, 2),
-        corpus.suffixed(types, all_places, 2, lead="best ", alone=False),
+        corpus.suffixed(types, all_places, 2, leads=("", "best ")),
         corpus.suffixed(names, all_types, 3),
         corpus.suffixed(brands, all_types, 4, alone=False),
         corpus.versus(places, all_places, 5),
@@ -488,8 +488,9 @@ def corpus_padded(v):
 @query
 def zipf_counts(v):
     """The dictionary ranked by popularity, with Zipf-like counts in place of its own."""
-    by_count = v.search_query.select("query", (-F.col("count")).alias("family"))
-    return corpus.zipf_counts(corpus.ranked(by_count)).select("query", "rank", "count")
+    by_count = [F.desc("count"), F.asc("query")]
+    placed = row_numbers(v.search_query.select("query", "count"), [], by_count, "rank").drop("count")
+    return corpus.zipf_counts(placed).select("query", "rank", "count")
 
 
 # -- streams ------------------------------------------------------------------------------------

@@ -51,6 +51,7 @@ class TestViews:
     """The views of one scale folder, each built when first asked for."""
 
     __test__ = False
+    laid_out = False  # whether the dictionary is stored by normal form
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -100,6 +101,7 @@ class StoredViews(TestViews):
     """The same views written once, as a running system would hold them, and read back."""
 
     NAMES = ("search_query", "raw_event", "query_line")
+    laid_out = True
 
     def __init__(self, spark: SparkSession, folder: str, root: str):
         super().__init__(spark, folder)

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keystride.operators import trending
+from keystride.operators import prefix, trending
+from keystride.sources.scores import ScoreStore
 
 START = dt.datetime(2024, 1, 1)
 H = 3600.0
@@ -146,3 +147,24 @@ def test_whole_blocks_cover_every_snapshot_once(spark):
         covered = [i for x in r.blocks for i in range(x.block * 2 ** x.level, (x.block + 1) * 2 ** x.level)]
         assert sorted(covered) == list(range(r.a, r.b))
         assert len(r.blocks) <= 2 * math.ceil(math.log2(r.b - r.a + 1) + 1)
+
+
+def test_score_store_adds_up(spark, history, tmp_path):
+    store = ScoreStore(spark, str(tmp_path / "scores"))
+    assert store.read().isEmpty()
+    rows = events(spark, history)
+    for part, cut in enumerate((50_000, 100_000, 150_000)):
+        span = (F.col("ts") > F.lit(moment(cut - 50_000) if part else moment(-1))) & (F.col("ts") <= F.lit(moment(cut)))
+        assert store.add(rows.where(span), moment(cut)) == part
+    assert as_map(store.read()) == pytest.approx(direct(history, 150_000), rel=1e-9)
+
+
+def test_modes(spark, history):
+    table = dictionary(spark, COUNTS)
+    scores = trending.decayed_scores(events(spark, history), moment(150_000))
+    modes = {m: trending.trending(table, scores, m).first()["mode"] for m in ("POPularity", "recency", "x")}
+    assert modes == {"POPularity": "POPULARITY", "recency": "RECENCY", "x": "RECENCY"}
+    plain = [r["query"] for r in prefix.suggest(table, scores, "q", "other").orderBy("rank").collect()]
+    assert plain == ["q5", "Q1", "q2", "q1", "q7"]
+    assert [r["query"] for r in prefix.suggest(table, scores, "q", source="trie").orderBy("rank").collect()] == ["q5", "q1", "q2", "q7"]
+    assert prefix.suggest(table, scores, "q", "RECENCY").count() == 5
