@@ -15,6 +15,7 @@ from keystride.functions.hashing import hashed_below
 from keystride.operators import words
 from keystride.operators.ordered import row_numbers
 from keystride.params import MAX_GROUP_ROWS
+from keystride.session import materialize
 
 MAX_VOCABULARY = 10_000
 DEFAULT_ROWS = 120_000
@@ -94,6 +95,7 @@ def pad(corpus: DataFrame, target: int, seed: str = "42", max_group_rows: int =
 
     At most five tries per wanted row are made; the earliest tries that give a new text are kept.
     """
+    corpus = materialize(corpus)  # read by several branches below
     base = ranked(corpus, max_group_rows)
     size = corpus.count()
     if size == 0 or target <= size:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystride.functions import scoring, text
-from keystride.params import ALPHA, K, MAX_BROADCAST_ROWS, MAX_PREFIX_LENGTH, candidate_pool
+from keystride.params import (
+    ALPHA, K, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, MAX_PREFIX_LENGTH, candidate_pool,
+)
+from keystride.session import materialize
 
 
 def _ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -153,9 +156,29 @@ def prefix_recency(dictionary: DataFrame, scores: DataFrame, prefix: str, k: int
     )
 
 
+def _with_tops(spread: DataFrame, max_group_rows: int) -> DataFrame:
+    """Add each prefix's highest count and score, all its rows considered.
+
+    A short prefix may match a third of the rows. Such prefixes are few (each holds more than
+    ``max_group_rows`` rows), so their maxima are broadcast and their rows stay where they are;
+    only the rows of the others are shuffled to their maxima.
+    """
+    tops = materialize(spread.groupBy("prefix").agg(
+        F.max("count").alias("top_count"), F.max("score").alias("top_score"), F.count(F.lit(1)).alias("_size")
+    ))
+    hot = tops.where(F.col("_size") > max_group_rows)
+    tops, large = tops.drop("_size"), hot.drop("_size")
+    if hot.isEmpty():
+        return spread.join(tops, "prefix")
+    few = F.broadcast(large)
+    rest = spread.join(F.broadcast(large.select("prefix")), "prefix", "left_anti").join(tops, "prefix")
+    return rest.unionByName(spread.join(few, "prefix").select(*rest.columns))
+
+
 def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alpha: float = ALPHA,
                        pool: int | None = -1, max_length: int = MAX_PREFIX_LENGTH,
-                       wanted: DataFrame | None = None, cluster: bool = False) -> DataFrame:
+                       wanted: DataFrame | None = None, cluster: bool = False,
+                       max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """``prefix, rank, query, count, score, blended`` for every prefix, or the ``wanted`` ones.
 
     Scores are joined before the prefixes are spread out, once per query instead of once per
@@ -172,9 +195,7 @@ def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alp
     spread = cut(spread) if cut else spread
     by_prefix = Window.partitionBy("prefix")
     if pool is None:
-        # A whole prefix may hold a third of the rows: take its maxima by aggregation instead.
-        tops = spread.groupBy("prefix").agg(F.max("count").alias("top_count"), F.max("score").alias("top_score"))
-        pooled = spread.join(tops, "prefix")
+        pooled = _with_tops(spread, max_group_rows)
     else:
         pooled = (
             spread.withColumn("_n", F.row_number().over(by_prefix.orderBy(*_by_count())))

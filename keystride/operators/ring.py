@@ -59,7 +59,6 @@ def build_arcs(ring: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     row per slice, 4096 at most) are put in order, so no task holds all of a large ring.
     ``by`` keeps several rings apart.
     """
-    ring = materialize(ring)  # small next to the keys, and read twice
     sliced = ring.withColumn("_b", _bucket(F.col("pos")))
     lasts = sliced.groupBy(*by, "_b").agg(F.max("pos").alias("_last"))
     order = Window.partitionBy(*by)
@@ -80,6 +79,7 @@ def build_arcs(ring: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     arcs = placed.select(
         *by, F.explode(F.when(F.col("_lo").isNull(), wrapped).otherwise(normal)).alias("a"), "node_index", "node"
     )
+    # Small next to the keys, and read by every assignment.
     return materialize(arcs.select(*by, "a.lo", "a.hi", "a.closed", "node_index", "node"))
 
 

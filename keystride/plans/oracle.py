@@ -221,8 +221,8 @@ FAMILIES = """
         UNION ALL SELECT 3, n.w || ' ' || t.w, n.i, t.i, 0 FROM name n, type t
         UNION ALL SELECT 4, b.w || ' ' || t.w, b.i, t.i, 0 FROM brand b, type t
         UNION ALL SELECT 5, a.w || ' vs ' || b.w, a.i, b.i, 0 FROM place a, place b WHERE a.w <> b.w),
-    family AS (SELECT query, min((family, i, j, variant)) AS at FROM phrase GROUP BY query),
-    ranked AS (SELECT query, at[1] AS family, row_number() OVER (ORDER BY at) AS rank FROM family)"""
+    family AS (SELECT query, min({'family': family, 'i': i, 'j': j, 'variant': variant}) AS spot FROM phrase GROUP BY query),
+    ranked AS (SELECT query, spot.family AS family, row_number() OVER (ORDER BY spot) AS rank FROM family)"""
 
 ZIPF = f"""(floor(100000.0::DOUBLE / pow(rank::DOUBLE, 0.85)))::BIGINT + {below('50', "'42'", "'noise'", 'query')} + 1"""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from keystride.functions import scoring, text
 from keystride.operators import corpus, expiry, fold, merge, prefix, reports, replay, ring, serving, trending
 from keystride.operators.ordered import row_numbers
-from keystride.session import work_dir
+from keystride.session import materialize, work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
 from keystride.sources.dictionary import DictionaryStore
@@ -480,7 +480,7 @@ def corpus_families(v):
 @query
 def corpus_padded(v):
     """Padded to the number of parts beyond the families, with counts."""
-    families = _families(v)
+    families = materialize(_families(v))
     padded = corpus.pad(families, families.count() + v.table("part").count())
     return corpus.zipf_counts(padded).select("query", "family", "rank", "count")
 

@@ -47,9 +47,15 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so later readers all see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write to the shared folder and read back.
+
+    Later readers all see the same rows and survive lost executors without going back to the
+    sources; being columnar, the table also gives them column pruning and a known size. Its folder
+    may be removed once the job is over.
+    """
+    path = work_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def empty_table(spark: SparkSession, schema: T.StructType | str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from keystride.functions import text
+from keystride.params import MAX_BROADCAST_ROWS
 from keystride.session import empty_table
 
 LINE_ORDER = ["file", "block", "line_no"]
@@ -35,18 +36,20 @@ def drop_blank(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"\S"))
 
 
-def drop_header(lines: DataFrame) -> DataFrame:
+def drop_header(lines: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Drop each file's first non-blank line if it is a ``query,...`` header.
 
-    Only header-like lines and one aggregate per file are looked at; the other lines pass in place.
+    One scan finds the headers, one row per file at most; while the files are few enough the rows
+    are broadcast and the lines stay in place.
     """
     place = F.struct("block", "line_no")
-    first = drop_blank(lines).groupBy("file").agg(F.min(place).alias("first"))
     looks = F.startswith(F.lower("line"), F.lit("query,"))
-    header = (
-        lines.where(looks).select("file", place.alias("first")).join(first, ["file", "first"])
-        .select("file", "first.block", "first.line_no")
+    firsts = drop_blank(lines).groupBy("file").agg(
+        F.min(place).alias("first"), F.min(F.when(looks, place)).alias("header")
     )
+    header = firsts.where(F.col("first") == F.col("header")).select("file", "first.block", "first.line_no")
+    if len(lines.inputFiles()) <= max_broadcast:
+        header = F.broadcast(header)
     return lines.join(header, LINE_ORDER, "left_anti")
 
 

@@ -85,6 +85,11 @@ def test_all_prefix_recency_agrees_with_single_prefixes(table, scores, pool):
         assert listed(everything.where(F.col("prefix") == asked), "query", "blended") == listed(one, "query", "blended")
 
 
+def test_hot_prefixes_keep_their_rows_in_place(table, scores, values):
+    plain = prefix.all_prefix_recency(table, scores, 2, pool=None)
+    assert values(prefix.all_prefix_recency(table, scores, 2, pool=None, max_group_rows=2)) == values(plain)
+
+
 def test_wanted_prefixes_only(table, scores, spark, values):
     wanted = spark.createDataFrame([("ip",), ("java",), ("zz",)], "prefix string")
     everything = prefix.all_prefix_top(table, 2, 12)
