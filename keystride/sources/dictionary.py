@@ -65,20 +65,23 @@ class DictionaryStore:
         deltas.select(*DICTIONARY.names).write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
         self._note(f"commits/batch_id={batch_id}", rows=1)
 
-    def base(self) -> DataFrame:
-        version, _ = self._current()
+    def base(self, version: int | None = None) -> DataFrame:
+        """The whole dictionary as of the newest (or the given) version, laid out by normal form."""
+        if version is None:
+            version, _ = self._current()
         if version is None:
             return empty_table(self.spark, DICTIONARY)
         return self.spark.read.schema(DICTIONARY).parquet(f"{self.root}/base/version={version}")
 
-    def _committed(self) -> DataFrame:
-        """Batches committed since the base was written."""
-        _, through = self._current()
+    def _committed(self, through: int) -> DataFrame:
+        """Batches committed after the given one."""
         return self._read("batch_id bigint, rows bigint", "commits").where(F.col("batch_id") > through)
 
-    def pending(self) -> DataFrame:
+    def pending(self, through: int | None = None) -> DataFrame:
         """Committed deltas the base does not contain yet, with their ``batch_id``."""
-        named = self._committed().select("batch_id")
+        if through is None:
+            _, through = self._current()
+        named = self._committed(through).select("batch_id")
         fields = T.StructType([*DICTIONARY.fields, T.StructField("batch_id", T.LongType())])
         deltas = self._read(fields, "delta")
         # One row per batch since the last compaction. Beyond the bound Spark picks the join.
@@ -87,16 +90,18 @@ class DictionaryStore:
         return deltas.join(named, "batch_id", "left_semi")
 
     def read(self) -> DataFrame:
-        """Base and pending deltas, merged."""
-        return upsert(self.base(), self.pending().drop("batch_id"))
+        """Base and pending deltas of one moment, merged."""
+        version, through = self._current()
+        return upsert(self.base(version), self.pending(through).drop("batch_id"))
 
     def compact(self) -> int:
         """Write base and pending deltas as the next version; returns its number."""
         version, through = self._current()
-        last = self._committed().agg(F.max("batch_id")).first()[0]
+        last = self._committed(through).agg(F.max("batch_id")).first()[0]
         number = 0 if version is None else version + 1
-        deltas = self.pending()
+        deltas = self.pending(through)
         if last is not None:  # leave out what is committed while this runs
             deltas = deltas.where(F.col("batch_id") <= last)
-        self._write_base(upsert(self.base(), deltas.drop("batch_id")), number, through if last is None else last)
+        merged = upsert(self.base(version), deltas.drop("batch_id"))
+        self._write_base(merged, number, through if last is None else last)
         return number
