@@ -30,17 +30,21 @@ _STEPS = "upto array<bigint>, leaves array<bigint>"
 _NEVER = -(2 ** 62)
 
 
-def _trim(upto, leaves, end: int):
-    """Keep the steps an entry ending before ``end`` can meet, equal neighbours joined."""
-    keep = int(np.searchsorted(upto, end)) + 1
-    upto, leaves = upto[:keep], leaves[:keep]
-    last_of_run = np.append(leaves[1:] != leaves[:-1], True)
-    return upto[last_of_run], leaves[last_of_run]
+def _trimmer():
+    """Made inside a function, as all that workers run here is, so that it travels with the job."""
+    def trim(upto, leaves, end):
+        """Keep the steps an entry ending before ``end`` can meet, equal neighbours joined."""
+        keep = int(np.searchsorted(upto, end)) + 1
+        upto, leaves = upto[:keep], leaves[:keep]
+        last_of_run = np.append(leaves[1:] != leaves[:-1], True)
+        return upto[last_of_run], leaves[last_of_run]
+
+    return trim
 
 
 def _summarize(ttl: int, slice_ms: int):
     """Step function of a slice from its sorted request times."""
-    trim = _trim
+    trim = _trimmer()
 
     def steps(times, number):
         times = np.asarray(times, dtype="int64")
@@ -62,7 +66,7 @@ def _summarize(ttl: int, slice_ms: int):
 
 def _compose(ttl: int, span_ms: int):
     """One step function for a run of slices; ``span_ms`` is the length of the run."""
-    trim = _trim
+    trim = _trimmer()
 
     def one(parts, number):
         upto = leaves = None
