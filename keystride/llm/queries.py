@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystride.llm import byte_bpe, quality, simhash, token_files, toxicity
+from keystride.llm import byte_bpe, mixing, quality, simhash, token_files, toxicity
 from keystride.llm.common import fold_of, table
+from keystride.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +19,7 @@ ORACLE: dict[str, str] = {}
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+MIX_ENTROPY, MIX_REPETITION, MIX_BLOCKS = 0.95, 4.0, 64
 TOXIC_FOLDS, TOXIC_HELD = 5, 0
 QUALITY_FOLDS, QUALITY_HELD = 4, 2
 
@@ -42,6 +44,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of(F.col("doc_id"), TOXIC_FOLDS) == TOXIC_HELD).alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which one corpus's worth of tokens is read, sources tempered."""
+    counted = materialize(mixing.counted_documents(table(spark, sf_dir, "documents")))
+    budget = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    sources = materialize(mixing.plan(counted, MIX_ENTROPY, MIX_REPETITION, budget))
+    read = mixing.schedule(counted, sources, blocks=MIX_BLOCKS)
+    return read.select(
+        F.col("_id").alias("doc_id"), F.when(F.col("_source").startswith("s"), F.substring("_source", 2, 1 << 20)).alias("source"), "pass", "block",
+        F.col("offset").alias("source_offset"), F.col("_key").alias("order_key"), "n_tokens")
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
