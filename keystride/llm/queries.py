@@ -8,21 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystride.llm import byte_bpe, mixing, quality, simhash, token_files, toxicity
+from keystride.llm import byte_bpe, license_join, mixing, oracle, quality, simhash, token_files, toxicity, url_filter
 from keystride.llm.common import fold_of, table
 from keystride.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 # Production parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MIX_ENTROPY, MIX_REPETITION, MIX_BLOCKS = 0.95, 4.0, 64
+# Fixed values: (verdict, host, path) of url rules.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+# Domains blocked with their subdomains where no rule fits.
+BLOCKED_DOMAINS = (
+    "ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net",
+    "free-bets.example.net", "spam-farm.example.org",
+)
 TOXIC_FOLDS, TOXIC_HELD = 5, 0
 QUALITY_FOLDS, QUALITY_HELD = 4, 2
 
+ORACLE: dict[str, str] = oracle.build(MIX_ENTROPY, MIX_REPETITION, MIX_BLOCKS, URL_RULES, BLOCKED_DOMAINS)
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -64,6 +78,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest, folder)
 
 
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = spark.range(1).select(F.explode(F.array(*map(F.lit, BLOCKED_DOMAINS))).alias("domain"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, domains)
+
+
+@query
+def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents"))[0]
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
