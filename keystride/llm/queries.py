@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystride.llm import byte_bpe, license_join, mixing, oracle, quality, simhash, token_files, toxicity, url_filter
+from keystride.llm import (
+    byte_bpe,
+    graph_search,
+    license_join,
+    mixing,
+    oracle,
+    projection_dedup,
+    quality,
+    simhash,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from keystride.llm.common import fold_of, table
 from keystride.session import materialize
 
@@ -89,6 +101,16 @@ def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))[0]
 
 
+@query
+def op6_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.group(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
