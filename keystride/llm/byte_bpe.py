@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from keystride.llm.common import map_columns
 
-MEMO_PARTS = 400_000     # distinct parts remembered by a worker
+MEMO_PARTS = 300_000     # distinct parts remembered by a worker
 MEMO_LENGTH = 64         # longer parts are encoded each time
 
 
@@ -52,11 +53,18 @@ class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        self.ranks = read_ranks(ranks_path)
+        self.pieces = regex.compile(pattern)
+        self.token_bytes = {r: t for t, r in self.ranks.items()}
+        self.memo: tuple[dict, dict] = ({}, {})  # parts as they stand, parts after a space
+
+    @functools.cached_property
+    def library(self):
+        """Built for encoding only; decoding reads the byte table."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        ranks = read_ranks(ranks_path)
-        shown = byte_characters()
+        ranks, shown = self.ranks, byte_characters()
         spell = {token: "".join(shown[b] for b in token) for token in ranks}
         merges = []
         for token in sorted(ranks, key=ranks.get):
@@ -64,11 +72,9 @@ class ByteBpe:
             cuts = sorted((ranks[a], ranks[b], a, b) for a, b in cuts if a in ranks and b in ranks)
             merges += [(spell[a], spell[b]) for _, _, a, b in cuts]
         # A piece that is a token as it stands needs no merges.
-        self.library = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = regex.compile(pattern)
-        self.token_bytes = {r: t for t, r in ranks.items()}
-        self.memo: tuple[dict, dict] = ({}, {})  # parts as they stand, parts after a space
+        made = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return made
 
     def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,7 +83,7 @@ class ByteBpe:
         found = [self.pieces.findall(lead + p) for p in parts]
         flat = iter(self._encode_pieces([x for f in found for x in f]))
         for f in found:
-            yield np.array([i for _ in f for i in next(flat)], dtype="<u4").tobytes()
+            yield array("I", [i for _ in f for i in next(flat)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -99,10 +105,13 @@ class ByteBpe:
         (first, long_first), (rest, long_rest) = known
         out = []
         for text, parts in zip(texts, split, strict=True):
-            got = [first[parts[0]] if parts[0] in first else long_first[parts[0]]]
-            got += [rest[p] if p in rest else long_rest[p] for p in parts[1:]]
-            if None in got:
-                got = list(self._encode_parts([text], "")) if text else []
+            head, *tail = parts
+            got = [first.get(head), *map(rest.get, tail)]
+            if None in got:  # a long part, or one that is no piece boundary
+                got = [long_first.get(head) if got[0] is None else got[0],
+                       *(long_rest.get(p) if g is None else g for p, g in zip(tail, got[1:], strict=True))]
+                if None in got:
+                    got = list(self._encode_parts([text], "")) if text else []
             out.append(b"".join(got))
         return out
 

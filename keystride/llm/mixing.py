@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keystride.operators.ordered import join_hot
 from keystride.params import MAX_BROADCAST_ROWS
 from keystride.session import materialize
 
@@ -42,7 +43,6 @@ TAU_DIGITS = 6
 WEIGHT_DIGITS = 9
 BUCKET_ROWS = 20_000      # rows of a hash bucket, on average
 BLOCKS = 64
-SALTS = 32
 
 
 def count_tokens(text: Column) -> Column:
@@ -62,11 +62,7 @@ def source_key(source: Column) -> Column:
 
 def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Join on ``_source``: the source table is sent out if it is small, else hot sources are salted."""
-    if sources.count() <= MAX_BROADCAST_ROWS:
-        return rows.join(F.broadcast(sources), "_source")
-    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, ["_source", "_salt"]).drop("_salt")
+    return join_hot(rows, sources, ["_source"], max_broadcast=MAX_BROADCAST_ROWS)
 
 
 def _search(shares: DataFrame, meets: Callable[[float], bool], low: float, high: float, value: Callable[[Column], list[Column]],
@@ -140,11 +136,11 @@ def plan(counted: DataFrame, target_entropy: float | None = None, max_repetition
 
 
 def counted_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``_id, _source, _salt, n_tokens`` of every row; ``_salt`` tells rows of one id apart by their text."""
+    """``_id, _source, _text, n_tokens`` of every row; ``_text`` tells rows of one id apart by their text."""
     words = F.col(f"`{text}`").cast("string")
     return docs.select(
         F.col(f"`{doc_id}`").alias("_id"), source_key(F.col(f"`{source}`")).alias("_source"),
-        F.md5(words.cast("binary")).alias("_salt"), count_tokens(words).alias("n_tokens"))
+        F.md5(words.cast("binary")).alias("_text"), count_tokens(words).alias("n_tokens"))
 
 
 def _in_order(read: DataFrame, buckets: int) -> DataFrame:
@@ -173,7 +169,7 @@ def schedule(counted: DataFrame, sources: DataFrame, seed: str = SEED, blocks: i
     last = F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)
     turns = F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last))
     read = joined.withColumn("pass", F.explode(turns)).withColumn(
-        "_key", order_key(seed, F.col("pass"), F.col("_id"), F.col("_salt")))
+        "_key", order_key(seed, F.col("pass"), F.col("_id"), F.col("_text")))
     placed = _in_order(read, largest // BUCKET_ROWS)
     taken = placed.where((F.col("pass") < F.col("passes")) | (F.col("before") < F.col("rest")))
     offset = F.col("pass") * F.col("tokens") + F.col("before")

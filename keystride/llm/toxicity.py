@@ -243,7 +243,9 @@ class Features:
                     memo[w] = got
             found.update(got)
         for s in spelled:
-            found.update(self.of_word(s))
+            # A word of one letter may stand beside the spelled-out one.
+            for run in {s, s[2:], s[:-2], s[2:-2]}:
+                found.update(self.of_word(run))
         return found
 
 

@@ -24,7 +24,7 @@ def test_partition_sums_equal_the_whole(spark):
     labels = draw.integers(0, 2, 50).astype(float)
     model = quality.Model(np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS),
                           draw.normal(size=(quality.STATISTICS, 8)), draw.uniform(size=8), np.zeros(9), np.zeros(1), np.zeros(1))
-    frame = spark.createDataFrame([(s.tolist(), y) for s, y in zip(stats, labels)], "stats array<double>, label double")
+    frame = spark.createDataFrame([(s.tolist(), float(y)) for s, y in zip(stats, labels)], "stats array<double>, label double")
     gram, right = quality.partition_sums(frame.repartition(7), model)
     z = model.fourier(stats)
     assert np.allclose(gram, z.T @ z) and np.allclose(right, z.T @ labels)
