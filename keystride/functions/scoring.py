@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from keystride.params import ALPHA, HALF_LIFE_SECONDS
 
-# Scores are rounded before they are ranked, so that the order in which partial sums were added
-# cannot swap two equal scores.
+# Scores are compared by their logarithm, which keeps their order however old they are, and blended
+# as shares of the highest one. Both are rounded before they are ranked, so that the order in which
+# partial sums were added cannot swap two equal scores.
 RANK_DIGITS = 12
+LEVEL_DIGITS = 8
 
 
 def as_micros(moment: Column | dt.datetime | str) -> Column:
@@ -41,6 +43,15 @@ def settled(score: Column) -> Column:
     return F.round(score, RANK_DIGITS)
 
 
+def settled_level(level: Column) -> Column:
+    return F.round(level, LEVEL_DIGITS)
+
+
+def share_of(level: Column, top_level: Column) -> Column:
+    """Score over the highest score, from their binary logarithms; 0 where there is no score."""
+    return F.coalesce(F.round(F.pow(F.lit(2.0), level - top_level), RANK_DIGITS), F.lit(0.0))
+
+
 def blend(count: Column, max_count: Column, score: Column, max_score: Column,
           alpha: float = ALPHA) -> Column:
     """alpha * count / max_count + (1 - alpha) * score / max_score, with safe denominators."""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystride.operators.ordered import largest_group
+from keystride.operators.ordered import largest_group, null_safe_join
 from keystride.session import materialize
 
 # Entries of one key that one task holds at a time.
@@ -134,7 +134,7 @@ def _inherited(functions: DataFrame, key: str, ttl: int, span_ms: int, fan: int)
         above = runs.select(key, F.col("parent").alias("number"), _compose(ttl, span)("parts", "parent").alias("f"))
         above = materialize(above.select(key, "number", "f.*"))
         handed = _inherited(above, key, ttl, span, fan).withColumnRenamed("number", "parent")
-        given = runs.join(handed, [key, "parent"])
+        given = null_safe_join(runs, handed, [key, "parent"])
     return given.select(key, F.explode(_hand_down()("parts", "inherits")).alias("e")).select(key, "e.*")
 
 
@@ -152,7 +152,7 @@ def refills(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts", reques
     )
     if entries is not None:
         served = F.col("ms") < F.coalesce("ends_ms", F.lit(_NEVER))
-        once = once.join(entries.select(key, "ends_ms"), key, "left").where(~served).drop("ends_ms")
+        once = null_safe_join(once, entries.select(key, "ends_ms"), [key], "left").where(~served).drop("ends_ms")
     if largest_group(once, [key]) <= task_entries:
         sliced = _pack(once.withColumn("number", F.lit(0)), key).withColumn("inherits", F.lit(None).cast("bigint"))
     else:
@@ -182,7 +182,7 @@ def _sliced(once: DataFrame, key: str, ttl_ms: int, task_entries: int) -> DataFr
     functions = materialize(functions.select(key, "number", "f.*"))
     steps = functions.agg(F.max(F.size("upto"))).first()[0] or 1
     fan = min(COMPOSED, max(2, task_entries // steps))
-    return sliced.join(_inherited(functions, key, ttl_ms, slice_ms, fan), [key, "number"])
+    return null_safe_join(sliced, _inherited(functions, key, ttl_ms, slice_ms, fan), [key, "number"])
 
 
 def label_hits(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts",

@@ -9,18 +9,44 @@ ranges before; only those sizes (one row per range) and the group starts cross b
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystride.params import MAX_GROUP_ROWS
+from keystride.params import MAX_BROADCAST_ROWS, MAX_GROUP_ROWS
 from keystride.session import materialize
 
 _SEQ, _CUT, _POS = "_seq", "_cut", "_pos"
 _CUT_SHIFT = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Join on equal columns, null being equal to null; still a hash or merge join.
+
+    ``small`` says that ``right`` has been found small enough to be broadcast.
+    """
+    named = right.select(*[F.col(c).alias(f"_right_{c}" if c in by else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by])
+    return left.join(F.broadcast(named) if small else named, same, how).drop(*[f"_right_{c}" for c in by])
+
+
+def join_hot(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner", salts: int = 32,
+             max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join rows with keys that repeat without bound to a table with a row per key; null equals null.
+
+    A small table is broadcast; copies of a larger one meet the parts of each key.
+    """
+    if right.count() <= max_broadcast:
+        return null_safe_join(left, right, by, how, small=True)
+    parts = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # By place in the partition: equal rows are dealt out too. Not random, so a lost task repeats it.
+    salted = left.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    return null_safe_join(salted, parts, [*by, "_salt"], how).drop("_salt")
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group; one number reaches the driver."""
     if not by:
@@ -58,7 +84,7 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     firsts = placed.groupBy(_CUT, *by).agg(F.min(_POS).alias("_first"))
     starts = firsts.withColumn("_start", F.min("_first").over(Window.partitionBy(*by))).drop("_first")
     return (
-        placed.join(starts, [_CUT, *by])
+        null_safe_join(placed, starts, [_CUT, *by])
         .withColumn(name, F.col(_POS) - F.col("_start") + 1)
         .drop(_CUT, _POS, "_start")
     )
@@ -75,9 +101,9 @@ def next_value(df: DataFrame, by: Sequence[str], order: Sequence[Column], value:
         "_across", F.lead("_head").over(Window.partitionBy(*by).orderBy(_CUT))
     ).drop("_head")
     inside = Window.partitionBy(_CUT, *by).orderBy(_POS)
+    ahead = placed.withColumn("_inside", F.lead(F.struct(F.col("_value"))).over(inside))
     return (
-        placed.withColumn("_inside", F.lead(F.struct(F.col("_value"))).over(inside))
-        .join(across, [_CUT, *by])
+        null_safe_join(ahead, across, [_CUT, *by])
         .withColumn(name, F.when(F.col("_inside").isNull(), F.col("_across")).otherwise(F.col("_inside._value")))
         .drop(_CUT, _POS, "_value", "_inside", "_across")
     )

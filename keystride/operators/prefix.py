@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystride.functions import scoring, text
+from keystride.operators.ordered import join_hot
 from keystride.params import (
-    ALPHA, K, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, MAX_PREFIX_LENGTH, candidate_pool,
+    ALPHA, K, MAX_BROADCAST_ROWS, MAX_GROUP_ROWS, candidate_pool,
 )
 from keystride.session import materialize
 
@@ -28,14 +29,9 @@ def _by_count(query: str = "query") -> list[Column]:
 
 def starting_with(dictionary: DataFrame, prefix: str) -> DataFrame:
     """Rows whose normal form starts with the literal prefix; reaches a Parquet scan as a filter."""
-    wanted = normalize_prefix(prefix)
-    if not wanted:
-        return dictionary.limit(0)
-    return dictionary.where(F.startswith(F.col("query_norm"), F.lit(wanted)))
-
-
-def normalize_prefix(prefix: str | None) -> str:
-    return (prefix or "").strip(text.STRIPPED).lower()
+    # Constants, so the optimizer works them out before the filter is pushed down.
+    wanted = text.normalize(F.lit(prefix).cast("string"))
+    return dictionary.where((wanted != "") & F.startswith(F.col("query_norm"), wanted))
 
 
 def prefix_top(dictionary: DataFrame, prefix: str, k: int = K) -> DataFrame:
@@ -64,24 +60,35 @@ def norm_top(dictionary: DataFrame, prefix: str, k: int = K, how: str = "max") -
     return _ranked(found, _by_count(), k).select("rank", "query", "count")
 
 
-def explode_prefixes(dictionary: DataFrame, max_length: int = MAX_PREFIX_LENGTH) -> DataFrame:
-    """One row per query and prefix of its normal form."""
-    return dictionary.withColumn("prefix", F.explode(text.prefixes(F.col("query_norm"), max_length)))
+def explode_prefixes(dictionary: DataFrame, max_length: int | None = None, lengths: list[int] | None = None) -> DataFrame:
+    """One row per query and prefix of its normal form, of all lengths or of those given."""
+    norm = F.col("query_norm")
+    if lengths is not None:
+        fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length(norm))
+        return dictionary.withColumn("prefix", F.explode(F.transform(fitting, lambda n: F.substring(norm, F.lit(1), n))))
+    return dictionary.withColumn("prefix", F.explode(text.prefixes(norm, max_length)))
 
 
 def only_for(wanted: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS):
     """How to answer just the prefixes in ``wanted`` (one column, ``prefix``).
 
-    Returns the longest length to spread, a cut for the spread rows and a cut for the ranked ones.
+    Returns the lengths to spread, a cut for the spread rows and a cut for the ranked ones.
     A short list is broadcast and drops rows before they are ranked. A long one is applied after
     the ranking, when a prefix has at most ``k`` rows left, so a hot prefix never meets a join.
     """
-    longest, few = wanted.select(
-        F.coalesce(F.max(F.char_length("prefix")), F.lit(0)), F.count(F.lit(1)) <= max_broadcast
-    ).first()
-    if few:
-        return longest, lambda spread: spread.join(F.broadcast(wanted), "prefix", "left_semi"), lambda top: top
-    return longest, lambda spread: spread, lambda top: top.join(wanted, "prefix", "left_semi")
+    # A number for each length that occurs.
+    found = wanted.groupBy(F.char_length("prefix").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()
+    lengths = sorted(r.n for r in found if r.n)
+    if sum(r.c for r in found) <= max_broadcast:
+        return lengths, lambda spread: spread.join(F.broadcast(wanted), "prefix", "left_semi"), lambda top: top
+    return lengths, lambda spread: spread, lambda top: top.join(wanted, "prefix", "left_semi")
+
+
+def allow_group_limit(df: DataFrame, k: int) -> None:
+    """Let Spark cut groups to ``k`` rows before the shuffle, which it does up to a set number only."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < k:
+        conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
 
 
 def sort_for_prefixes(dictionary: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def sort_for_prefixes(dictionary: DataFrame) -> DataFrame:
     return dictionary.repartitionByRange("query_norm", "query")
 
 
-def all_prefix_top(dictionary: DataFrame, k: int = K, max_length: int = MAX_PREFIX_LENGTH,
+def all_prefix_top(dictionary: DataFrame, k: int = K, max_length: int | None = None,
                    wanted: DataFrame | None = None, cluster: bool = False) -> DataFrame:
     """``prefix, rank, query, count``: the top ``k`` of every prefix, or of the ``wanted`` ones.
 
@@ -102,18 +109,19 @@ def all_prefix_top(dictionary: DataFrame, k: int = K, max_length: int = MAX_PREF
     per prefix, so a prefix that matches a third of the dictionary stays cheap. Set ``cluster`` for
     a dictionary that is not stored by normal form; see ``sort_for_prefixes``.
     """
-    cut = keep = None
+    cut = keep = lengths = None
     if wanted is not None:
-        max_length, cut, keep = only_for(wanted)
+        lengths, cut, keep = only_for(wanted)
+    allow_group_limit(dictionary, k)
     rows = dictionary.select("query", "query_norm", "count")
-    spread = explode_prefixes(sort_for_prefixes(rows) if cluster else rows, max_length)
+    spread = explode_prefixes(sort_for_prefixes(rows) if cluster else rows, max_length, lengths)
     ranked = (cut(spread) if cut else spread).withColumn(
         "rank", F.row_number().over(Window.partitionBy("prefix").orderBy(*_by_count()))
     ).where(F.col("rank") <= k)
     return (keep(ranked) if keep else ranked).select("prefix", "rank", "query", "count")
 
 
-def all_prefix_norm_top(dictionary: DataFrame, k: int = K, max_length: int = MAX_PREFIX_LENGTH,
+def all_prefix_norm_top(dictionary: DataFrame, k: int = K, max_length: int | None = None,
                         how: str = "max", cluster: bool = False) -> DataFrame:
     """As ``all_prefix_top``, on normal forms."""
     merged = per_norm(dictionary, how).withColumn("query", F.col("query_norm"))
@@ -121,9 +129,10 @@ def all_prefix_norm_top(dictionary: DataFrame, k: int = K, max_length: int = MAX
 
 
 def with_scores(dictionary: DataFrame, scores: DataFrame) -> DataFrame:
-    """Attach the recency score of each row's normal form, 0 where there is none."""
-    joined = dictionary.join(scores.select("query_norm", "score"), "query_norm", "left")
-    return joined.withColumn("score", F.coalesce(scoring.settled(F.col("score")), F.lit(0.0)))
+    """Attach the recency score of each row's normal form, 0 where there is none, and its level, else null."""
+    level = F.col("level") if "level" in scores.columns else F.when(F.col("score") > 0, F.log2("score"))
+    known = scores.select("query_norm", "score", scoring.settled_level(level).alias("level"))
+    return dictionary.join(known, "query_norm", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def _blend_order() -> list[Column]:
@@ -141,7 +150,7 @@ def prefix_recency(dictionary: DataFrame, scores: DataFrame, prefix: str, k: int
     found = starting_with(dictionary, prefix).select("query", "query_norm", "count")
     if pool is None:
         scored = with_scores(found, scores)
-        tops = scored.agg(F.max("count").alias("c"), F.max("score").alias("s"))
+        tops = scored.agg(F.max("count").alias("c"), F.max("level").alias("s"))
         top_count, top_score = tops.select("c").scalar(), tops.select("s").scalar()
     else:
         found = found.orderBy(*_by_count()).limit(pool)
@@ -149,8 +158,9 @@ def prefix_recency(dictionary: DataFrame, scores: DataFrame, prefix: str, k: int
         wanted = scores.join(F.broadcast(found.select("query_norm")), "query_norm", "left_semi")
         scored = with_scores(found, wanted)
         everyone = Window.partitionBy()
-        top_count, top_score = F.max("count").over(everyone), F.max("score").over(everyone)
-    blended = scoring.settled(scoring.blend(F.col("count"), top_count, F.col("score"), top_score, alpha))
+        top_count, top_score = F.max("count").over(everyone), F.max("level").over(everyone)
+    share = scoring.share_of(F.col("level"), top_score)
+    blended = scoring.settled(scoring.blend(F.col("count"), top_count, share, F.lit(1.0), alpha))
     return _ranked(scored.withColumn("blended", blended), _blend_order(), k).select(
         "rank", "query", "count", "score", "blended"
     )
@@ -164,19 +174,22 @@ def _with_tops(spread: DataFrame, max_group_rows: int) -> DataFrame:
     only the rows of the others are shuffled to their maxima.
     """
     tops = materialize(spread.groupBy("prefix").agg(
-        F.max("count").alias("top_count"), F.max("score").alias("top_score"), F.count(F.lit(1)).alias("_size")
+        F.max("count").alias("top_count"), F.max("level").alias("top_level"), F.count(F.lit(1)).alias("_size")
     ))
     hot = tops.where(F.col("_size") > max_group_rows)
     tops, large = tops.drop("_size"), hot.drop("_size")
-    if hot.isEmpty():
+    hot_rows = hot.count()
+    if not hot_rows:
         return spread.join(tops, "prefix")
+    if hot_rows > MAX_BROADCAST_ROWS:
+        return join_hot(spread, tops, ["prefix"])
     few = F.broadcast(large)
     rest = spread.join(F.broadcast(large.select("prefix")), "prefix", "left_anti").join(tops, "prefix")
     return rest.unionByName(spread.join(few, "prefix").select(*rest.columns))
 
 
 def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alpha: float = ALPHA,
-                       pool: int | None = -1, max_length: int = MAX_PREFIX_LENGTH,
+                       pool: int | None = -1, max_length: int | None = None,
                        wanted: DataFrame | None = None, cluster: bool = False,
                        max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """``prefix, rank, query, count, score, blended`` for every prefix, or the ``wanted`` ones.
@@ -187,11 +200,12 @@ def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alp
     a score table too large to broadcast.
     """
     pool = candidate_pool(k) if pool == -1 else pool
-    cut = keep = None
+    cut = keep = lengths = None
     if wanted is not None:
-        max_length, cut, keep = only_for(wanted)
+        lengths, cut, keep = only_for(wanted)
+    allow_group_limit(dictionary, max(k, pool or 0))
     scored = with_scores(dictionary.select("query", "query_norm", "count"), scores)
-    spread = explode_prefixes(sort_for_prefixes(scored) if cluster else scored, max_length)
+    spread = explode_prefixes(sort_for_prefixes(scored) if cluster else scored, max_length, lengths)
     spread = cut(spread) if cut else spread
     by_prefix = Window.partitionBy("prefix")
     if pool is None:
@@ -201,9 +215,10 @@ def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alp
             spread.withColumn("_n", F.row_number().over(by_prefix.orderBy(*_by_count())))
             .where(F.col("_n") <= pool)
             .withColumn("top_count", F.max("count").over(by_prefix))
-            .withColumn("top_score", F.max("score").over(by_prefix))
+            .withColumn("top_level", F.max("level").over(by_prefix))
         )
-    blended = scoring.blend(F.col("count"), F.col("top_count"), F.col("score"), F.col("top_score"), alpha)
+    share = scoring.share_of(F.col("level"), F.col("top_level"))
+    blended = scoring.blend(F.col("count"), F.col("top_count"), share, F.lit(1.0), alpha)
     ranked = pooled.withColumn("blended", scoring.settled(blended)).withColumn(
         "rank", F.row_number().over(by_prefix.orderBy(*_blend_order()))
     ).where(F.col("rank") <= k)
@@ -212,10 +227,16 @@ def all_prefix_recency(dictionary: DataFrame, scores: DataFrame, k: int = K, alp
 
 def suggest(dictionary: DataFrame, scores: DataFrame, prefix: str | None, mode: str = "popularity", k: int = K,
             alpha: float = ALPHA, source: str = "DB") -> DataFrame:
-    """``rank, query, count`` for one request. ``mode`` ``recency`` (any case) blends recency in;
-    ``source`` ``TRIE`` answers popularity with normal forms."""
+    """``prefix, mode, source, rank, query, count`` for one request; no rows for a blank prefix.
+
+    ``mode`` ``recency`` (any case) blends recency in; ``source`` ``TRIE`` answers popularity with normal
+    forms. The source given back is ``DB``, ``TRIE`` or ``DB+RECENCY``.
+    """
     if (mode or "").lower() == "recency":
-        return prefix_recency(dictionary, scores, prefix, k, alpha).select("rank", "query", "count")
-    if source.upper() == "TRIE":
-        return norm_top(dictionary, prefix, k)
-    return prefix_top(dictionary, prefix, k)
+        found, kind, label = prefix_recency(dictionary, scores, prefix, k, alpha), "RECENCY", "DB+RECENCY"
+    elif source.upper() == "TRIE":
+        found, kind, label = norm_top(dictionary, prefix, k), "POPULARITY", "TRIE"
+    else:
+        found, kind, label = prefix_top(dictionary, prefix, k), "POPULARITY", "DB"
+    asked = text.normalize(F.lit(prefix).cast("string"))
+    return found.select(asked.alias("prefix"), F.lit(kind).alias("mode"), F.lit(label).alias("source"), "rank", "query", "count")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystride.functions import scoring
-from keystride.operators.ordered import row_numbers
+from keystride.operators.ordered import null_safe_join, row_numbers
 from keystride.params import MAX_GROUP_ROWS
 
 # The reported quantiles.
@@ -44,30 +44,42 @@ def store_traffic(log: DataFrame, folded: DataFrame) -> DataFrame:
 
 def latency(log: DataFrame, rule: str = "floor_n", took: str = "took_ms", request_id: str = "req_id",
             by: Sequence[str] = (), max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """``n, p50, p95, p99, mean`` by exact element pick.
+    """``n, p50, p95, p99, mean`` by exact element pick, for each group, a null one too.
 
     ``floor_n`` picks element ``int(q * n)`` counted from 1 (0 when there is none); ``floor_n_1``
     picks element ``floor(q * (n - 1))`` counted from 0.
     """
-    if rule not in ("floor_n", "floor_n_1"):
-        raise ValueError(f"unknown rule {rule!r}")
+    return latencies(log, [rule], took, request_id, by, max_group_rows).drop("rule")
+
+
+def latencies(log: DataFrame, rules: Sequence[str], took: str = "took_ms", request_id: str = "req_id",
+              by: Sequence[str] = (), max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """``rule`` and the columns of ``latency``; rows are numbered once for all rules.
+
+    Groups are few and their picks three per rule, so the picks are joined to the numbered rows by
+    group and number; a group that holds a third of the log is not gathered by its key.
+    """
+    if unknown := set(rules) - {"floor_n", "floor_n_1"}:
+        raise ValueError(f"unknown rule {unknown.pop()!r}")
     by = list(by)
     placed = row_numbers(log.select(*by, took, request_id), by, [F.asc(took), F.asc(request_id)], "_n", max_group_rows)
     totals = log.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(took).alias("mean"))
 
-    def wanted(q: float):
+    def wanted(rule: str, q: float):
         if rule == "floor_n":
             return F.floor(F.lit(q) * F.col("n").cast("double"))
         return F.floor(F.lit(q) * (F.col("n") - 1).cast("double")) + 1
 
-    joined = placed.join(totals, by) if by else placed.withColumns(
-        {"n": totals.select("n").scalar(), "mean": totals.select("mean").scalar()}
-    )
-    picks = [
-        F.coalesce(F.max(F.when(F.col("_n") == wanted(q), F.col(took))), F.lit(0.0)).alias(f"p{round(q * 100)}")
-        for q in QUANTILES
+    picks = totals.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(q).alias("q"), wanted(rule, q).alias("_n")) for rule in rules for q in QUANTILES
+    ])).alias("p")).select(*by, "p.*")
+    found = null_safe_join(placed.select(*by, "_n", took), picks, [*by, "_n"]).select(*by, "rule", "q", took)
+    every = totals.select(*by, F.explode(F.array(*map(F.lit, rules))).alias("rule"), "n", "mean")
+    both = every.unionByName(found, allowMissingColumns=True)
+    columns = [
+        F.coalesce(F.max(F.when(F.col("q") == q, F.col(took))), F.lit(0.0)).alias(f"p{round(q * 100)}") for q in QUANTILES
     ]
-    return joined.groupBy(*by).agg(F.max("n").alias("n"), *picks, F.max("mean").alias("mean"))
+    return both.groupBy(*by, "rule").agg(F.max("n").alias("n"), *columns, F.max("mean").alias("mean"))
 
 
 def latency_approximate(log: DataFrame, took: str = "took_ms", by: Sequence[str] = (),

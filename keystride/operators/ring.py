@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keystride.operators.ordered import join_hot
 from keystride.functions import text
 from keystride.functions.hashing import ring_position
 from keystride.params import MAX_BROADCAST_ROWS, VIRTUAL_NODES
@@ -106,7 +107,7 @@ def assign(keys: DataFrame, arcs: DataFrame, key: str = "key", by: Sequence[str]
     if wide.limit(max_broadcast + 1).count() <= max_broadcast:
         return owners(keys, F.broadcast(wide))
     distinct = owners(keys.select(*by, key).distinct(), wide)
-    return keys.join(distinct, [*by, key])
+    return join_hot(keys, distinct, [*by, key])
 
 
 def keys_per_node(assigned: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import text
 from keystride.operators import prefix, ring
+from keystride.operators.ordered import join_hot
 from keystride.session import materialize
 from keystride.params import ALPHA, K, TTL_POPULARITY_SECONDS, TTL_RECENCY_SECONDS
 
@@ -91,11 +92,29 @@ def answer(requests: DataFrame, stored: DataFrame, dictionary: DataFrame, scores
     live = stored.where(F.col("expires_at") > as_of).select("cache_key", "value")
     needed = asked.where(F.col("cache_key").isNotNull()).select("prefix", "mode", "cache_key").distinct()
     # Kept once: several branches of the computation read it.
-    missing = materialize(needed.join(live, "cache_key", "left_anti"))
+    fresh = materialize(live.join(needed.select("cache_key"), "cache_key", "left_semi"))
+    missing = materialize(needed.join(fresh, "cache_key", "left_anti"))
     computed = compute_lists(missing, dictionary, scores, k, alpha)
-    lists = live.withColumn("source", F.lit("MATERIALIZED")).unionByName(
+    lists = fresh.withColumn("source", F.lit("MATERIALIZED")).unionByName(
         computed.withColumn("source", F.lit("COMPUTED"))
     )
-    return asked.join(lists, "cache_key", "left").withColumn(
+    # Very many requests may share a key, or have none.
+    return join_hot(asked, materialize(lists), ["cache_key"], "left").withColumn(
         "source", F.coalesce("source", F.lit("EMPTY"))
     ).withColumn("value", F.coalesce("value", F.lit(_EMPTY_LIST)))
+
+
+def suggest_batch(requests: DataFrame, dictionary: DataFrame, scores: DataFrame, arcs: DataFrame, k: int = K,
+                  alpha: float = ALPHA) -> DataFrame:
+    """Requests with ``prefix, mode, source, node, value``, nothing stored being read.
+
+    ``source`` is ``DB``, ``DB+RECENCY`` or, for a blank prefix, ``EMPTY``; ``node`` owns the request's key
+    and is null for a blank prefix.
+    """
+    asked = resolve(requests)
+    needed = materialize(asked.where(F.col("cache_key").isNotNull()).select("prefix", "mode", "cache_key").distinct())
+    lists = compute_lists(needed, dictionary, scores, k, alpha)
+    placed = materialize(ring.assign(lists, arcs, "cache_key").select("cache_key", "node", "value"))
+    answered = join_hot(asked, placed, ["cache_key"], "left")
+    source = F.when(F.col("cache_key").isNull(), "EMPTY").when(F.col("mode") == "RECENCY", "DB+RECENCY").otherwise("DB")
+    return answered.withColumn("source", source).withColumn("value", F.coalesce("value", F.lit(_EMPTY_LIST)))

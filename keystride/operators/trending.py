@@ -1,7 +1,9 @@
 """Decayed scores and trending lists.
 
-Event columns: ``query_norm``, ``ts``. Score table columns: ``query_norm``, ``score``, ``ref_ts``.
-A score is the sum over the searches of a query of a weight that halves every half-life.
+Event columns: ``query_norm``, ``ts``. Score table columns: ``query_norm``, ``score``, ``level``, ``ref_ts``.
+A score is the sum over the searches of a query of a weight that halves every half-life; ``level`` is its
+binary logarithm. A score fades to zero some thousand half-lives after the last search, its level does
+not, so ranking goes by level.
 """
 
 from __future__ import annotations
@@ -16,29 +18,60 @@ from pyspark.sql.window import Window
 from keystride.functions import scoring
 from keystride.operators import prefix
 from keystride.params import ALPHA, HALF_LIFE_SECONDS, TRENDING_SIZE, leader_count
+from keystride.session import materialize
 
 Moment = dt.datetime | str
 
 
-def decayed_scores(events: DataFrame, as_of: Moment, half_life: float = HALF_LIFE_SECONDS) -> DataFrame:
-    """Score of every query as seen at ``as_of``; later events are ignored.
+# Half-lives per epoch: weights up to 2**512 fit a double with room to spare.
+_EPOCH_HALF_LIVES = 512
+
+
+def _summed(weighted: DataFrame, now: Column, half_life: float) -> DataFrame:
+    """Scores and levels at ``now`` of rows ``query_norm, us, value``.
 
-    Exponents never exceed zero, so no weight can overflow however long the history is.
+    Weights grow from the start of the row's epoch, so none is lost; the few epochs of a query are
+    added relative to its last one. The second grouping sees a row per query and epoch.
     """
+    seconds = F.col("us") / F.lit(1e6)
+    span = _EPOCH_HALF_LIVES * half_life
+    epoch = F.floor(seconds / F.lit(span))
+    grown = F.col("value") * F.pow(F.lit(2.0), (seconds - F.col("_epoch") * F.lit(span)) / F.lit(half_life))
+    seen = F.col("value") * scoring.decay(scoring.age_seconds(F.col("us"), now), half_life)
+    per_epoch = weighted.withColumn("_epoch", epoch).groupBy("query_norm", "_epoch").agg(
+        F.sum(grown).alias("_grown"), F.sum(seen).alias("score"))
+    epochs = per_epoch.groupBy("query_norm").agg(
+        F.sum("score").alias("score"), F.max("_epoch").alias("_last"),
+        F.collect_list(F.struct("_epoch", "_grown")).alias("_parts"))  # one entry per epoch of the history
+    total = F.aggregate("_parts", F.lit(0.0), lambda acc, e: acc + e["_grown"] * F.pow(
+        F.lit(2.0), ((e["_epoch"] - F.col("_last")) * _EPOCH_HALF_LIVES).cast("double")))
+    level = F.log2(total) + (F.col("_last") * F.lit(span) - now / F.lit(1e6)) / F.lit(half_life)
+    return epochs.select("query_norm", "score", level.alias("level"), F.timestamp_micros(now).alias("ref_ts"))
+
+
+def decayed_scores(events: DataFrame, as_of: Moment, half_life: float = HALF_LIFE_SECONDS) -> DataFrame:
+    """Score of every query as seen at ``as_of``; later events are ignored."""
     now = scoring.as_micros(as_of)
     at = F.unix_micros("ts")
-    weight = scoring.decay(scoring.age_seconds(at, now), half_life)
-    summed = events.where(at <= now).groupBy("query_norm").agg(F.sum(weight).alias("score"))
-    return summed.withColumn("ref_ts", F.timestamp_micros(now))
+    rows = events.where(at <= now).select("query_norm", at.alias("us"), F.lit(1.0).alias("value"))
+    return _summed(rows, now, half_life)
+
+
+def with_level(scores: DataFrame) -> DataFrame:
+    """A score table that may come without levels."""
+    if "level" in scores.columns:
+        return scores
+    return scores.withColumn("level", F.when(F.col("score") > 0, F.log2("score")))
 
 
 def reanchor(scores: DataFrame, as_of: Moment, half_life: float = HALF_LIFE_SECONDS) -> DataFrame:
     """Move scores to another reference time; their order does not change."""
     now = scoring.as_micros(as_of)
     age = scoring.age_seconds(F.unix_micros("ref_ts"), now)
-    return scores.select(
+    return with_level(scores).select(
         "query_norm",
         (F.col("score") * scoring.decay(age, half_life)).alias("score"),
+        (F.col("level") - age / F.lit(half_life)).alias("level"),
         F.timestamp_micros(now).alias("ref_ts"),
     )
 
@@ -47,7 +80,11 @@ def add_scores(scores: DataFrame, more: DataFrame, as_of: Moment,
                half_life: float = HALF_LIFE_SECONDS) -> DataFrame:
     """Sum two score tables at a common reference time."""
     both = reanchor(scores, as_of, half_life).unionByName(reanchor(more, as_of, half_life))
-    return both.groupBy("query_norm").agg(F.sum("score").alias("score"), F.max("ref_ts").alias("ref_ts"))
+    summed = both.groupBy("query_norm").agg(
+        F.sum("score").alias("score"), F.max("level").alias("_top"), F.max("ref_ts").alias("ref_ts"),
+        F.collect_list("level").alias("_levels"))  # an entry per table
+    total = F.aggregate("_levels", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(2.0), x - F.col("_top")))
+    return summed.select("query_norm", "score", (F.col("_top") + F.log2(total)).alias("level"), "ref_ts")
 
 
 def score_partials(events: DataFrame, width: str = "1 hour", half_life: float = HALF_LIFE_SECONDS) -> DataFrame:
@@ -69,9 +106,7 @@ def scores_from_partials(partials: DataFrame, as_of: Moment, half_life: float =
     """Total score at ``as_of`` from windows that have ended by then."""
     now = scoring.as_micros(as_of)
     at = F.unix_micros("window_end")
-    weight = scoring.decay(scoring.age_seconds(at, now), half_life)
-    summed = partials.where(at <= now).groupBy("query_norm").agg(F.sum(F.col("partial") * weight).alias("score"))
-    return summed.withColumn("ref_ts", F.timestamp_micros(now))
+    return _summed(partials.where(at <= now).select("query_norm", at.alias("us"), F.col("partial").alias("value")), now, half_life)
 
 
 def best_of_norm(dictionary: DataFrame) -> DataFrame:
@@ -82,8 +117,8 @@ def best_of_norm(dictionary: DataFrame) -> DataFrame:
 
 def score_leaders(scores: DataFrame, n: int) -> DataFrame:
     """The ``n`` highest scores; ties go to the larger text."""
-    settled = scores.select("query_norm", scoring.settled(F.col("score")).alias("score"))
-    return settled.orderBy(F.desc("score"), F.desc("query_norm")).limit(n)
+    settled = with_level(scores).select("query_norm", "score", scoring.settled_level(F.col("level")).alias("level"))
+    return settled.orderBy(F.desc("level"), F.desc("query_norm")).limit(n)
 
 
 def trending_popularity(dictionary: DataFrame, size: int = TRENDING_SIZE) -> DataFrame:
@@ -93,7 +128,7 @@ def trending_popularity(dictionary: DataFrame, size: int = TRENDING_SIZE) -> Dat
 
 def trending_recency(dictionary: DataFrame, scores: DataFrame, size: int = TRENDING_SIZE,
                      alpha: float = ALPHA) -> DataFrame:
-    """``rank, query, display, count, score, blended, mode, source`` over the score leaders.
+    """``rank, query, display, count, score, level, blended, mode, source`` over the score leaders.
 
     With an empty score table the popularity list is returned, labelled as the fallback; both
     branches are part of one plan.
@@ -102,24 +137,24 @@ def trending_recency(dictionary: DataFrame, scores: DataFrame, size: int = TREND
     # At most leader_count rows: the dictionary is filtered in place, not shuffled.
     known = dictionary.join(F.broadcast(leaders.select("query_norm")), "query_norm")
     scored = leaders.join(best_of_norm(known), "query_norm", "left").select(
-        "query_norm", "display", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "score"
+        "query_norm", "display", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "score", "level"
     )
     everyone = Window.partitionBy()  # leader_count rows
-    blended = scoring.blend(
-        F.col("count"), F.max("count").over(everyone), F.col("score"), F.max("score").over(everyone), alpha
-    )
-    order = [F.desc("blended"), F.desc("score"), F.desc("query_norm")]
+    share = scoring.share_of(F.col("level"), F.max("level").over(everyone))
+    blended = scoring.blend(F.col("count"), F.max("count").over(everyone), share, F.lit(1.0), alpha)
+    order = [F.desc("blended"), F.desc("level"), F.desc("query_norm")]
     ranked = scored.withColumn("blended", scoring.settled(blended)).withColumn(
         "rank", F.row_number().over(Window.orderBy(*order))
     )
     hot = ranked.where(F.col("rank") <= size).select(
-        "rank", F.col("query_norm").alias("query"), "display", "count", "score", "blended",
+        "rank", F.col("query_norm").alias("query"), "display", "count", "score", "level", "blended",
         F.lit("COMPUTED").alias("source"),
     )
     none_scored = scores.select(F.lit(1).alias("one")).limit(1).agg(F.count("one")).scalar() == 0
     cold = prefix.global_top(dictionary.where(none_scored), size).select(
         "rank", "query", F.col("query").alias("display"), "count",
-        F.lit(0.0).alias("score"), F.lit(0.0).alias("blended"), F.lit("FALLBACK_POPULARITY").alias("source"),
+        F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("blended"),
+        F.lit("FALLBACK_POPULARITY").alias("source"),
     )
     return hot.unionByName(cold).withColumn("mode", F.lit("RECENCY"))
 
@@ -134,10 +169,6 @@ def trending(dictionary: DataFrame, scores: DataFrame, mode: str = "recency", si
     return top.select("rank", "query", "count", "mode", "source")
 
 
-# Half-lives per epoch of the running score: weights up to 2**512 fit a double with room to spare.
-_EPOCH_HALF_LIVES = 512
-
-
 def running_scores(partials: DataFrame, half_life: float = HALF_LIFE_SECONDS) -> DataFrame:
     """Add ``score``: the query's decayed score at each of its windows, this one included.
 
@@ -221,7 +252,7 @@ def trending_snapshots(partials: DataFrame, dictionary: DataFrame, first: Moment
     # log2 of the score, as if it never decayed: comparable between all runs of a block.
     level_score = F.log2("score") + (F.unix_micros("window_end") - start) / F.lit(1e6 * half_life)
     blocks = runs.select(
-        "query_norm", "window_end", "score", scoring.settled(level_score).alias("level_score"),
+        "query_norm", "window_end", "score", scoring.settled_level(level_score).alias("level_score"),
         F.explode(_whole_blocks(F.col("seen"), F.col("until"), levels)).alias("b"),
     )
     order = [F.desc("level_score"), F.desc("query_norm")]
@@ -237,18 +268,26 @@ def trending_snapshots(partials: DataFrame, dictionary: DataFrame, first: Moment
     at = start + F.col("snapshot") * F.lit(step)
     age = scoring.age_seconds(F.unix_micros("window_end"), at)
     decayed = scoring.settled(F.col("score") * scoring.decay(age, half_life))
-    leaders = drawn.select("snapshot", "query_norm", decayed.alias("score"))
-    popular = prefix.per_norm(dictionary)
+    leaders = materialize(drawn.select("snapshot", "query_norm", decayed.alias("score"), "level_score"))
+    # leader_count names per snapshot at most: the dictionary is cut to them before it is grouped.
+    popular = prefix.per_norm(dictionary.join(leaders.select("query_norm").distinct(), "query_norm", "left_semi"))
     scored = leaders.join(popular, "query_norm", "left").withColumn(
         "count", F.coalesce("count", F.lit(0).cast("bigint"))
     )
     per = Window.partitionBy("snapshot")
-    blended = scoring.settled(scoring.blend(
-        F.col("count"), F.max("count").over(per), F.col("score"), F.max("score").over(per), alpha
-    ))
-    final = [F.desc("blended"), F.desc("score"), F.desc("query_norm")]
+    share = scoring.share_of(F.col("level_score"), F.max("level_score").over(per))
+    blended = scoring.settled(scoring.blend(F.col("count"), F.max("count").over(per), share, F.lit(1.0), alpha))
+    final = [F.desc("blended"), F.desc("level_score"), F.desc("query_norm")]
     ranked = scored.withColumn("blended", blended).withColumn("rank", F.row_number().over(per.orderBy(*final)))
-    return ranked.where(F.col("rank") <= size).select(
-        "snapshot", F.timestamp_micros(start + F.col("snapshot") * F.lit(step)).alias("as_of"),
-        "rank", F.col("query_norm").alias("query"), "count", "score", "blended",
-    )
+    hot = ranked.where(F.col("rank") <= size).select(
+        "snapshot", "rank", F.col("query_norm").alias("query"), "count", "score", "blended", F.lit("COMPUTED").alias("source"))
+    # Snapshots before the first score show the popularity list; its ``size`` rows are one array.
+    top = prefix.global_top(dictionary, size).agg(F.array_sort(F.collect_list(F.struct("rank", "query", "count"))))
+    every = dictionary.sparkSession.range(count).select(F.col("id").alias("snapshot"))
+    bare = every.join(leaders.select("snapshot").distinct(), "snapshot", "left_anti")
+    cold = bare.withColumn("top", top.scalar()).select("snapshot", F.inline("top")).select(
+        "snapshot", "rank", "query", "count", F.lit(0.0).alias("score"), F.lit(0.0).alias("blended"),
+        F.lit("FALLBACK_POPULARITY").alias("source"))
+    moment = F.timestamp_micros(start + F.col("snapshot") * F.lit(step))
+    return hot.unionByName(cold).withColumn("as_of", moment).select(
+        "snapshot", "as_of", "rank", "query", "count", "score", "blended", "source")

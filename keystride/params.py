@@ -15,7 +15,6 @@ DEBOUNCE_SECONDS = 0.2
 MAX_QUERY_LENGTH = 512      # UTF-16 units
 
 # Bounds of ours.
-MAX_PREFIX_LENGTH = 10      # prefixes longer than this are answered by a direct scan
 MAX_GROUP_ROWS = 1_000_000  # a larger window group is split over many tasks
 MAX_BROADCAST_ROWS = 200_000  # a larger side is joined by shuffling
 

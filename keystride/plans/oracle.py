@@ -21,15 +21,10 @@ def position(key: str) -> str:
     return f"(CASE WHEN {bits} >= 9223372036854775808 THEN {bits} - 18446744073709551616 ELSE {bits} END)::BIGINT"
 
 
-def below(bound: str, *parts: str) -> str:
-    joined = " || chr(31) || ".join(parts)
-    return f"(('0x' || substr(md5({joined}), 1, 13))::UBIGINT::BIGINT % ({bound}))"
-
-
 PIECES = {
     "doc_word": r"""
         SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \n\t]+')) AS w FROM documents)
-        WHERE length(w) >= 2 AND length(w) <= 512""",
+        WHERE w <> '' AND NOT (length(w) + length(regexp_replace(w, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) > 512""",
     "search_query": f"""
         SELECT w AS query, {norm('w')} AS query_norm, count(*) AS "count" FROM doc_word GROUP BY w""",
     "frequent": """
@@ -48,19 +43,24 @@ PIECES = {
     "score": """
         SELECT query_norm, sum(exp(-((epoch_us(TIMESTAMP '2024-01-31') - us) / 1e6) * ln(2) / 259200.0)) AS score
         FROM search_event WHERE ts <= TIMESTAMP '2024-01-31' GROUP BY query_norm""",
-    "settled": "SELECT query_norm, round(score, 12) AS score FROM score",
+    "settled": "SELECT query_norm, score, round(log2(score), 8) AS level FROM score",
+    # As seen 60 days later at a half-life of an hour: relative to each query's newest search.
+    "settled_old": """
+        SELECT query_norm, 0.0::DOUBLE AS score, round(log2(sum(pow(2, -((top - us) / 1e6) / 3600.0)))
+               - (epoch_us(TIMESTAMP '2024-03-31') - max(top)) / 1e6 / 3600.0, 8) AS level
+        FROM (SELECT *, max(us) OVER (PARTITION BY query_norm) AS top FROM search_event) GROUP BY query_norm""",
     "spread": """
-        SELECT substr(query_norm, 1, i::INT) AS prefix, q.*
-        FROM search_query q, range(1, 11) t(i) WHERE i <= length(query_norm)""",
+        SELECT substr(query_norm, 1, i::INT) AS prefix, q.* EXCLUDE (i)
+        FROM (SELECT *, unnest(range(1, length(query_norm) + 1)) AS i FROM search_query) q""",
     "all_top": """
         SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY "count" DESC, query)::INT AS rank, query, "count"
         FROM spread QUALIFY rank <= 10""",
     "all_pooled": """
-        SELECT s.prefix, s.query, s."count", coalesce(r.score, 0) AS score FROM (
+        SELECT s.prefix, s.query, s."count", coalesce(r.score, 0) AS score, r.level FROM (
             SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY "count" DESC, query) AS n FROM spread QUALIFY n <= 50
         ) s LEFT JOIN settled r USING (query_norm)""",
     "all_unpooled": """
-        SELECT s.prefix, s.query, s."count", coalesce(r.score, 0) AS score
+        SELECT s.prefix, s.query, s."count", coalesce(r.score, 0) AS score, r.level
         FROM spread s LEFT JOIN settled r USING (query_norm)""",
     "all_recency": None,
     "flush": """
@@ -75,7 +75,9 @@ PIECES = {
     "supplier_nodes": """
         SELECT s_suppkey::INT AS node_index, 'node-' || s_suppkey || ' (host:6379/' || s_nationkey || ')' AS node
         FROM supplier""",
-    "prefix_keys": "SELECT DISTINCT 'suggest:' || substr(query_norm, 1, 3) AS key FROM search_query",
+    "prefix_keys": """
+        SELECT DISTINCT 'suggest:' || substr(query_norm, 1, i::INT) AS key
+        FROM (SELECT query_norm, unnest(range(1, length(query_norm) + 1)) AS i FROM search_query)""",
     "hits": """
         SELECT event_id AS req_id, query_norm, CASE WHEN event_id IN (SELECT req_id FROM refill) THEN 'COMPUTED'
                ELSE 'CACHE' END AS source FROM search_event""",
@@ -87,11 +89,11 @@ def blended(source: str, by: str, columns: str, tie: str, size: int, extra: str
     return f"""
         SELECT *, row_number() OVER ({by} ORDER BY blended DESC, {tie})::INT AS rank FROM (
             SELECT {columns}, round(0.5 * ("count"::DOUBLE / greatest(1, max("count") OVER ({by})))
-                + 0.5 * (score / CASE WHEN max(score) OVER ({by}) = 0 THEN 1 ELSE max(score) OVER ({by}) END), 12) AS blended
+                + 0.5 * coalesce(round(pow(2, level - max(level) OVER ({by})), 12), 0), 12) AS blended
             FROM {source} {extra}) QUALIFY rank <= {size}"""
 
 
-PIECES["all_recency"] = blended("all_pooled", "PARTITION BY prefix", 'prefix, query, "count", score', '"count" DESC, query', 10)
+PIECES["all_recency"] = blended("all_pooled", "PARTITION BY prefix", 'prefix, query, "count", score, level', '"count" DESC, query', 10)
 
 
 def ring_of(nodes: str, replicas: str = "150") -> str:
@@ -109,7 +111,7 @@ def owners(keys: str, ring: str) -> str:
         FROM (SELECT *, {position('key')} AS pos FROM {keys}) k ASOF LEFT JOIN {ring} r ON k.pos <= r.pos"""
 
 
-def refill_of(requests: str, key: str) -> str:
+def refill_of(requests: str, key: str, same: str = "=") -> str:
     """Recursive: next pointers by a range frame, then the chain from each key's first request."""
     return f"""
         once AS (SELECT {key} AS key, us // 1000 AS ms, min(req_id) AS req_id FROM {requests} GROUP BY ALL),
@@ -117,9 +119,9 @@ def refill_of(requests: str, key: str) -> str:
                     RANGE BETWEEN 21600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM once),
         chain AS (SELECT key, min(ms) AS ms FROM once GROUP BY key
                   UNION ALL
-                  SELECT c.key, p.following FROM chain c JOIN pointer p ON p.key = c.key AND p.ms = c.ms
+                  SELECT c.key, p.following FROM chain c JOIN pointer p ON p.key {same} c.key AND p.ms = c.ms
                   WHERE p.following IS NOT NULL),
-        refill AS (SELECT c.key, c.ms, o.req_id FROM chain c JOIN once o ON o.key = c.key AND o.ms = c.ms)"""
+        refill AS (SELECT c.key, c.ms, o.req_id FROM chain c JOIN once o ON o.key {same} c.key AND o.ms = c.ms)"""
 
 
 def sql(body: str, pieces: str = "", tail: str = "", recursive: str = "") -> str:
@@ -135,7 +137,6 @@ EVENTS = f"{WORDS} frequent raw_event search_event"
 SCORES = f"{EVENTS} score settled"
 REQUESTS = f"{WORDS} frequent raw_event request_log"
 FLUSHES = f"{EVENTS} flush folded"
-LEADERS = """SELECT query_norm, score FROM settled ORDER BY score DESC, query_norm DESC LIMIT 30"""
 REFILL = refill_of("(SELECT event_id AS req_id, * FROM search_event)", "query_norm")
 
 BEST = """SELECT query_norm, arg_min(query, (-"count", query)) AS display, max("count") AS "count"
@@ -148,25 +149,30 @@ def prefix_top(prefix: str, source: str = "search_query", name: str = "query", c
         FROM {source} WHERE starts_with({column}, '{prefix}') QUALIFY rank <= 10"""
 
 
-def prefix_blend(pool: int | None) -> str:
+def prefix_blend(pool: int | None, settled: str = "settled") -> str:
     cut = f'QUALIFY row_number() OVER (ORDER BY "count" DESC, query) <= {pool}' if pool else ""
     cands = f"""cands AS (SELECT * FROM search_query WHERE starts_with(query_norm, 'th') {cut}),
-        scored AS (SELECT query, "count", coalesce(score, 0) AS score FROM cands LEFT JOIN settled USING (query_norm)),
-        done AS ({blended('scored', '', 'query, "count", score', '"count" DESC, query', 10)})"""
+        scored AS (SELECT query, "count", coalesce(score, 0) AS score, level FROM cands LEFT JOIN {settled} USING (query_norm)),
+        done AS ({blended('scored', '', 'query, "count", score, level', '"count" DESC, query', 10)})"""
+    if settled != "settled":
+        return sql("""SELECT rank, query, "count", round(blended, 6) AS blended FROM done""", f"{EVENTS} {settled}", cands)
     return sql("""SELECT rank, query, "count", round(score, 6) AS score, round(blended, 6) AS blended FROM done""",
                SCORES, cands)
 
 
-def trending_with(score_filter: str) -> str:
+def trending_with(score_filter: str, settled: str = "settled") -> str:
     tail = f"""
-        visible AS (SELECT * FROM settled WHERE {score_filter}),
-        leaders AS (SELECT query_norm, score FROM visible ORDER BY score DESC, query_norm DESC LIMIT 30),
+        visible AS (SELECT * FROM {settled} WHERE {score_filter}),
+        leaders AS (SELECT query_norm, score, level FROM visible ORDER BY level DESC, query_norm DESC LIMIT 30),
         best AS ({BEST}),
-        scored AS (SELECT l.query_norm, b.display, coalesce(b."count", 0) AS "count", l.score
+        scored AS (SELECT l.query_norm, b.display, coalesce(b."count", 0) AS "count", l.score, l.level
                    FROM leaders l LEFT JOIN best b USING (query_norm)),
-        hot AS ({blended('scored', '', 'query_norm, display, "count", score', 'score DESC, query_norm DESC', 10)}),
+        hot AS ({blended('scored', '', 'query_norm, display, "count", score, level', 'level DESC, query_norm DESC', 10)}),
         cold AS (SELECT row_number() OVER (ORDER BY "count" DESC, query)::INT AS rank, query, "count" FROM search_query
                  WHERE NOT EXISTS (SELECT 1 FROM visible) QUALIFY rank <= 10)"""
+    if settled != "settled":
+        return sql("""SELECT rank, query_norm AS query, display, "count", round(level, 6) AS level, round(blended, 6) AS blended,
+            'RECENCY' AS mode, 'COMPUTED' AS source FROM hot""", f"{EVENTS} {settled}", tail)
     return sql("""
         SELECT rank, query_norm AS query, display, "count", round(score, 6) AS score, round(blended, 6) AS blended,
                'RECENCY' AS mode, 'COMPUTED' AS source FROM hot
@@ -206,33 +212,17 @@ ASKED = f"""
                CASE WHEN req_id % 4 = 0 THEN 'RECENCY' ELSE 'POPULARITY' END AS mode,
                CASE WHEN req_id % 4 = 1 THEN 'POPULARITY' ELSE 'RECENCY' END AS trending_mode FROM request_log)"""
 
-FAMILIES = """
-    brand AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT p_brand AS w FROM part)),
-    type AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT p_type AS w FROM part)),
-    name AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT p_name AS w FROM part)),
-    place AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT r_name AS w FROM region)),
-    phrase AS (
-        SELECT 1 AS family, w AS query, i, -1 AS j, 0 AS variant FROM brand
-        UNION ALL SELECT 1, b.w || ' ' || p.w, b.i, p.i, 0 FROM brand b, place p
-        UNION ALL SELECT 2, w, i, -1, 0 FROM type
-        UNION ALL SELECT 2, t.w || ' ' || p.w, t.i, p.i, 0 FROM type t, place p
-        UNION ALL SELECT 2, 'best ' || t.w || ' ' || p.w, t.i, p.i, 1 FROM type t, place p
-        UNION ALL SELECT 3, w, i, -1, 0 FROM name
-        UNION ALL SELECT 3, n.w || ' ' || t.w, n.i, t.i, 0 FROM name n, type t
-        UNION ALL SELECT 4, b.w || ' ' || t.w, b.i, t.i, 0 FROM brand b, type t
-        UNION ALL SELECT 5, a.w || ' vs ' || b.w, a.i, b.i, 0 FROM place a, place b WHERE a.w <> b.w),
-    family AS (SELECT query, min({'family': family, 'i': i, 'j': j, 'variant': variant}) AS spot FROM phrase GROUP BY query),
-    ranked AS (SELECT query, spot.family AS family, row_number() OVER (ORDER BY spot) AS rank FROM family)"""
-
-ZIPF = f"""(floor(100000.0::DOUBLE / pow(rank::DOUBLE, 0.85)))::BIGINT + {below('50', "'42'", "'noise'", 'query')} + 1"""
-
 ORACLE: dict[str, str] = {
     "dictionary": sql('SELECT query, query_norm, "count" FROM search_query', WORDS),
     "table_statistics": sql("""SELECT count(*) AS rows, count(DISTINCT query_norm) AS norms,
         sum("count")::BIGINT AS total FROM search_query""", WORDS),
     "best_of_norm": sql(BEST, WORDS),
     "escape_like": sql(r"""SELECT query, replace(replace(replace(query, '\', '\\'), '%', '\%'), '_', '\_') AS escaped
-        FROM search_query WHERE contains(query, '%') OR contains(query, '_') OR contains(query, '\')""", WORDS),
+        FROM search_query""", WORDS),
+    "overlong_words": r"""SELECT doc_id, count(*) AS rejected, sum(units)::BIGINT AS units
+        FROM (SELECT doc_id, length(w) + length(regexp_replace(w, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS units
+              FROM (SELECT doc_id, unnest(string_split_regex(text, '[ \n\t]+')) AS w FROM documents))
+        WHERE units > 512 GROUP BY doc_id""".replace("\\\\", "\\"),
     "prefix_topk": sql(prefix_top("th"), WORDS),
     "wildcard_prefix_topk": sql(prefix_top("of%"), WORDS),
     "global_topk": sql(prefix_top(""), WORDS),
@@ -245,16 +235,18 @@ ORACLE: dict[str, str] = {
     "all_prefix_norm_topk": sql("""
         SELECT substr(query, 1, i::INT) AS prefix,
                row_number() OVER (PARTITION BY substr(query, 1, i::INT) ORDER BY "count" DESC, query)::INT AS rank,
-               query, "count" FROM s, range(1, 11) t(i) WHERE i <= length(query) QUALIFY rank <= 10""", WORDS, """
+               query, "count" FROM (SELECT *, unnest(range(1, length(query) + 1)) AS i FROM s) QUALIFY rank <= 10""", WORDS, """
         s AS (SELECT query_norm AS query, sum("count")::BIGINT AS "count" FROM search_query GROUP BY query_norm)"""),
     "prefix_recency": prefix_blend(50),
     "prefix_recency_unpooled": prefix_blend(None),
+    "prefix_recency_old": prefix_blend(50, "settled_old"),
+    "trending_recency_old": trending_with("true", "settled_old"),
     "all_prefix_recency": sql("""SELECT prefix, rank, query, "count", round(score, 6) AS score,
         round(blended, 6) AS blended FROM all_recency""", f"{SCORES} spread all_pooled all_recency"),
     "all_prefix_recency_unpooled": sql(
         """SELECT prefix, rank, query, "count", round(score, 6) AS score, round(blended, 6) AS blended FROM done""",
         f"{SCORES} spread all_unpooled", "done AS (" + blended(
-            "all_unpooled", "PARTITION BY prefix", 'prefix, query, "count", score', '"count" DESC, query', 10) + ")"),
+            "all_unpooled", "PARTITION BY prefix", 'prefix, query, "count", score, level', '"count" DESC, query', 10) + ")"),
     "decayed_score": sql("SELECT query_norm, round(score, 6) AS score FROM score", f"{EVENTS} score"),
     "score_partials": sql("""
         SELECT query_norm, (day + 1) * 86400000000 AS window_end_us,
@@ -265,19 +257,24 @@ ORACLE: dict[str, str] = {
     "trending_popularity": sql(f"SELECT *, 'POPULARITY' AS mode, 'COMPUTED' AS source FROM ({prefix_top('')})", WORDS),
     "trending_recency": trending_with("true"),
     "trending_cold_start": trending_with("false"),
-    "trending_snapshots": sql(
-        """SELECT as_of_us, rank, query_norm AS query, "count", round(score, 6) AS score, round(blended, 6) AS blended
-           FROM done""", EVENTS, f"""
-        moment AS (SELECT epoch_us(TIMESTAMP '2024-01-02') + i * 86400000000 AS as_of_us FROM range(30) t(i)),
-        seen AS (SELECT as_of_us, query_norm, round(sum(pow(2, -((as_of_us - us) / 1e6) / 259200.0)), 12) AS score
+    "trending_snapshots": sql("""
+        SELECT as_of_us, rank, query_norm AS query, "count", round(score, 6) AS score, round(blended, 6) AS blended,
+               'COMPUTED' AS source FROM done
+        UNION ALL
+        SELECT as_of_us, rank, query, "count", 0.0::DOUBLE, 0.0::DOUBLE, 'FALLBACK_POPULARITY' FROM moment, top
+        WHERE as_of_us NOT IN (SELECT as_of_us FROM seen)""", EVENTS, f"""
+        moment AS (SELECT epoch_us(TIMESTAMP '2023-12-31') + i * 86400000000 AS as_of_us FROM range(32) t(i)),
+        top AS ({prefix_top('')}),
+        seen AS (SELECT as_of_us, query_norm, sum(pow(2, -((as_of_us - us) / 1e6) / 259200.0)) AS score,
+                        round(log2(sum(pow(2, -((as_of_us - us) / 1e6) / 259200.0))), 8) AS level
                  FROM moment JOIN search_event ON us < as_of_us GROUP BY ALL),
         leaders AS (SELECT * FROM seen
-                    QUALIFY row_number() OVER (PARTITION BY as_of_us ORDER BY score DESC, query_norm DESC) <= 30),
+                    QUALIFY row_number() OVER (PARTITION BY as_of_us ORDER BY level DESC, query_norm DESC) <= 30),
         best AS ({BEST}),
-        scored AS (SELECT as_of_us, query_norm, coalesce("count", 0) AS "count", score
+        scored AS (SELECT as_of_us, query_norm, coalesce("count", 0) AS "count", score, level
                    FROM leaders LEFT JOIN best USING (query_norm)),
-        done AS ({blended('scored', 'PARTITION BY as_of_us', 'as_of_us, query_norm, "count", score',
-                          'score DESC, query_norm DESC', 10)})"""),
+        done AS ({blended('scored', 'PARTITION BY as_of_us', 'as_of_us, query_norm, "count", score, level',
+                          'level DESC, query_norm DESC', 10)})"""),
     "validate_events": sql(f"""
         SELECT doc_id, line_no, units, concat_ws('; ',
             CASE WHEN {trimmed('line')} = '' THEN 'query: must not be blank' END,
@@ -299,9 +296,9 @@ ORACLE: dict[str, str] = {
                floor(100.0::DOUBLE * (1 - count(*)::DOUBLE / sum(delta)::DOUBLE) * 10000 + 0.5) / 10000 AS reduction_percent
         FROM folded""", FLUSHES),
     "requeue_merge": sql("""
-        SELECT flush_window, 1::BIGINT AS flush_chunk, query_norm, sum(delta)::BIGINT AS delta,
+        SELECT flush_window, greatest(flush_chunk, 1)::BIGINT AS flush_chunk, query_norm, sum(delta)::BIGINT AS delta,
                arg_max(display, flush_chunk) AS display, max(last_us) AS last_us
-        FROM folded WHERE flush_chunk IN (0, 1) GROUP BY flush_window, query_norm""", FLUSHES),
+        FROM folded GROUP BY flush_window, greatest(flush_chunk, 1), query_norm""", FLUSHES),
     "upsert_merge": sql("""
         SELECT query, arg_min(query_norm, created_us) AS query_norm, sum("count")::BIGINT AS "count",
                max(last_us) AS last_us, min(created_us) AS created_us
@@ -320,27 +317,44 @@ ORACLE: dict[str, str] = {
         ring AS ({ring_of('nodes3')}),
         placed AS (SELECT key AS cache_key, node, value, epoch_us(TIMESTAMP '2024-01-31') + 60000000 AS expires_us
                    FROM ({owners('lists', 'ring')}))"""),
+    "materialize_lists_recency": sql("SELECT cache_key, node, value, expires_us FROM placed",
+        f"{SCORES} spread all_pooled all_recency nodes3", f"""
+        lists AS (SELECT 'suggest:recency:' || prefix AS key, {LIST_JSON} AS value FROM all_recency GROUP BY prefix),
+        ring AS ({ring_of('nodes3')}),
+        placed AS (SELECT key AS cache_key, node, value, epoch_us(TIMESTAMP '2024-01-31') + 15000000 AS expires_us
+                   FROM ({owners('lists', 'ring')}))"""),
     "invalidate_keys": sql("""SELECT 'suggest:' || prefix AS cache_key, value FROM lists
         WHERE prefix NOT IN (SELECT p FROM touched)""", f"{EVENTS} spread all_top", f"""
         lists AS (SELECT prefix, {LIST_JSON} AS value FROM all_top GROUP BY prefix),
-        touched AS (SELECT DISTINCT substr(query_norm, 1, i::INT) AS p FROM search_event, range(1, 513) t(i)
-                    WHERE i <= length(query_norm) AND ts >= TIMESTAMP '2024-01-30')"""),
+        touched AS (SELECT DISTINCT substr(query_norm, 1, i::INT) AS p
+                    FROM (SELECT query_norm, unnest(range(1, length(query_norm) + 1)) AS i FROM search_event
+                          WHERE ts >= TIMESTAMP '2024-01-30'))"""),
     "resolve_requests": sql("""SELECT req_id, prefix, mode, trending_mode, CASE WHEN prefix = '' THEN '-'
         WHEN mode = 'RECENCY' THEN 'suggest:recency:' || prefix ELSE 'suggest:' || prefix END AS cache_key
         FROM asked""", REQUESTS, ASKED),
     "materialized_else_compute": sql("""
-        SELECT req_id, a.prefix, a.mode,
-               CASE WHEN a.prefix = '' THEN 'EMPTY' WHEN a.mode = 'POPULARITY' AND p.prefix IS NOT NULL AND length(a.prefix) <= 2
+        SELECT req_id, a.prefix, a.mode, CASE WHEN a.prefix = '' THEN 'EMPTY' WHEN l.value IS NOT NULL AND length(l.key) % 2 = 0
                     THEN 'MATERIALIZED' ELSE 'COMPUTED' END AS source,
-               CASE WHEN a.prefix = '' THEN '[]' WHEN a.mode = 'RECENCY' THEN coalesce(r.value, '[]')
-                    WHEN length(a.prefix) <= 2 THEN coalesce(p.short, '[]') ELSE coalesce(p.value, '[]') END AS value
-        FROM asked a LEFT JOIN popular p ON a.prefix = p.prefix LEFT JOIN recent r ON a.prefix = r.prefix""",
+               coalesce(l.value, '[]') AS value
+        FROM asked a LEFT JOIN lists l USING (prefix, mode)""",
         f"{WORDS} frequent raw_event search_event request_log score settled spread all_top all_pooled all_recency",
         ASKED + f""",
-        popular AS (SELECT prefix, {LIST_JSON} AS value,
-            to_json(list({{'query': query, 'count': "count"}} ORDER BY rank) FILTER (rank <= 5))::VARCHAR AS short
-            FROM all_top GROUP BY prefix),
-        recent AS (SELECT prefix, {LIST_JSON} AS value FROM all_recency GROUP BY prefix)"""),
+        lists AS (SELECT prefix, 'POPULARITY' AS mode, 'suggest:' || prefix AS key, {LIST_JSON} AS value
+                  FROM all_top GROUP BY prefix
+                  UNION ALL SELECT prefix, 'RECENCY', 'suggest:recency:' || prefix, {LIST_JSON} FROM all_recency GROUP BY prefix)"""),
+    "suggest_batch": sql("""
+        SELECT req_id, a.prefix, a.mode,
+               CASE WHEN a.prefix = '' THEN 'EMPTY' WHEN a.mode = 'RECENCY' THEN 'DB+RECENCY' ELSE 'DB' END AS source,
+               coalesce(o.node, '-') AS node, coalesce(l.value, '[]') AS value
+        FROM asked a LEFT JOIN lists l USING (prefix, mode) LEFT JOIN owned o USING (prefix, mode)""",
+        f"{WORDS} frequent raw_event search_event request_log score settled spread all_top all_pooled all_recency nodes3",
+        ASKED + f""",
+        lists AS (SELECT prefix, 'POPULARITY' AS mode, {LIST_JSON} AS value FROM all_top GROUP BY prefix
+                  UNION ALL SELECT prefix, 'RECENCY', {LIST_JSON} FROM all_recency GROUP BY prefix),
+        ring AS ({ring_of('nodes3')}),
+        needed AS (SELECT DISTINCT prefix, mode, CASE WHEN mode = 'RECENCY' THEN 'suggest:recency:' ELSE 'suggest:' END || prefix AS key
+                   FROM asked WHERE prefix <> ''),
+        owned AS ({owners('needed', 'ring')})"""),
     "ttl_refresh": sql("SELECT * FROM hits", EVENTS, f"hits AS ({PIECES['hits']})", REFILL),
     "hit_rate": sql("""SELECT count(*) FILTER (source = 'CACHE') AS hits, count(*) FILTER (source = 'COMPUTED') AS misses,
         floor(count(*) FILTER (source = 'CACHE')::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS hit_rate FROM hits""",
@@ -387,7 +401,7 @@ ORACLE: dict[str, str] = {
         FROM owned o LEFT JOIN stored l ON l.prefix = o.prefix""",
         f"{REQUESTS} spread nodes3", f"""
         ring AS ({ring_of('nodes3')}),
-        stored AS (SELECT DISTINCT prefix, 'suggest:' || prefix AS key FROM spread WHERE length(prefix) <= 2),
+        stored AS (SELECT DISTINCT prefix, 'suggest:' || prefix AS key FROM spread),
         live AS ({owners('stored', 'ring')}),
         asked AS (SELECT DISTINCT prefix, 'suggest:' || prefix AS key FROM request_log),
         owned AS ({owners('asked', 'ring')})"""),
@@ -402,20 +416,19 @@ ORACLE: dict[str, str] = {
         numbered AS (SELECT *, CASE WHEN req_id % 2 = 0 THEN 'cold' ELSE 'warm' END AS phase,
             count(*) OVER (PARTITION BY req_id % 2) AS n,
             row_number() OVER (PARTITION BY req_id % 2 ORDER BY took_ms, req_id) AS i FROM request_log)"""),
-    "corpus_families": "WITH " + FAMILIES + "\nSELECT query, family, rank FROM ranked",
-    "corpus_padded": "WITH " + FAMILIES + f""",
-        size AS (SELECT count(*) AS n FROM family), want AS (SELECT n, n + (SELECT count(*) FROM part) AS target FROM size),
-        try AS (SELECT i AS try, {below('(SELECT n FROM size)', "'42'", "'base'", 'i')} + 1 AS rank,
-                       {below('9000', "'42'", "'number'", 'i')} + 1000 AS number
-                FROM (SELECT unnest(range((SELECT 5 * target FROM want))) AS i)),
-        new AS (SELECT r.query || ' ' || t.number AS query, min(t.try) AS try FROM try t JOIN ranked r USING (rank)
-                GROUP BY 1),
-        pad AS (SELECT query, row_number() OVER (ORDER BY try) AS n FROM new WHERE query NOT IN (SELECT query FROM family)),
-        padded AS (SELECT query, family, rank FROM ranked UNION ALL
-                   SELECT pad.query, 6, pad.n + want.n FROM pad, want WHERE pad.n <= target - want.n)
-        SELECT query, family::INT AS family, rank, {ZIPF} AS "count" FROM padded""",
-    "zipf_counts": sql(f'SELECT query, rank, {ZIPF} AS "count" FROM ranked', WORDS,
-        'ranked AS (SELECT query, row_number() OVER (ORDER BY "count" DESC, query) AS rank FROM search_query)'),
+    "debounce_large": sql("""SELECT req_id, coalesce(u, -1) AS user_id, prefix FROM (
+        SELECT *, lead(us) OVER (PARTITION BY u ORDER BY ts, req_id) AS following
+        FROM (SELECT *, CASE WHEN req_id % 3 <> 0 THEN user_id END AS u FROM request_log))
+        WHERE (following IS NULL OR following - us >= 3600000000) AND prefix <> ''""", REQUESTS),
+    "latency_large": sql(
+        percentile("floor_n", "floor({q}::DOUBLE * n)") + " UNION ALL "
+        + percentile("floor_n_1", "floor({q}::DOUBLE * (n - 1)) + 1"), REQUESTS, """
+        numbered AS (SELECT *, CASE req_id % 3 WHEN 0 THEN 'cold' WHEN 1 THEN 'warm' ELSE '-' END AS phase,
+            count(*) OVER (PARTITION BY req_id % 3) AS n,
+            row_number() OVER (PARTITION BY req_id % 3 ORDER BY took_ms, req_id) AS i FROM request_log)"""),
+    "ttl_large": sql("SELECT coalesce(key, '-') AS prefix, ms AS filled_ms, req_id FROM refill", REQUESTS, "",
+        refill_of("(SELECT * REPLACE (CASE WHEN req_id % 3 <> 0 THEN prefix END AS prefix) FROM request_log)", "prefix",
+                  "IS NOT DISTINCT FROM")),
     "stream_fold": sql("""
         SELECT query_norm, sum("count")::BIGINT AS "count", max(us) AS last_us, min(us) AS created_us
         FROM (SELECT query_norm, "count", epoch_us(TIMESTAMP '2024-01-01') AS us FROM search_query

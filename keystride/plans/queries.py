@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystride.functions import scoring, text
-from keystride.operators import corpus, expiry, fold, merge, prefix, reports, replay, ring, serving, trending
-from keystride.operators.ordered import row_numbers
-from keystride.session import materialize, work_dir
+from keystride.operators import expiry, fold, merge, prefix, reports, replay, ring, serving, trending
+from keystride.session import work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
 from keystride.sources.dictionary import DictionaryStore
@@ -33,7 +32,10 @@ FLUSH_EVENTS, FLUSH_SECONDS = 100, 86_400
 DEBOUNCE = 3600
 TTL_MS = 6 * 3600 * 1000
 REPLICAS = (1, 10, 50, 150)
-SNAPSHOTS = ("2024-01-02 00:00:00", "2024-01-31 00:00:00")
+SNAPSHOTS = ("2023-12-31 00:00:00", "2024-01-31 00:00:00")
+# Long after the last event, at a half-life of an hour.
+MUCH_LATER, HOUR = "2024-03-31 00:00:00", 3600.0
+SMALL_GROUP = 500  # rows beyond which the large queries cut a group
 DAY = 86_400
 
 
@@ -59,9 +61,9 @@ def scores(v: TestViews) -> DataFrame:
 
 
 def prefix_keys(v: TestViews) -> DataFrame:
-    """Distinct keys of the first three letters of all normal forms."""
-    key = text.suggest_key(F.substring("query_norm", 1, 3))
-    return v.search_query.select(key.alias("key")).distinct()
+    """Distinct keys of all prefixes of all normal forms."""
+    spread = prefix.explode_prefixes(v.search_query.select("query_norm").distinct())
+    return spread.select(text.suggest_key(F.col("prefix")).alias("key")).distinct()
 
 
 def supplier_nodes(v: TestViews) -> DataFrame:
@@ -101,8 +103,15 @@ def best_of_norm(v):
 @query
 def escape_like(v):
     escaped = text.escape_like(F.col("query"))
-    special = F.col("query").rlike(r"[%_\\]")
-    return v.search_query.where(special).select("query", escaped.alias("escaped"))
+    return v.search_query.select("query", escaped.alias("escaped"))
+
+
+@query
+def overlong_words(v):
+    """Words that are too long to be searches, by document."""
+    length = text.utf16_length(F.col("w"))
+    return v.all_words.where(v.overlong).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rejected"), F.sum(length).cast("bigint").alias("units"))
 
 
 # -- completions --------------------------------------------------------------------------------
@@ -162,6 +171,17 @@ def all_prefix_recency_unpooled(v):
     return top.select("prefix", "rank", "query", "count", r6("score"), r6("blended"))
 
 
+def old_scores(v: TestViews) -> DataFrame:
+    return trending.decayed_scores(v.search_event, MUCH_LATER, HOUR)
+
+
+@query
+def prefix_recency_old(v):
+    """All scores have faded from a double's range; their order has not."""
+    top = prefix.prefix_recency(v.search_query, old_scores(v), PREFIX)
+    return top.select("rank", "query", "count", r6("blended"))
+
+
 # -- scores and trending ------------------------------------------------------------------------
 
 @query
@@ -203,6 +223,12 @@ def trending_recency(v):
     return _list(trending.trending_recency(v.search_query, scores(v)))
 
 
+@query
+def trending_recency_old(v):
+    top = trending.trending_recency(v.search_query, old_scores(v))
+    return top.select("rank", "query", "display", "count", r6("level"), r6("blended"), "mode", "source")
+
+
 @query
 def trending_cold_start(v):
     nothing = trending.decayed_scores(v.search_event, BEFORE_ALL, HALF_LIFE)
@@ -214,7 +240,7 @@ def trending_snapshots(v):
     partials = trending.score_partials(v.search_event, "1 day", HALF_LIFE)
     lists = trending.trending_snapshots(partials, v.search_query, *SNAPSHOTS, DAY, half_life=HALF_LIFE)
     return lists.select(
-        micros("as_of", "as_of_us"), "rank", "query", "count", r6("score"), r6("blended")
+        micros("as_of", "as_of_us"), "rank", "query", "count", r6("score"), r6("blended"), "source"
     )
 
 
@@ -269,7 +295,7 @@ def requeue_merge(v):
     """The first flush of every window fails and is put back into the second one."""
     flushes = flushed(v)
     failed = flushes.where(F.col("flush_chunk") == 0).withColumn("flush_chunk", F.lit(1).cast("bigint"))
-    waiting = flushes.where(F.col("flush_chunk") == 1)
+    waiting = flushes.where(F.col("flush_chunk") >= 1)
     merged = fold.requeue(waiting, failed, fold.FLUSH)
     return merged.select("flush_window", "flush_chunk", "query_norm", "delta", "display", micros("last_ts", "last_us"))
 
@@ -329,20 +355,28 @@ def _arcs(v: TestViews) -> DataFrame:
     return ring.build_arcs(ring.build_ring(ring.nodes_from_spec(v.spark, NODES_3)))
 
 
-def _stored(v: TestViews, max_length: int, k: int = 10) -> DataFrame:
-    top = prefix.all_prefix_top(v.search_query, k, max_length, cluster=not v.laid_out)
-    return serving.materialize_lists(top, _arcs(v), at(AS_OF))
+def _stored(v: TestViews, mode: str = "POPULARITY") -> DataFrame:
+    if mode == "RECENCY":
+        top = prefix.all_prefix_recency(v.search_query, scores(v), cluster=not v.laid_out)
+    else:
+        top = prefix.all_prefix_top(v.search_query, cluster=not v.laid_out)
+    return serving.materialize_lists(top, _arcs(v), at(AS_OF), mode)
 
 
 @query
 def materialize_lists(v):
-    return _stored(v, 10).select("cache_key", "node", "value", micros("expires_at", "expires_us"))
+    return _stored(v).select("cache_key", "node", "value", micros("expires_at", "expires_us"))
+
+
+@query
+def materialize_lists_recency(v):
+    return _stored(v, "RECENCY").select("cache_key", "node", "value", micros("expires_at", "expires_us"))
 
 
 @query
 def invalidate_keys(v):
     changed = v.search_event.where(F.col("ts") >= at(CHANGED_SINCE)).select("query_norm")
-    return serving.invalidate(_stored(v, 10), changed).select("cache_key", "value")
+    return serving.invalidate(_stored(v), changed).select("cache_key", "value")
 
 
 def _requests(v: TestViews) -> DataFrame:
@@ -363,11 +397,20 @@ def resolve_requests(v):
 
 @query
 def materialized_else_compute(v):
-    """One- and two-letter lists are stored, five entries long so that their use shows."""
-    answered = serving.answer(_requests(v), _stored(v, 2, 5), v.search_query, scores(v), at(AS_OF))
+    """All lists of both modes are stored; those with keys of odd length have run out."""
+    stored = _stored(v).unionByName(_stored(v, "RECENCY"))
+    odd = F.char_length("cache_key") % 2 == 1
+    stored = stored.withColumn("expires_at", F.when(odd, at(AS_OF)).otherwise(F.col("expires_at")))
+    answered = serving.answer(_requests(v), stored, v.search_query, scores(v), at(AS_OF))
     return answered.select("req_id", "prefix", "mode", "source", "value")
 
 
+@query
+def suggest_batch(v):
+    answered = serving.suggest_batch(_requests(v), v.search_query, scores(v), _arcs(v))
+    return answered.select("req_id", "prefix", "mode", "source", F.coalesce("node", F.lit("-")).alias("node"), "value")
+
+
 @query
 def ttl_refresh(v):
     return labelled(v).select("req_id", "query_norm", "source")
@@ -427,7 +470,7 @@ def ring_remap(v):
 @query
 def placement_report(v):
     asked = v.request_log.select("prefix").distinct()
-    report = ring.placement(asked, ring.nodes_from_spec(v.spark, NODES_3), _stored(v, 2), at(AS_OF))
+    report = ring.placement(asked, ring.nodes_from_spec(v.spark, NODES_3), _stored(v), at(AS_OF))
     return report.withColumn("ring", F.to_json("ring"))
 
 
@@ -448,49 +491,33 @@ def superseded(v):
 @query
 def latency_percentiles(v):
     log = v.request_log.withColumn("phase", F.when(F.col("req_id") % 2 == 0, "cold").otherwise("warm"))
-    both = [
-        reports.latency(log, rule, by=["phase"]).withColumn("rule", F.lit(rule)) for rule in ("floor_n", "floor_n_1")
-    ]
-    return both[0].unionByName(both[1]).select("rule", "phase", "n", "p50", "p95", "p99", r6("mean"))
+    both = reports.latencies(log, ["floor_n", "floor_n_1"], by=["phase"])
+    return both.select("rule", "phase", "n", "p50", "p95", "p99", r6("mean"))
 
 
-# -- corpus -------------------------------------------------------------------------------------
+# Groups beyond the bound, some with a null key.
 
-def _families(v: TestViews) -> DataFrame:
-    part, region = v.table("part"), v.table("region")
-    all_brands, all_types, all_names = (corpus.vocabulary(part, c) for c in ("p_brand", "p_type", "p_name"))
-    all_places = corpus.vocabulary(region, "r_name")
-    brands, types, names, places = (
-        corpus.heads(v.spark, w) for w in (all_brands, all_types, all_names, all_places)
-    )
-    return corpus.union_families(
-        corpus.suffixed(brands, all_places, 1),
-        corpus.suffixed(types, all_places, 2, leads=("", "best ")),
-        corpus.suffixed(names, all_types, 3),
-        corpus.suffixed(brands, all_types, 4, alone=False),
-        corpus.versus(places, all_places, 5),
-    )
+def _nulled(v: TestViews, column: str) -> DataFrame:
+    return v.request_log.withColumn(column, F.when(F.col("req_id") % 3 != 0, F.col(column)))
 
 
 @query
-def corpus_families(v):
-    return corpus.ranked(_families(v))
+def debounce_large(v):
+    kept = replay.debounce(_nulled(v, "user_id"), DEBOUNCE, max_group_rows=SMALL_GROUP)
+    return kept.select("req_id", F.coalesce("user_id", F.lit(-1).cast("bigint")).alias("user_id"), "prefix")
 
 
 @query
-def corpus_padded(v):
-    """Padded to the number of parts beyond the families, with counts."""
-    families = materialize(_families(v))
-    padded = corpus.pad(families, families.count() + v.table("part").count())
-    return corpus.zipf_counts(padded).select("query", "family", "rank", "count")
+def latency_large(v):
+    log = v.request_log.withColumn("phase", F.when(F.col("req_id") % 3 == 0, "cold").when(F.col("req_id") % 3 == 1, "warm"))
+    both = reports.latencies(log, ["floor_n", "floor_n_1"], by=["phase"], max_group_rows=SMALL_GROUP)
+    return both.select("rule", F.coalesce("phase", F.lit("-")).alias("phase"), "n", "p50", "p95", "p99", r6("mean"))
 
 
 @query
-def zipf_counts(v):
-    """The dictionary ranked by popularity, with Zipf-like counts in place of its own."""
-    by_count = [F.desc("count"), F.asc("query")]
-    placed = row_numbers(v.search_query.select("query", "count"), [], by_count, "rank").drop("count")
-    return corpus.zipf_counts(placed).select("query", "rank", "count")
+def ttl_large(v):
+    filled = expiry.refills(_nulled(v, "prefix"), "prefix", TTL_MS, task_entries=SMALL_GROUP)
+    return filled.select(F.coalesce("prefix", F.lit("-")).alias("prefix"), "filled_ms", "req_id")
 
 
 # -- streams ------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from keystride.operators import trending
 from keystride.params import HALF_LIFE_SECONDS
 from keystride.session import empty_table
 
-SCORE = "query_norm string, score double, ref_ts timestamp"
+SCORE = "query_norm string, score double, level double, ref_ts timestamp"
 
 
 class ScoreStore:
@@ -35,7 +35,7 @@ class ScoreStore:
 
     def write(self, scores: DataFrame, version: int) -> None:
         names = [part.split(" ")[0] for part in SCORE.split(", ")]
-        scores.select(*names).write.mode("overwrite").parquet(f"{self.root}/scores/version={version}")
+        trending.with_level(scores).select(*names).write.mode("overwrite").parquet(f"{self.root}/scores/version={version}")
         row = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
         row.write.mode("append").parquet(f"{self.root}/versions")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystride.functions import text
 from keystride.operators.prefix import sort_for_prefixes
+from keystride.params import MAX_QUERY_LENGTH
 
 # Events name one of the 100 most frequent words by its position, 0 to 99.
 POSITIONS = 100
@@ -64,9 +65,16 @@ class TestViews:
 
     @cached_property
     def doc_word(self) -> DataFrame:
-        words = self.table("documents").select("doc_id", F.explode(F.split("text", r"[ \n\t]+")).alias("w"))
-        length = F.char_length("w")
-        return words.where((length >= 2) & (length <= 512))
+        return self.all_words.where(~self.overlong & (F.col("w") != ""))
+
+    @cached_property
+    def all_words(self) -> DataFrame:
+        return self.table("documents").select("doc_id", F.explode(F.split("text", r"[ \n\t]+")).alias("w"))
+
+    @property
+    def overlong(self) -> Column:
+        """Words that validation rejects as searches."""
+        return text.utf16_length(F.col("w")) > MAX_QUERY_LENGTH
 
     @cached_property
     def search_query(self) -> DataFrame:

@@ -58,3 +58,11 @@ def test_a_hit_does_not_extend_the_entry(spark):
     labelled = expiry.label_hits(frame, "key", 1000)
     assert {r.req_id for r in labelled.where("source = 'COMPUTED'").collect()} == {1, 4, 6}
     assert reports.hit_rate(labelled).first().hit_rate == 0.5
+
+
+@pytest.mark.parametrize("bound", [1, 1_000_000])
+def test_null_keys_have_refills(spark, bound):
+    rows = [(None, 0, 1), (None, 5_000, 2), ("a", 0, 3), ("a", 5_000, 4), ("a", 5_500, 5)]
+    log = spark.createDataFrame(rows, "k string, ms long, req_id long").withColumn("ts", F.timestamp_millis("ms"))
+    got = expiry.refills(log, "k", 1000, task_entries=bound).collect()
+    assert sorted(r.req_id for r in got) == [1, 2, 3, 4]

@@ -103,3 +103,21 @@ def test_table_statistics(spark):
     assert tuple(reports.table_statistics(table).first()) == (3, 2, 4)
     assert tuple(reports.table_statistics(table, exact=False).first()) == (3, 2, 4)
     assert tuple(reports.table_statistics(table.limit(0)).first()) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("bound", [1, 1_000_000])
+def test_null_groups_stay(spark, bound):
+    rows = [(None, 1), (None, 2), ("a", 3), ("a", 4)]
+    frame = spark.createDataFrame(rows, "g string, v int")
+    got = ordered.row_numbers(frame, ["g"], [F.asc("v")], "n", bound).collect()
+    assert sorted((r.v, r.n) for r in got) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+    got = ordered.next_value(frame, ["g"], [F.asc("v")], F.col("v"), "n", bound).collect()
+    assert sorted((r.v, r.n or 0) for r in got) == [(1, 2), (2, 0), (3, 4), (4, 0)]
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_hot_join_equals_plain_join(spark, bound):
+    left = spark.createDataFrame([("a", i) for i in range(100)] + [(None, 1), ("c", 2)], "k string, v int")
+    right = spark.createDataFrame([("a", 1), (None, 2)], "k string, w int")
+    got = sorted((r.k or "", r.v, r.w or 0) for r in ordered.join_hot(left, right, ["k"], "left", max_broadcast=bound).collect())
+    assert got == sorted([("a", i, 1) for i in range(100)] + [("", 1, 2), ("c", 2, 0)])

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from keystride.operators import corpus, prefix, ring, serving
+from keystride.operators import prefix, ring, serving
 
 NOW = "2024-01-01 00:00:00"
 
@@ -60,47 +60,3 @@ def test_changed_queries_invalidate_their_prefixes(world, spark):
     changed = spark.createDataFrame([("java",), ("java",)], "query_norm string")
     left = {r.cache_key for r in serving.invalidate(stored, changed).collect()}
     assert left == {"suggest:i", "suggest:ip"}
-
-
-# -- corpus -------------------------------------------------------------------------------------
-
-def test_families_and_order(spark):
-    heads = corpus.heads(spark, ["b", "a"])
-    rows = corpus.ranked(corpus.union_families(
-        corpus.suffixed(heads, ["y", "x"], 1), corpus.suffixed(heads, ["x"], 2, leads=("", "best ")),
-        corpus.suffixed(heads, ["x", "z"], 3, alone=False), corpus.versus(heads, ["b", "a"], 4),
-    )).orderBy("rank").collect()
-    assert [(r["query"], r.family) for r in rows] == [
-        ("b", 1), ("b y", 1), ("b x", 1), ("a", 1), ("a y", 1), ("a x", 1), ("best b x", 2), ("best a x", 2),
-        ("b z", 3), ("a z", 3), ("b vs a", 4), ("a vs b", 4)]
-
-
-def test_default_corpus(spark):
-    rows = corpus.default_corpus(spark, 6000).orderBy("rank").collect()
-    assert len({r["query"] for r in rows}) == len(rows) == 6000
-    assert [r["query"] for r in rows[:3]] == ["iphone", "iphone price", "iphone deals"]
-    assert {r.family for r in rows} == {1, 2, 3, 4, 5, 6} and rows[0]["count"] > 100_000
-
-
-def test_vocabulary_is_whole_or_an_error(spark):
-    table = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "w string")
-    assert spark.range(1).select(corpus.vocabulary(table, "w")).first()[0] == ["a", "b"]
-    with pytest.raises(Exception, match="more than 1 distinct"):
-        spark.range(1).select(corpus.vocabulary(table, "w", 1)).collect()
-
-
-@pytest.mark.parametrize("bound", [10 ** 6, 0])
-def test_padding_reaches_the_target(spark, bound):
-    base = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "query string, family int").withColumn("place", F.struct("family", "query"))
-    rows = corpus.zipf_counts(corpus.pad(base, 500, max_group_rows=bound)).orderBy("rank").collect()
-    assert [r.rank for r in rows] == list(range(1, 501)) and len({r["query"] for r in rows}) == 500
-    assert [r["query"] for r in rows[:3]] == ["a", "b", "c"]
-    numbers = [r["query"].split(" ") for r in rows[3:]]
-    assert all(w in "abc" and 1000 <= int(n) <= 9999 for w, n in numbers)
-    for r in rows:
-        assert 1 <= r["count"] - int(100_000 / r.rank ** 0.85) <= 50
-
-
-def test_padding_below_the_target_adds_nothing(spark):
-    base = spark.createDataFrame([("a", 1), ("b", 1)], "query string, family int").withColumn("place", F.struct("family", "query"))
-    assert corpus.pad(base, 2).count() == 2

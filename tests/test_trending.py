@@ -168,3 +168,28 @@ def test_modes(spark, history):
     assert plain == ["q5", "Q1", "q2", "q1", "q7"]
     assert [r["query"] for r in prefix.suggest(table, scores, "q", source="trie").orderBy("rank").collect()] == ["q5", "q1", "q2", "q7"]
     assert prefix.suggest(table, scores, "q", "RECENCY").count() == 5
+
+
+def test_order_does_not_depend_on_the_clock(spark):
+    """Half-lives of an hour: at +60 days every score has left a double's range."""
+    rows = [("a", "2024-01-01 00:00:00")] * 5 + [("z", "2024-01-01 00:00:00"), ("old", "2022-01-01 00:00:00")]
+    events = spark.createDataFrame(rows, "query_norm string, t string").select("query_norm", F.col("t").cast("timestamp").alias("ts"))
+    table = spark.createDataFrame([("a", "a", 5), ("z", "z", 9), ("old", "old", 1)], "query string, query_norm string, count long")
+    lists = []
+    for as_of in ("2024-01-01 01:00:00", "2024-01-03 00:00:00", "2024-03-01 00:00:00"):
+        scores = trending.decayed_scores(events, as_of, 3600.0)
+        top = trending.trending_recency(table, scores)
+        lists.append([(r["query"], round(r.blended, 9)) for r in top.orderBy("rank").collect()])
+        moved = trending.reanchor(trending.decayed_scores(events, "2024-01-01 00:00:00", 3600.0), as_of, 3600.0)
+        levels = {r.query_norm: r.level for r in scores.collect()}
+        assert {r.query_norm: round(r.level, 6) for r in moved.collect()} == {k: round(v, 6) for k, v in levels.items()}
+        assert levels["a"] > levels["z"] > levels["old"]
+    assert lists[0] == lists[1] == lists[2] and lists[0][0][0] == "a"
+
+
+def test_snapshot_without_scores_shows_popularity(spark):
+    partials = spark.createDataFrame([], "query_norm string, window_end timestamp, partial double")
+    table = spark.createDataFrame([("A", "a", 5), ("b", "b", 9)], "query string, query_norm string, count long")
+    got = trending.trending_snapshots(partials, table, "2024-01-01 00:00:00", "2024-01-02 00:00:00", 86_400)
+    assert sorted((r.snapshot, r["rank"], r["query"], r.source) for r in got.collect()) == [
+        (s, i, q, "FALLBACK_POPULARITY") for s in (0, 1) for i, q in ((1, "b"), (2, "A"))]
