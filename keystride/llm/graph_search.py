@@ -88,8 +88,9 @@ class Graph:
             near.sort(axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             fresh = (near >= 0) & ~seen[a[:, None], near]
+            row, column = np.nonzero(fresh)
+            seen[a[row], near[row, column]] = True
             at = np.where(fresh, near, 0)
-            seen[a[:, None], at] |= fresh
             distance = 1 - np.einsum("qnd,qd->qn", self.unit[at], queries[a])
             distance[~fresh] = np.inf
             all_far = np.hstack([far[a], distance])

@@ -109,7 +109,8 @@ def test_recall_against_brute_force(spark, shard_rows):
     want, got = brute_nearest(rows), searched(spark, rows, shard_rows=shard_rows)
     hit = sum(len({i for i, _ in got[q]} & {i for i, _ in near}) for q, near in want.items())
     assert hit >= 0.95 * sum(map(len, want.values()))
-    assert all(len(got[q]) == 5 and [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True) for q in want)
+    for q in want:
+        assert len(got[q]) == 5 and [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True), (q, got[q], want[q])
 
 
 def test_small_and_odd_tables_are_exact(spark):
