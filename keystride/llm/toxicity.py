@@ -36,6 +36,7 @@ TELLING = 600           # features kept
 LEAST_DOCS = 5          # documents a feature must occur in
 BEGINNINGS = (4, 5, 6)  # lengths of word beginnings used as features
 PENALTY = 1e-3
+STEPS = 3000            # of the regression
 THRESHOLD = 0.5
 MEMO_WORDS = 300_000
 MEMO_LENGTH = 40
@@ -295,7 +296,7 @@ def _regress(rows: list[list[int]], labels: np.ndarray, n: int) -> tuple[np.ndar
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which = np.array([i for r in rows for i in r], dtype=np.int64)
     w, b, vw, vb = np.zeros(n), math.log(labels.mean() / (1 - labels.mean())), np.zeros(n), 0.0
-    for _ in range(400):
+    for _ in range(STEPS):
         total = b + np.bincount(at, w[which], minlength=len(rows))
         error = 1 / (1 + np.exp(-np.clip(total, -30, 30))) - labels
         grad = np.bincount(which, error[at], minlength=n) / len(rows) + PENALTY * w / 10
