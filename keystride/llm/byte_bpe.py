@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from keystride.llm.common import map_columns
 
-MEMO_PARTS = 300_000     # distinct parts remembered by a worker
+MEMO_PARTS = 120_000     # distinct parts remembered by a worker
 MEMO_LENGTH = 64         # longer parts are encoded each time
 
 
@@ -177,10 +177,28 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
     return map_columns(encoded, [F.col(f"`{ids}`")], keep, "bytes binary" + (", text string" if text else ""), make)
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass: kept columns, ``ids array<int>`` and ``bytes binary``."""
+    def make():
+        bpe = shared_bpe(ranks_path, pattern)
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            packed, back = [], []
+            for i in range(0, len(texts), 500):
+                packed += bpe.encode(texts.slice(i, 500).to_pylist())
+            for p in packed:
+                back.append(bpe.decode(np.frombuffer(p, "<u4").tolist()))
+            return [_id_lists(packed), pa.array(back, pa.binary())]
+
+        return compute
+
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    return map_columns(docs, [F.col(f"`{text}`").cast("string")], keep, "ids array<int>, bytes binary", make)
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], with_ids: bool = False) -> DataFrame:
     """Encode, decode the ids again, and reduce both to digests; kept columns come first."""
-    encoded = encode(docs, ranks_path, pattern, keep=keep)
-    decoded = decode(encoded, ranks_path, pattern, keep=[*keep, "ids"], text=False)
+    decoded = round_trip(docs, ranks_path, pattern, keep=keep)
     return decoded.select(
         *[F.col(f"`{c}`") for c in keep], F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -15,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from keystride.session import materialize
 
-BATCH_BYTES = 16 * 1024 * 1024
-BATCH_ROWS = 2000
+BATCH_BYTES = 8 * 1024 * 1024
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,8 @@ def map_columns(
                 got = list(batch.columns[:n]) + compute(*batch.columns[n:])
                 columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                del got, columns, batch
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return placed.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ BEGINNINGS = (4, 5, 6)  # lengths of word beginnings used as features
 PENALTY = 1e-3
 STEPS = 3000            # of the regression
 THRESHOLD = 0.5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 MEMO_LENGTH = 40
 
 # Letters that signs are written for.
