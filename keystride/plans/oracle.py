@@ -433,6 +433,7 @@ ORACLE: dict[str, str] = {
         SELECT query_norm, sum("count")::BIGINT AS "count", max(us) AS last_us, min(us) AS created_us
         FROM (SELECT query_norm, "count", epoch_us(TIMESTAMP '2024-01-01') AS us FROM search_query
               UNION ALL SELECT query_norm, 1, us FROM search_event) GROUP BY query_norm""", EVENTS),
+    "stream_fold_replayed": sql('SELECT query_norm, count(*) AS "count" FROM search_event GROUP BY query_norm', EVENTS),
     "stream_score": sql("SELECT query_norm, round(score, 6) AS score FROM score", f"{EVENTS} score"),
     "stream_refills": sql("SELECT key AS prefix, ms AS filled_ms, req_id FROM refill", REQUESTS, "",
         refill_of("request_log", "prefix")),

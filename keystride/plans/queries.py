@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keystride.functions import scoring, text
 from keystride.operators import expiry, fold, merge, prefix, reports, replay, ring, serving, trending
-from keystride.session import work_dir
+from keystride.session import materialize, work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
 from keystride.sources.dictionary import DictionaryStore
@@ -35,6 +35,7 @@ REPLICAS = (1, 10, 50, 150)
 SNAPSHOTS = ("2023-12-31 00:00:00", "2024-01-31 00:00:00")
 # Long after the last event, at a half-life of an hour.
 MUCH_LATER, HOUR = "2024-03-31 00:00:00", 3600.0
+LOG_FILES = 4
 SMALL_GROUP = 500  # rows beyond which the large queries cut a group
 DAY = 86_400
 
@@ -523,9 +524,19 @@ def ttl_large(v):
 # -- streams ------------------------------------------------------------------------------------
 
 def _event_stream(v: TestViews) -> DataFrame:
-    """The event table read as a stream; searches named from the dictionary as in the views."""
-    stream = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.folder}/events*.parquet")
-    return searched_queries(stream, v.search_query)
+    """The event table as a log of several files in order of time, one to a micro-batch.
+
+    Searches are named from the dictionary as in the views.
+    """
+    table = v.table("events")
+    path = work_dir(v.spark, "event-files")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = table.agg(F.min(at), F.max(at)).first()
+    for part in range(LOG_FILES):
+        low, high = (first + (last + 1 - first) * n // LOG_FILES for n in (part, part + 1))
+        table.where((at >= low) & (at < high)).write.mode("append").parquet(f"{path}/part={part}")
+    stream = v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    return searched_queries(stream, materialize(v.search_query))
 
 
 @query
@@ -545,6 +556,17 @@ def stream_fold(v):
     )
 
 
+@query
+def stream_fold_replayed(v):
+    """All batches run twice, as after the loss of a checkpoint."""
+    root = work_dir(v.spark, "stream-replay")
+    store = DictionaryStore(v.spark, f"{root}/dictionary")
+    events = fold.to_event(_event_stream(v).select("event_id", "ts", F.col("raw").alias("query")))
+    for run in range(2):
+        jobs.maintain_counts(events, store, f"{root}/checkpoint-{run}", drain=True).awaitTermination()
+    return store.read().groupBy("query_norm").agg(F.sum("count").alias("count"))
+
+
 @query
 def stream_score(v):
     root = work_dir(v.spark, "stream-score")
@@ -562,4 +584,4 @@ def stream_refills(v):
     store = jobs.EntryStore(v.spark, root)
     asked = as_requests(_event_stream(v)).select("req_id", "ts", "prefix")
     jobs.track_entries(asked, store, f"{root}/checkpoint", "prefix", TTL_MS, drain=True).awaitTermination()
-    return store.filled().select("prefix", "filled_ms", "req_id")
+    return store.filled("prefix string, filled_ms bigint, req_id bigint").select("prefix", "filled_ms", "req_id")

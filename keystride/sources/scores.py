@@ -4,45 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from keystride.operators import trending
 from keystride.params import HALF_LIFE_SECONDS
 from keystride.session import empty_table
+from keystride.sources.batches import BatchTable
 
 SCORE = "query_norm string, score double, level double, ref_ts timestamp"
 
 
 class ScoreStore:
+    """Versions are the batches of a batch table."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.table = BatchTable(spark, f"{self.root}/scores", SCORE)
 
     def version(self) -> int | None:
-        try:
-            rows = self.spark.read.schema("version bigint").parquet(f"{self.root}/versions")
-            return rows.agg(F.max("version")).first()[0]
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            return None
+        return self.table.last()
 
     def read(self) -> DataFrame:
         version = self.version()
         if version is None:
             return empty_table(self.spark, SCORE)
-        return self.spark.read.schema(SCORE).parquet(f"{self.root}/scores/version={version}")
+        return self.table.read(after=version - 1, through=version).drop("batch_id")
 
     def write(self, scores: DataFrame, version: int) -> None:
-        names = [part.split(" ")[0] for part in SCORE.split(", ")]
-        trending.with_level(scores).select(*names).write.mode("overwrite").parquet(f"{self.root}/scores/version={version}")
-        row = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-        row.write.mode("append").parquet(f"{self.root}/versions")
+        self.table.write(trending.with_level(scores), version)
+
+    def add(self, events: DataFrame, as_of: trending.Moment, half_life: float = HALF_LIFE_SECONDS,
+            batch_id: int | None = None) -> int:
+        """Add new events to the stored scores at a common reference time; returns the new version.
 
-    def add(self, events: DataFrame, as_of: trending.Moment, half_life: float = HALF_LIFE_SECONDS) -> int:
-        """Add new events to the stored scores at a common reference time; returns the new version."""
+        With ``batch_id``, which must grow from batch to batch, the version takes that number, and a batch
+        that is added again changes nothing.
+        """
         version = self.version()
+        if batch_id is not None and version is not None and batch_id <= version:
+            return version
         new = trending.decayed_scores(events, as_of, half_life)
-        number = 0 if version is None else version + 1
+        number = batch_id if batch_id is not None else 0 if version is None else version + 1
         self.write(new if version is None else trending.add_scores(self.read(), new, as_of, half_life), number)
         return number
+
+    def vacuum(self) -> None:
+        """Remove all versions but the newest."""
+        version = self.version()
+        if version is not None:
+            self.table.vacuum(version)

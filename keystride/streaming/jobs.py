@@ -1,7 +1,8 @@
 """Streaming jobs over the search-event log.
 
 Each job writes its micro-batch under the batch's number and commits it with a row of its own. A
-batch that runs again after a failure replaces what it wrote, so every event counts exactly once.
+batch that runs again after a failure finds its row, or leaves the failed attempt unread, so every
+event counts exactly once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from keystride.operators import expiry, fold, trending
 from keystride.operators.merge import deltas_as_rows
 from keystride.params import FLUSH_INTERVAL_SECONDS, HALF_LIFE_SECONDS
+from keystride.sources.batches import BatchTable
 from keystride.sources.dictionary import DictionaryStore
 
 
@@ -40,19 +42,41 @@ def maintain_counts(events: DataFrame, store: DictionaryStore, checkpoint: str,
 class PartialStore:
     """Per-window score sums as a stream writes them; a window's latest batch counts."""
 
-    SCHEMA = "query_norm string, window_end timestamp, partial double, batch_id bigint"
+    SCHEMA = "query_norm string, window_end timestamp, partial double"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.batches = BatchTable(spark, f"{self.root}/batches", self.SCHEMA)
+        # Its batch N holds all partials through batch N of the stream.
+        self.gathered = BatchTable(spark, f"{self.root}/gathered", self.SCHEMA)
 
     def write(self, partials: DataFrame, batch_id: int) -> None:
-        partials.write.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
+        self.batches.write(partials, batch_id)
 
     def read(self) -> DataFrame:
-        rows = self.spark.read.schema(self.SCHEMA).parquet(self.root)
-        latest = F.max_by("partial", "batch_id").alias("partial")
-        return rows.groupBy("query_norm", "window_end").agg(latest)
+        through = self.gathered.last()
+        rows = self.batches.read(after=through)
+        if through is not None:
+            rows = rows.unionByName(self.gathered.read(after=through - 1, through=through))
+        return rows.groupBy("query_norm", "window_end").agg(F.max_by("partial", "batch_id").alias("partial"))
+
+    def compact(self) -> None:
+        """Gather the partials of all batches so far, so that readers list few folders."""
+        last = self.batches.last()
+        if last is not None and last != self.gathered.last():
+            through = self.gathered.last()
+            rows = self.batches.read(after=through, through=last)
+            if through is not None:
+                rows = rows.unionByName(self.gathered.read(after=through - 1, through=through))
+            self.gathered.write(rows.groupBy("query_norm", "window_end").agg(F.max_by("partial", "batch_id").alias("partial")), last)
+
+    def vacuum(self) -> None:
+        """Remove batches that are gathered, and gatherings before the last."""
+        through = self.gathered.last()
+        if through is not None:
+            self.batches.vacuum(through + 1)
+            self.gathered.vacuum(through)
 
 
 def maintain_scores(events: DataFrame, store: PartialStore, checkpoint: str, width: str = "1 hour",
@@ -75,27 +99,33 @@ class EntryStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def alive_before(self, batch_id: int, schema: str) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        return self.spark.read.schema(schema).parquet(f"{self.root}/alive/batch_id={batch_id - 1}")
+    def _table(self, name: str, schema: str) -> BatchTable:
+        return BatchTable(self.spark, f"{self.root}/{name}", schema)
+
+    def alive_before(self, batch_id: int, schema: str) -> DataFrame:
+        return self._table("alive", schema).read(after=batch_id - 2, through=batch_id - 1).drop("batch_id")
 
     def write(self, filled: DataFrame, alive: Callable[[DataFrame], DataFrame], batch_id: int) -> None:
-        path = f"{self.root}/filled/batch_id={batch_id}"
-        filled.write.mode("overwrite").parquet(path)
-        alive(self.spark.read.parquet(path)).write.mode("overwrite").parquet(f"{self.root}/alive/batch_id={batch_id}")
+        table = self._table("filled", ", ".join(f"`{n}` {t}" for n, t in filled.dtypes))
+        table.write(filled, batch_id)
+        written = table.read(after=batch_id - 1, through=batch_id).drop("batch_id")
+        after = alive(written)
+        self._table("alive", ", ".join(f"`{n}` {t}" for n, t in after.dtypes)).write(after, batch_id)
 
-    def filled(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/filled")
+    def filled(self, schema: str) -> DataFrame:
+        return self._table("filled", schema).read().drop("batch_id")
 
 
 def track_entries(requests: DataFrame, store: EntryStore, checkpoint: str, key: str, ttl_ms: int,
-                  drain: bool = False) -> StreamingQuery:
+                  drain: bool = False, lateness_ms: int | None = None) -> StreamingQuery:
     """Which requests refill their key's entry, on a stream.
 
     What a micro-batch needs from the past is one end time per live key. It is a table written with
     the batch rather than operator state, so a hot key's requests are still folded and sliced over
     many tasks. A batch reads what its predecessor left, which makes a repeated batch harmless.
+
+    With ``lateness_ms`` entries that ended so long before the newest refill are forgotten, so the table
+    holds live keys only; requests later than that are taken for new ones.
     """
     kind = dict(requests.dtypes)[key]
 
@@ -104,10 +134,12 @@ def track_entries(requests: DataFrame, store: EntryStore, checkpoint: str, key:
         filled = expiry.refills(batch, key, ttl_ms, entries=before)
 
         def alive(written: DataFrame) -> DataFrame:
-            now = expiry.open_entries(written, key, ttl_ms)
-            if before is None:
-                return now
-            return now.unionByName(before).groupBy(key).agg(F.max("ends_ms").alias("ends_ms"))
+            both = expiry.open_entries(written, key, ttl_ms).unionByName(before)
+            if lateness_ms is not None:
+                newest = both.agg(F.max("ends_ms")).first()[0]
+                if newest is not None:
+                    both = both.where(F.col("ends_ms") > newest - ttl_ms - lateness_ms)
+            return both.groupBy(key).agg(F.max("ends_ms").alias("ends_ms"))
 
         store.write(filled, alive, batch_id)
 

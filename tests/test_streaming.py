@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from keystride.operators import expiry, fold, merge, trending
 from keystride.sources import events as log
+from keystride.sources.batches import BatchTable
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.scores import ScoreStore
 from keystride.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
@@ -67,26 +69,29 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
 def test_uncommitted_delta_is_not_seen(spark, tmp_path):
     store = DictionaryStore(spark, str(tmp_path / "store"))
     store.load_if_empty(base(spark))
-    base(spark).write.parquet(str(tmp_path / "store" / "delta" / "batch_id=0"))
+    base(spark).write.parquet(str(tmp_path / "store" / "deltas" / "data" / "batch_id=0" / "attempt=lost"))
     assert per_norm(store.read()) == {"q1": 10, "old": 3}
     # A base without its version row is not seen either.
-    base(spark).withColumn("count", F.lit(99).cast("bigint")).write.parquet(str(tmp_path / "store" / "base" / "version=1"))
+    base(spark).withColumn("count", F.lit(99).cast("bigint")).write.parquet(str(
+        tmp_path / "store" / "base" / "version=1" / "attempt=lost"))
     assert per_norm(store.read()) == {"q1": 10, "old": 3}
 
 
 def test_failed_batch_is_replayed(spark, event_files, tmp_path):
     path, frame = event_files
 
-    class Failing(DictionaryStore):
+    class Failing(BatchTable):
         left = 1
 
-        def _note(self, folder, **values):
-            if folder.startswith("commits/batch_id=2") and Failing.left:
+        def write(self, rows, batch_id):
+            if batch_id == 2 and Failing.left:
                 Failing.left -= 1
+                rows.select(*self.schema.names).write.parquet(f"{self.root}/data/batch_id=2/attempt=lost")
                 raise RuntimeError("lost before the commit")
-            super()._note(folder, **values)
+            return super().write(rows, batch_id)
 
-    store = Failing(spark, str(tmp_path / "store"))
+    store = DictionaryStore(spark, str(tmp_path / "store"))
+    store.deltas = Failing(spark, store.deltas.root, store.deltas.schema)
     store.load_if_empty(base(spark))
     stream = log.stream_events(spark, path, max_files=1)
     with pytest.raises(Exception):
@@ -132,5 +137,62 @@ def test_entries_stream_equals_batch(spark, event_files, tmp_path):
     asked = log.stream_events(spark, path, max_files=1).select(F.col("event_id").alias("req_id"), "ts", F.coalesce("q", F.lit("-")).alias("key"))
     jobs.track_entries(asked, store, str(tmp_path / "check"), "key", ttl, drain=True).awaitTermination()
     whole = frame.select(F.col("event_id").alias("req_id"), "ts", F.coalesce("q", F.lit("-")).alias("key"))
-    got = {(r.key, r.filled_ms) for r in store.filled().collect()}
+    got = {(r.key, r.filled_ms) for r in store.filled("key string, filled_ms bigint, req_id bigint").collect()}
     assert got == {(r.key, r.filled_ms) for r in expiry.refills(whole, "key", ttl).collect()}
+
+
+def test_forgotten_entries_leave_the_table(spark, event_files, tmp_path):
+    path, frame = event_files
+    ttl = 3600 * 1000
+    store = jobs.EntryStore(spark, str(tmp_path / "entries"))
+    asked = log.stream_events(spark, path, max_files=1).select(F.col("event_id").alias("req_id"), "ts", F.col("event_id").cast("string").alias("key"))
+    jobs.track_entries(asked, store, str(tmp_path / "check"), "key", ttl, drain=True, lateness_ms=0).awaitTermination()
+    assert store.filled("key string, filled_ms bigint, req_id bigint").count() == 400
+    assert store.alive_before(4, "key string, ends_ms bigint").count() <= 8
+
+
+def test_batches_count_once_and_old_ones_can_go(spark, tmp_path):
+    root = str(tmp_path / "t")
+    store = BatchTable(spark, root, "v int")
+    one = spark.createDataFrame([(1,)], "v int")
+    assert store.read().isEmpty() and store.last() is None
+    assert [store.write(one, b) for b in (0, 1, 1)] == [True, True, False]
+    assert sorted(r.batch_id for r in store.read().collect()) == [0, 1] and store.read(after=0).count() == 1
+    store.vacuum(1)
+    assert [r.batch_id for r in store.read().collect()] == [1] and not store.write(one, 0)
+
+
+def test_partials_survive_compaction_and_vacuum(spark, tmp_path):
+    store = jobs.PartialStore(spark, str(tmp_path / "p"))
+    rows = lambda v: spark.createDataFrame([("a", START, v), (f"q{v}", START, 1.0)], store.SCHEMA)
+    want = {}
+    for b in range(4):
+        store.write(rows(float(b)), b)
+        want |= {"a": float(b), f"q{float(b)}": 1.0}
+        if b % 2:
+            store.compact()
+            store.vacuum()
+        assert {r.query_norm: r.partial for r in store.read().collect()} == want
+
+
+def test_scores_of_a_repeated_batch_count_once(spark, event_files, tmp_path):
+    _, frame = event_files
+    used = fold.usable_events(frame)
+    store = ScoreStore(spark, str(tmp_path / "s"))
+    at = START + dt.timedelta(days=4)
+    for b in (0, 1, 1, 0):
+        store.add(used.where(F.col("event_id") % 2 == b), at, batch_id=b)
+    store.vacuum()
+    got = {r.query_norm: r.score for r in store.read().collect()}
+    assert got == pytest.approx({r.query_norm: r.score for r in trending.decayed_scores(used, at).collect()})
+
+
+def test_old_versions_can_go(spark, tmp_path):
+    store = DictionaryStore(spark, str(tmp_path / "store"))
+    store.load_if_empty(base(spark))
+    for b in range(3):
+        store.commit(base(spark), b)
+        store.compact()
+    store.vacuum(3)
+    store.commit(base(spark), 3)
+    assert per_norm(store.read()) == {"q1": 50, "old": 15}
