@@ -2,8 +2,9 @@
 
 An entry filled at ``t`` serves requests before ``t + ttl``; a hit does not extend it, and the
 first request at or after the end refills it. Refills form a chain, so each depends on all before
-it. Requests of one key in one millisecond are folded first, as only the first can refill. While
-every key then fits a task, keys are replayed whole. Beyond that the time line is cut into slices:
+it. Requests of one key in one millisecond are folded first, as only the first can refill. Short keys
+are then folded by a built-in aggregation over their sorted times, longer ones that fit a task are
+replayed whole by array functions. Beyond that the time line is cut into slices:
 
 1. Each slice answers on its own: if the entry I inherit ends at x, when does the one I leave end?
    The answer is a step function of at most ``ttl`` milliseconds' steps.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystride.operators.ordered import largest_group, null_safe_join
@@ -24,6 +25,8 @@ from keystride.session import materialize
 
 # Entries of one key that one task holds at a time.
 TASK_ENTRIES = 1_000_000
+# Entries of one key that are folded without a Python worker; the fold copies the refills it has found.
+FOLDED_ENTRIES = 4_000
 LIFETIMES = COMPOSED = 32  # lifetimes per slice, functions composed at a time; fewer if they are large
 
 _STEPS = "upto array<bigint>, leaves array<bigint>"
@@ -139,7 +142,8 @@ def _inherited(functions: DataFrame, key: str, ttl: int, span_ms: int, fan: int)
 
 
 def refills(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts", request_id: str = "req_id",
-            entries: DataFrame | None = None, task_entries: int = TASK_ENTRIES) -> DataFrame:
+            entries: DataFrame | None = None, task_entries: int = TASK_ENTRIES,
+            folded_entries: int = FOLDED_ENTRIES) -> DataFrame:
     """``key, filled_ms, request_id``: the requests that refill their key's entry.
 
     ``entries`` (``key``, ``ends_ms``) are entries still alive from earlier data; requests before
@@ -153,7 +157,10 @@ def refills(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts", reques
     if entries is not None:
         served = F.col("ms") < F.coalesce("ends_ms", F.lit(_NEVER))
         once = null_safe_join(once, entries.select(key, "ends_ms"), [key], "left").where(~served).drop("ends_ms")
-    if largest_group(once, [key]) <= task_entries:
+    largest = largest_group(once, [key])
+    if largest <= min(folded_entries, task_entries):
+        return _folded(once, key, ttl_ms, request_id)
+    if largest <= task_entries:
         sliced = _pack(once.withColumn("number", F.lit(0)), key).withColumn("inherits", F.lit(None).cast("bigint"))
     else:
         sliced = _sliced(once, key, ttl_ms, task_entries)
@@ -163,6 +170,23 @@ def refills(requests: DataFrame, key: str, ttl_ms: int, time: str = "ts", reques
     ))).alias("f")).select(key, "f.*")
 
 
+def _folded(once: DataFrame, key: str, ttl_ms: int, request_id: str) -> DataFrame:
+    """Refills of each key by one pass over its sorted times."""
+    kind = once.schema["id"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<filled_ms:bigint,id:{kind}>>")
+    start = F.struct(F.lit(_NEVER).cast("bigint").alias("ends"), none.alias("filled"))
+
+    def step(state: Column, x: Column) -> Column:
+        refill = F.struct(x["ms"].alias("filled_ms"), x["id"].alias("id"))
+        after = F.struct((x["ms"] + F.lit(ttl_ms)).alias("ends"), F.array_append(state["filled"], refill).alias("filled"))
+        return F.when(x["ms"] >= state["ends"], after).otherwise(state)
+
+    sorted_times = F.sort_array(F.collect_list(F.struct(F.col("ms").cast("bigint").alias("ms"), "id")))
+    folded = once.groupBy(key).agg(sorted_times.alias("p")).select(
+        key, F.explode(F.aggregate("p", start, step)["filled"]).alias("f"))
+    return folded.select(key, "f.filled_ms", F.col("f.id").alias(request_id))
+
+
 def _pack(once: DataFrame, key: str) -> DataFrame:
     """Times and ids of each (key, number) as two arrays in time order."""
     packed = once.groupBy(key, "number").agg(F.sort_array(F.collect_list(F.struct("ms", "id"))).alias("p"))

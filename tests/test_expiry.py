@@ -31,11 +31,18 @@ def refilled(frame, ttl, **options):
     return {tuple(r) for r in got}
 
 
-@pytest.mark.parametrize("ttl, task_entries", [(100, 10 ** 6), (100, 600), (100, 60), (7, 60), (1500, 600)])
-def test_refills_equal_a_replay_in_order(requests, ttl, task_entries):
+@pytest.mark.parametrize("ttl, task_entries, folded", [
+    (100, 10 ** 6, 10 ** 6), (7, 10 ** 6, 10 ** 6), (100, 10 ** 6, 0), (100, 600, 0), (100, 60, 0), (7, 60, 0), (1500, 600, 0)])
+def test_refills_equal_a_replay_in_order(requests, ttl, task_entries, folded):
     """Small bounds force slices and several levels of composition."""
     rows, frame = requests
-    assert refilled(frame, ttl, task_entries=task_entries) == brute_force(rows, ttl)
+    assert refilled(frame, ttl, task_entries=task_entries, folded_entries=folded) == brute_force(rows, ttl)
+
+
+def test_short_keys_need_no_python(requests):
+    _, frame = requests
+    plan = expiry.refills(frame, "key", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 @pytest.mark.parametrize("task_entries", [10 ** 6, 60])
