@@ -41,7 +41,7 @@ SEED = "mix"
 ROUNDS, CUTS = 12, 8      # each round narrows the exponent to one of CUTS + 1 parts
 TAU_DIGITS = 6
 WEIGHT_DIGITS = 9
-BUCKET_ROWS = 20_000      # rows of a hash bucket, on average
+BUCKET_ROWS = 1_000       # rows of a hash bucket, on average
 BLOCKS = 64
 
 
