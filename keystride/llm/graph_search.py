@@ -220,7 +220,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, shard_rows: int
         placed = placed.unionByName(p)
     placed = placed.withColumn("shard", F.concat_ws("-", "dims", "number"))
     total = sum(s for s, _ in parts)
-    dealt = placed.repartition(total, "shard").sortWithinPartitions("shard", "is_query", "ids")
+    # Ranges, as hashes of so few keys would put several shards into one task.
+    dealt = placed.repartitionByRange(total, "shard").sortWithinPartitions("shard", "is_query", "ids")
     found = _search_shards(dealt.select("shard", "is_query", "ids", "vector"), k, beam)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
