@@ -150,9 +150,10 @@ def balance(keys: DataFrame, nodes: DataFrame, replica_counts: Sequence[int], ke
     )
 
 
-def remap(keys: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, old_size: int, new_size: int,
-          virtual_nodes: int = VIRTUAL_NODES, key: str = "key") -> DataFrame:
+def remap(keys: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, virtual_nodes: int = VIRTUAL_NODES,
+          key: str = "key") -> DataFrame:
     """Share of keys that change owner when membership changes, on the ring and under modulo."""
+    old_size, new_size = old_nodes.count(), new_nodes.count()
     old_arcs = build_arcs(build_ring(old_nodes, virtual_nodes))
     new_arcs = build_arcs(build_ring(new_nodes, virtual_nodes))
     before = assign(keys.select(key), old_arcs, key).withColumnsRenamed({"node": "old_node"}).drop("node_index", "pos")

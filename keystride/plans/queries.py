@@ -463,7 +463,7 @@ def ring_balance(v):
 @query
 def ring_remap(v):
     old, new = ring.nodes_from_spec(v.spark, NODES_3), ring.nodes_from_spec(v.spark, NODES_4)
-    return ring.remap(prefix_keys(v), old, new, 3, 4).select(
+    return ring.remap(prefix_keys(v), old, new).select(
         "keys", "ring_moved", "modulo_moved", r6("ring_share"), r6("modulo_share")
     )
 

@@ -95,8 +95,8 @@ def test_wanted_prefixes_only(table, scores, spark, values):
     everything = prefix.all_prefix_top(table, 2, 12)
     cut = everything.join(wanted, "prefix", "left_semi")
     assert values(prefix.all_prefix_top(table, 2, wanted=wanted)) == values(cut)
-    longest, before, after = prefix.only_for(wanted, max_broadcast=1)
-    assert longest == 4 and values(after(everything)) == values(cut) and before(everything) is everything
+    lengths, before, after = prefix.only_for(wanted, max_broadcast=1)
+    assert lengths == [2, 4] and values(after(everything)) == values(cut) and before(everything) is everything
     recent = prefix.all_prefix_recency(table, scores, 2, wanted=wanted)
     assert {r.prefix for r in recent.collect()} == {"ip", "java"}
 
@@ -126,3 +126,29 @@ def test_all_prefix_plans_limit_groups_before_the_shuffle(table, scores):
         assert plan.rindex("Exchange hashpartitioning(prefix") < partial
         assert plan.count("Exchange hashpartitioning(prefix") == 1
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_long_prefixes_are_answered(spark, scores):
+    word = "a" * 40 + "b"
+    table = spark.createDataFrame([(word, 3), ("a" * 30, 9)], "query string, count long").withColumn("query_norm", F.lower("query"))
+    got = {r.prefix: r.query for r in prefix.all_prefix_top(table).where("rank = 1").collect()}
+    assert len(got) == 41 and got[word] == word and got["a" * 31] == word and got["a" * 30] == "a" * 30
+    assert {r.prefix for r in prefix.all_prefix_recency(table, scores).collect()} == set(got)
+
+
+def test_group_limit_is_planned_for_large_k(table, scores):
+    for frame in (prefix.all_prefix_top(table, 2000), prefix.all_prefix_recency(table, scores, 500)):
+        assert "WindowGroupLimit" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answer_names_its_kind(table, scores):
+    assert prefix.suggest(table, scores, " IPa", "Recency").first().asDict() == {
+        "prefix": "ipa", "mode": "RECENCY", "source": "DB+RECENCY", "rank": 1, "query": "ipad", "count": 70}
+    assert prefix.suggest(table, scores, "ipa", "x", source="trie").first().source == "TRIE"
+    assert prefix.suggest(table, scores, None).isEmpty() and prefix.suggest(table, scores, " \t").isEmpty()
+
+
+def test_a_prefix_still_reaches_the_scan(table, tmp_path, spark):
+    table.write.parquet(str(tmp_path / "d"))
+    plan = prefix.prefix_top(spark.read.parquet(str(tmp_path / "d")), " IP")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(query_norm,ip)" in plan

@@ -74,7 +74,7 @@ def test_nodes_without_keys_show_zero(spark, keys):
 def test_only_keys_of_the_new_node_move(spark, keys):
     more = SPEC + ",extra:1"
     old, new = ring.nodes_from_spec(spark, SPEC), ring.nodes_from_spec(spark, more)
-    got = ring.remap(keys, old, new, 3, 4).first()
+    got = ring.remap(keys, old, new).first()
     plain_old, plain_new = PlainRing(LABELS), PlainRing([*LABELS, "node-3 (extra:1/0)"])
     ours = [f"suggest:{i}" for i in range(3000)]
     moved = [k for k in ours if plain_old.of(k) != plain_new.of(k)]

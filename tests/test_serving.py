@@ -60,3 +60,20 @@ def test_changed_queries_invalidate_their_prefixes(world, spark):
     changed = spark.createDataFrame([("java",), ("java",)], "query_norm string")
     left = {r.cache_key for r in serving.invalidate(stored, changed).collect()}
     assert left == {"suggest:i", "suggest:ip"}
+
+
+def test_requests_are_not_shuffled_by_their_keys(world, spark, now):
+    table, scores, stored = world
+    asked = spark.createDataFrame([(i, "ip", None) for i in range(50)], "id long, q string, mode string")
+    plan = serving.answer(asked, stored, table, scores, now)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_batch_of_suggestions_names_source_and_node(world, spark):
+    table, scores, _ = world
+    arcs = ring.build_arcs(ring.build_ring(ring.nodes_from_spec(spark, "a:1,b:2")))
+    asked = spark.createDataFrame([(1, "IP", None), (2, "ip", "recency"), (3, " ", None), (4, "zz", None)], "id long, q string, mode string")
+    got = {r.id: r for r in serving.suggest_batch(asked, table, scores, arcs).collect()}
+    assert {i: r.source for i, r in got.items()} == {1: "DB", 2: "DB+RECENCY", 3: "EMPTY", 4: "DB"}
+    assert got[3].node is None and all(got[i].node.startswith("node-") for i in (1, 2, 4))
+    assert json.loads(got[2].value)[0]["query"] == "iPhone" and got[4].value == "[]"
