@@ -21,6 +21,7 @@ import functools
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from keystride.session import materialize, work_dir
 
 SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 64
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 MEMO_LENGTH = 64
 
 MANIFEST = "shard int, file string, index_file string, n_tokens bigint, n_sequences bigint, n_docs bigint"
@@ -58,11 +59,12 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype=self.type).tobytes()
+            yield array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > MEMO_WORDS:
@@ -77,7 +79,10 @@ class WordEncoder:
             if text and any(c in text for c in SEPARATORS):
                 out += self._encode([text])
             else:
-                out.append(b"".join([known[w] if w in known else now[w] for w in words]))
+                got = list(map(known.get, words))
+                if None in got:  # long words are not remembered
+                    got = [now[w] if g is None else g for w, g in zip(words, got, strict=True)]
+                out.append(b"".join(got))
         return out
 
 
@@ -149,9 +154,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, doc_id
     """Write the files; returns the committed manifest, one row per shard."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    # Texts enter the range key so that rows of one id can be split.
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Hashes of texts let rows of one id be split; the texts themselves would be sampled to the driver.
+    ranges = ["doc_id", F.xxhash64("text")]
+    placed = rows.repartitionByRange(*ranges).sortWithinPartitions(*ranges, "text")
     ship(spark)
     bound_batches(spark)
 
