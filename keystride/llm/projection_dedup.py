@@ -6,6 +6,11 @@ beginnings of their codes with a probability that falls with their angle, so the
 in some pass; pairs verified in any pass are united. Precision is exact (cosine in double precision),
 recall grows with ``passes`` and ``window``; the tests measure it.
 
+A window bounds the partners seen in a pass, so the passes only find the classes. Links are then counted
+exactly within each class: every pair of its vectors is compared once. A class is cut into chunks by the
+hashes of its keys, and each pair of chunks is a task; small classes share tasks. Tasks give a number per
+vector, not pairs. The comparisons grow with the square of a class, the rows do not.
+
 Equal vectors of one label are one vertex, so copies are never paired, and they count in full. A
 window is the same number of rows for every vector, so a crowded label or a hot code is cut into
 blocks of rows like any other part of the order. Each pass is a range partition of the order: position
@@ -36,6 +41,8 @@ CODE_BITS = 62
 WINDOW = 384
 BLOCK = 1536
 SEED = 5
+LEAST_CHUNK, MOST_CHUNK = 256, 8192  # vectors of a class's chunk
+SLICE = 512  # rows of a chunk compared at a time
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
 
@@ -79,8 +86,22 @@ def in_blocks(ordered: DataFrame, block: int, window: int) -> DataFrame:
     return placed.select("pass", "label", "dims", "key", "vector", "place", F.explode(blocks).alias("block"))
 
 
-def near_pairs(distinct: DataFrame, threshold: float, passes: int, window: int, block: int, seed: int) -> DataFrame:
-    """``a, b`` with ``a < b``: verified pairs of keys, each once."""
+def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest that pairs ``i, j`` connect it with."""
+    least = np.arange(n)
+    while True:
+        lower = np.minimum(least[i], least[j])
+        after = least.copy()
+        np.minimum.at(after, i, lower)
+        np.minimum.at(after, j, lower)
+        after = after[after]
+        if np.array_equal(after, least):
+            return least
+        least = after
+
+
+def class_edges(distinct: DataFrame, threshold: float, passes: int, window: int, block: int, seed: int) -> DataFrame:
+    """``a, b`` with ``a < b``: keys that verified pairs connect, at most one row per vector, pass and block."""
     if block < window:
         raise ValueError("a block holds at least a window")
     order = ["pass", "label", "dims", "code", "key"]
@@ -89,7 +110,7 @@ def near_pairs(distinct: DataFrame, threshold: float, passes: int, window: int,
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", ignore_index=True)
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         # Vectors of one pass, label and length stand together.
         runs = (rows[["pass", "label", "dims"]] != rows[["pass", "label", "dims"]].shift()).any(axis=1).cumsum()
         own = rows["place"].to_numpy() // block == rows["block"].to_numpy()
@@ -101,14 +122,63 @@ def near_pairs(distinct: DataFrame, threshold: float, passes: int, window: int,
                 cosine = unit[mine] @ unit[low:low + 2 * window].T
                 i, j = np.nonzero(cosine >= threshold)
                 good = (j > i) & (j - i <= window) & own[at[low + i]]
-                found_a.append(keys[at[low + i[good]]])
-                found_b.append(keys[at[low + j[good]]])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
+                found_i.append(at[low + i[good]])
+                found_j.append(at[low + j[good]])
+        least = united(len(rows), np.concatenate(found_i), np.concatenate(found_j))
+        led = np.flatnonzero(least != np.arange(len(rows)))
+        a, b = keys[least[led]], keys[led]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return blocks.groupBy("block").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def count_links(members: DataFrame, threshold: float, least_chunk: int = LEAST_CHUNK, most_chunk: int = MOST_CHUNK) -> DataFrame:
+    """``key, links``: rows that the other vectors of its class within ``threshold`` stand for, if there are any.
+
+    ``members``: ``key, root, size`` (vectors of the class) ``, n`` (rows of the vector) ``, vector``.
+    """
+    # Chunks grow with the class, so neither its tasks nor the copies of a vector become too many.
+    chunk_rows = F.greatest(F.lit(float(least_chunk)), F.least(F.lit(float(most_chunk)), 8 * F.sqrt("size")))
+    cut = members.withColumn("chunks", F.ceil(F.col("size") / chunk_rows).cast("int"))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    small = members.where(F.col("size") <= least_chunk).count()
+    packs = max(1, -(-small // least_chunk))
+    whole = F.col("chunks") == 1
+    others = F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    paired = cut.select("key", "root", "n", "vector", "chunk", "chunks", others.alias("other"))
+    # Classes of one chunk share tasks; a task of a larger one has its root and two chunks.
+    dealt = paired.select(
+        "key", "root", "n", "vector", "chunk",
+        F.when(whole, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("task"),
+        F.when(whole, -1).otherwise(F.least("chunk", "other")).alias("low"),
+        F.when(whole, -1).otherwise(F.greatest("chunk", "other")).alias("high"))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["root", "chunk", "key"], ignore_index=True)
+        first = int(rows["low"].iloc[0])
+        links = np.zeros(len(rows))
+        n, chunk = rows["n"].to_numpy(np.float64), rows["chunk"].to_numpy()
+        for _, at in rows.groupby("root", sort=False).indices.items():
+            unit = directions(np.array(rows["vector"].iloc[at].tolist(), dtype=np.float64))
+            # Places are in order: of two chunks those of the second come last.
+            across = first >= 0 and first != rows["high"].iloc[0]
+            split = int((chunk[at] == first).sum()) if across else len(at)
+            for low in range(0, split, SLICE):
+                mine = slice(low, min(low + SLICE, split))
+                start = split if across else low
+                near = unit[mine] @ unit[start:].T >= threshold
+                if not across:
+                    near &= np.arange(len(at) - start) > np.arange(near.shape[0])[:, None]
+                links[at[mine]] += near @ n[at[start:]]
+                links[at[start:]] += n[at[mine]] @ near
+        some = links > 0
+        return pd.DataFrame({"key": rows["key"][some], "links": links[some].astype(np.int64)})
+
+    ship(members.sparkSession)
+    counted = dealt.groupBy("task", "low", "high").applyInPandas(count, "key bigint, links bigint")
+    return counted.groupBy("key").agg(F.sum("links").alias("links"))
+
+
 def group(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK,
           seed: int = SEED, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
@@ -119,14 +189,14 @@ def group(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PAS
     # Copies are one vertex: a hot one is one row per task after the partial aggregation.
     grouped = split.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     distinct = materialize(grouped.withColumn("key", F.monotonically_increasing_id()))
-    pairs = materialize(near_pairs(distinct, threshold, passes, window, block, seed))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = distinct.select(F.col("key").alias("b"), "n")
-    linked = both.join(sizes, "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
-    roots = connected_components(pairs).withColumnRenamed("v", "key")
+    edges = materialize(class_edges(distinct, threshold, passes, window, block, seed))
+    roots = connected_components(edges).withColumnRenamed("v", "key")
     rooted = materialize(distinct.drop("vector", "label").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(linked, "key", "left").join(least, "root").select(
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    sized = materialize(rooted.join(least, "root").select("key", "n", "root", "size", "component_id"))
+    members = materialize(sized.where("size > 1").join(distinct.select("key", "vector"), "key"))
+    linked = count_links(members, threshold)
+    classes = sized.join(linked, "key", "left").select(
         "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     known = materialize(distinct.select("label", "vector", "key").join(classes, "key"))
     found = split.where("usable").join(known.drop("key"), ["label", "vector"]).select("vec_id", "n_links", "component_id")

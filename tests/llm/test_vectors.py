@@ -71,6 +71,30 @@ def test_windows_across_blocks(spark):
         projection_dedup.group(spark.createDataFrame(rows[:2], SCHEMA), window=8, block=4).count()
 
 
+def test_links_of_a_crowd_larger_than_the_windows(spark):
+    draw = np.random.default_rng(3)
+    # Distinct vectors around one: some pairs of them are within the threshold, some are not.
+    x = draw.normal(size=16) + 0.22 * draw.normal(size=(700, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    rows += [(1000 + i, rows[i][1], 0) for i in range(5)]
+    want = brute_links(rows)
+    assert max(n for _, n, _ in want) > 300
+    assert grouped(spark, rows, window=32, block=64) == want
+
+
+def test_chunks_of_a_class_count_each_pair_once(spark):
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    rows = [(i, 7, 60, 1 + i % 3, v.tolist()) for i, v in enumerate(x)] + [(100 + i, 8 + i // 3, 3, 1, x[i].tolist()) for i in range(9)]
+    frame = spark.createDataFrame(rows, "key bigint, root bigint, size bigint, n bigint, vector array<double>")
+    got = {r.key: r.links for r in projection_dedup.count_links(frame, 0.5, least_chunk=8, most_chunk=16).collect()}
+    want = {}
+    for k, root, _, _, a in rows:
+        near = [n for other, r, _, n, b in rows if r == root and other != k and unit(np.array([a]))[0] @ unit(np.array([b]))[0] >= 0.5]
+        if near:
+            want[k] = sum(near)
+    assert got == want
+
+
 ODD = [
     (1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [NAN, 1.0], 0), (6, [INF, 1.0], 0),
     (7, [1.0, 1.0], None), (8, [1.0, 1.0], 0), (9, [2.0, 2.0], 0), (10, [1.0, 1.0], 0), (10, [1.0, 1.0], 0), (11, [1.0, 1.0], 1),
