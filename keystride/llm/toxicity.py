@@ -5,7 +5,10 @@
 2. Restoration: a word with digits or marks among its letters, with a letter three times in a row, or
    spelled out letter by letter, becomes a lattice: each sign may stand for itself as a letter, for
    the letters it resembles, or for nothing; a run may be one or two letters. Viterbi decoding under
-   the model and the channel's costs picks the word. Other words have one path and stay as they are.
+   the model and the channel's costs picks the word. In spelled-out runs (three signs or more, any white
+   space between) a separator may also be a word boundary, scored by the edge symbol, so a run is
+   decoded to words. Words cut into pieces by white space or a joint are put together where a telling
+   word comes of it and the model finds it likelier than the pieces. Other words stay as they are.
 3. Scores: logistic regression over the presence of telling words and word beginnings among written
    and restored words. These are the features whose document counts differ most between the labels.
 
@@ -52,6 +55,7 @@ COST_LOOKALIKE = 1.0
 COST_WILD = 2.2       # a sign that stands for any vowel
 COST_DROP = 2.5       # a sign that stands for nothing
 COST_SEPARATOR = 0.5  # a dot, dash, space or the like between letters
+COST_JOIN = 1.0       # white space or a joint inside a word of letters
 SEPARATORS = " .-_*~,'"
 
 EDGE = "^"
@@ -59,7 +63,8 @@ OTHER = "?"
 ALPHABET = EDGE + OTHER + "abcdefghijklmnopqrstuvwxyz"
 N = len(ALPHABET)
 _PLACE = {c: i for i, c in enumerate(ALPHABET)}
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ ._*~-]\S){3,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)\S(?:(?:\s+|[._*~-])\S){2,}(?!\S)")
+_SPACES = re.compile(r"\s+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _JOINTS = re.compile("[-'’]")
 _STRIP = ".,;:?!\"'()[]{}<>|#%&*$=+-_/\\"
@@ -168,21 +173,43 @@ class Restorer:
             i += run
         return steps
 
-    def restore(self, word: str) -> str:
-        """The likeliest word behind a noisy one; ties go to the alternative listed first."""
+    def cost(self, word: str) -> float:
+        """Of a word as it stands."""
+        u, v, total = 0, 0, 0.0
+        for c in word:
+            w = _PLACE.get(c) or _PLACE[fold(c)]
+            total += self.costs[u][v][w]
+            u, v = v, w
+        return total + self.costs[u][v][0]
+
+    def joins(self, pieces: list[str]) -> bool:
+        """Whether pieces are likelier one word than words of their own."""
+        return self.cost("".join(pieces)) + COST_JOIN * (len(pieces) - 1) < sum(map(self.cost, pieces))
+
+    def restore(self, word: str, boundaries: bool = False) -> str:
+        """The likeliest word behind a noisy one; ties go to the alternative listed first.
+
+        With ``boundaries`` a separator may also end a word; the words come with a space between.
+        """
         # State: the last two letters; value: cost and the place of the state before with the letters added.
         states = {(0, 0): 0.0}
         trail = []
         for step in self.lattice(word):
+            if boundaries and step == [("", COST_SEPARATOR)]:
+                step = [*step, (" ", 0.0)]
             after: dict[tuple[int, int], float] = {}
             back = {}
             for (p, q), cost in states.items():
                 for out, extra in step:
                     u, v, total = p, q, cost + extra
-                    for c in out:
-                        w = _PLACE.get(c) or _PLACE[fold(c)]
-                        total += self.costs[u][v][w]
-                        u, v = v, w
+                    if out == " ":
+                        total += self.costs[u][v][0]
+                        u = v = 0
+                    else:
+                        for c in out:
+                            w = _PLACE.get(c) or _PLACE[fold(c)]
+                            total += self.costs[u][v][w]
+                            u, v = v, w
                     if total < after.get((u, v), math.inf):
                         after[u, v] = total
                         back[u, v] = ((p, q), out)
@@ -196,12 +223,10 @@ class Restorer:
             letters.append(out)
         return "".join(reversed(letters))
 
-    def words(self, text: str | None) -> tuple[set[str], set[str]]:
-        """The distinct written words of a whole text, marks at their ends off, and those to be restored."""
+    def words(self, text: str | None) -> tuple[list[str], set[str]]:
+        """The written words of a whole text in order, and the distinct spelled-out runs."""
         low = (text or "").lower()
-        written = set(low.split())
-        noisy = {m.group() for m in _SPELLED.finditer(low)}
-        return written, noisy
+        return low.split(), {_SPACES.sub(" ", m.group()) for m in _SPELLED.finditer(low)}
 
 
 @dataclass
@@ -211,6 +236,12 @@ class Features:
     restorer: Restorer
     wanted: dict[str, int] | None = None  # all, while features are being counted
     memo: dict[str, tuple] = field(default_factory=dict)
+    starts: set[str] = field(default_factory=set)  # of wanted words, shorter than these
+
+    def __post_init__(self):
+        for x in self.wanted or ():
+            word = x.removesuffix("~")
+            self.starts.update(word[:n] for n in range(1, len(word)))
 
     def of_word(self, word: str) -> tuple:
         """What a written word, and the word restored from it, give."""
@@ -221,6 +252,9 @@ class Features:
             lead = word.strip(".,;:?\"'")
             if lead != clean and 0 < len(lead) - len(clean) <= 2:
                 forms.add(self.restorer.restore(lead))  # marks at the ends may be letters too
+        parts = _JOINTS.split(clean)
+        if len(parts) > 1 and all(p.isalpha() for p in parts) and self.restorer.joins(parts):
+            forms.add("".join(parts))
         names = set()
         for f in forms:
             if f:
@@ -230,8 +264,24 @@ class Features:
             return tuple(names)
         return tuple(self.wanted[x] for x in names if x in self.wanted)
 
+    def of_pieces(self, words: list[str], at: int) -> set:
+        """What the word at a place gives together with those after it."""
+        joined = words[at].lstrip(_STRIP)
+        pieces, found = [joined], set()
+        while joined in self.starts and at + len(pieces) < len(words):
+            piece = words[at + len(pieces)].strip(_STRIP)
+            if not piece.isalpha():
+                break
+            known, joined = len(joined), joined + piece
+            pieces.append(piece)
+            names = [joined, *(f"{joined[:n]}~" for n in BEGINNINGS if known < n <= len(joined))]
+            if any(x in self.wanted for x in names) and self.restorer.joins(pieces):
+                found.update(self.wanted[x] for x in names if x in self.wanted)
+        return found
+
     def of_text(self, text: str | None) -> set:
-        written, spelled = self.restorer.words(text)
+        in_order, spelled = self.restorer.words(text)
+        written = set(in_order)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         found: set = set()
@@ -243,7 +293,13 @@ class Features:
                 if len(w) <= MEMO_LENGTH:
                     memo[w] = got
             found.update(got)
+        if self.starts:
+            lead = {w for w in written if w.lstrip(_STRIP) in self.starts}
+            for at in [i for i, w in enumerate(in_order) if w in lead]:
+                found.update(self.of_pieces(in_order, at))
         for s in spelled:
+            for w in self.restorer.restore(s, boundaries=True).split():
+                found.update(self.of_word(w))
             # A word of one letter may stand beside the spelled-out one.
             for run in {s, s[2:], s[:-2], s[2:-2]}:
                 found.update(self.of_word(run))
@@ -360,7 +416,7 @@ def restore(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
         def one(t: str | None) -> str | None:
             if t is None:
                 return None
-            low = _SPELLED.sub(lambda m: restorer.restore(m.group()), t.lower())
+            low = _SPELLED.sub(lambda m: restorer.restore(_SPACES.sub(" ", m.group()), boundaries=True), t.lower())
             return re.sub(r"\S+", lambda m: restorer.restore(m.group()) if is_noisy(m.group().strip(_STRIP)) else m.group(), low)
 
         def compute(texts: pa.Array) -> list[pa.Array]:

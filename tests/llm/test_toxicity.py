@@ -74,6 +74,26 @@ def test_disguised_words_score_like_plain_ones(docs, spark):
     assert "moron" in toxicity.restore(asked, model, ["doc_id"]).where("doc_id = 1").first().restored
 
 
+def test_spelled_runs_are_decoded_to_words(restorer):
+    assert restorer.restore("t h e i d i o t w a s h e r e", boundaries=True).split() == ["the", "idiot", "was", "here"]
+    for run in ("x i d i o t", "i\td\ti\to\tt", "i  d\n i  o  t", "b a d"):
+        assert restorer.words(f"plain {run} words")[1]
+    assert not restorer.words("plain a b words")[1]
+
+
+def test_spread_and_cut_words_score_like_plain_ones(docs, spark):
+    clean = ["the house was here in the street and plain", "an example of this is nothing at all with words"]
+    texts = [(i, f"{clean[i % 2]} {'idiot' if i % 3 == 0 else 'person'} {i}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(*texts), labels)
+    scorer = model.scorer()
+    for noisy in ("t h e i d i o t w a s h e r e", "this i  d  i  o  t here", "this i\td\ti\to\tt here", "i\nd\ni\no\nt",
+                  "an id iot was here", "an idi ot was here", "an id io t was here", "an idi-ot was here"):
+        assert scorer(noisy) >= toxicity.THRESHOLD, noisy
+    for plain in ("a person was here", "a person with an id was here", "p e r s o n", "the i d of a person"):
+        assert scorer(plain) < toxicity.THRESHOLD, plain
+
+
 def test_held_out_rows_are_judged_right(spark):
     got = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1").join(
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
