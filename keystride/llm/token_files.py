@@ -12,7 +12,9 @@ files of lost or repeated attempts are never read. ``path`` may be any URI that
 ``pyarrow.fs.FileSystem.from_uri`` opens.
 
 Order: ascending id (nulls first), then the hash of the text, then the text. Null and empty texts
-have the end id alone. An empty table has a manifest without rows.
+have the end id alone. Names of added tokens (``<|endoftext|>``) in a text are encoded as ordinary pieces
+(``encode_special_tokens``), so no text can put an end mark into the stream; the library's default would
+give their own ids. An empty table has a manifest without rows.
 """
 
 from __future__ import annotations
