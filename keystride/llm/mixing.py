@@ -128,7 +128,10 @@ def plan(counted: DataFrame, target_entropy: float | None = None, max_repetition
     weighted = shares.withColumn("weight", F.round(power / F.lit(norm), WEIGHT_DIGITS))
     if budget is None:
         budget = weighted.where("weight > 0").agg(F.max(F.ceil(F.col("tokens") / F.col("weight")))).first()[0] or 0
-    goal = F.round(F.col("weight") * F.lit(float(budget))).cast("bigint")
+        # A weight that rounds to nothing still has its source read once.
+        goal = F.greatest(F.round(F.col("weight") * F.lit(float(budget))).cast("bigint"), F.col("tokens"))
+    else:
+        goal = F.round(F.col("weight") * F.lit(float(budget))).cast("bigint")
     full = F.when(F.col("tokens") > 0, F.expr("goal div tokens")).otherwise(F.lit(1).cast("bigint"))
     return weighted.withColumn("goal", goal).withColumn("passes", full).select(
         "_source", "tokens", "docs", "weight", "goal", "passes",

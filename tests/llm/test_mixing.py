@@ -90,3 +90,9 @@ def test_salted_join_gives_the_same_rows(spark, monkeypatch):
 def test_empty_table(spark):
     frame = counted(spark, {"a": (1, 1)}).limit(0)
     assert as_query(frame, spark).count() == 0 and mixing.mix(frame, 0.9, 2.0).count() == 0
+
+
+def test_a_source_of_a_tiny_share_is_read_without_a_budget(spark):
+    counted = spark.createDataFrame([("sbig", 10 ** 12), ("ssmall", 2)], "_source string, n_tokens bigint")
+    got = {r._source: (r.goal, r.passes, r.rest) for r in mixing.plan(counted).collect()}
+    assert got == {"sbig": (10 ** 12, 1, 0), "ssmall": (2, 1, 0)}
