@@ -125,9 +125,21 @@ from p left join found using (n)
 """
 
 
+# -- op12 ---------------------------------------------------------------------------------------
+
+def exact_dedup() -> str:
+    return r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
+from d
+"""
+
+
 def build(entropy, repetition, blocks, rules, domains) -> dict[str, str]:
     return {
         "op2_mixing": mixing(entropy, repetition, blocks),
         "op4_url_filter": url_filter(rules, domains),
         "op5_license_join": license_join(),
+        "op12_exact_dedup": exact_dedup(),
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keystride.llm import (
     byte_bpe,
     graph_search,
+    hash_index,
     license_join,
     mixing,
     oracle,
@@ -128,3 +129,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality_model(docs, labels), ["doc_id"])
     return scored.select("doc_id", (fold_of(F.col("doc_id"), QUALITY_FOLDS) == QUALITY_HELD).alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_index.group(table(spark, sf_dir, "documents"))
