@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from keystride.params import MAX_BROADCAST_ROWS
 from keystride.session import materialize
 
 BATCH_BYTES = 8 * 1024 * 1024
@@ -123,3 +124,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         later = labels.select(F.col("v").alias("to"), "root")
         labels = joined.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("root"))
     return materialize(labels)
+
+
+def digest_lanes(digest: Column, lanes: int) -> list[Column]:
+    """The first 16 * ``lanes`` hex digits as integers, which aggregate and join by hashing."""
+    return [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(lanes)]
+
+
+def meet(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join rows with keys that repeat to a table with a row per key, none of them null.
+
+    A counted small table is broadcast; beyond that the merge join's hot partitions are split as it runs.
+    """
+    if right.count() <= max_broadcast:
+        return left.join(F.broadcast(right), by, how)
+    return left.hint("merge").join(right, by, how)

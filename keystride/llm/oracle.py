@@ -136,10 +136,61 @@ from d
 """
 
 
+# -- op13 ---------------------------------------------------------------------------------------
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal text, bit by bit."""
+    bits = f"flatten([[ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1] for ch in string_split({number}::varchar, '')])"
+    step = "xor(x, greatest(e, 0))"
+    return (f"(4294967295 - list_reduce(list_prepend(4294967295::bigint, {bits}), "
+            f"lambda x, e: xor({step} >> 1, 3988292384 * ({step} & 1))))")
+
+
+def prefix_trie() -> str:
+    return rf"""
+with turns as (
+  select conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as dg,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as words
+  from conversations where conv_id is not null),
+placed as (
+  select conv_id, dg, words, row_number() over (partition by conv_id order by turn nulls first,
+    substr(dg, 1, 1) >= '8' desc, substr(dg, 1, 16), substr(dg, 17, 1) >= '8' desc, substr(dg, 17, 16)) as pos from turns),
+sizes as (select conv_id, max(pos) as n from placed group by conv_id),
+convs as (
+  select c.conv_id, c.conv_id - c.conv_id % 20 as lender, {_crc32('c.conv_id')} % 4 as h, coalesce(l.n, 0) as has
+  from sizes c left join sizes l on l.conv_id = c.conv_id - c.conv_id % 20),
+rebuilt as (
+  select c.conv_id, p.pos, dg, words from convs c join placed p on p.conv_id = c.lender and p.pos <= least(h, has)
+  union all
+  select c.conv_id, p.pos - h + least(h, has), dg, words from convs c join placed p on p.conv_id = c.conv_id and p.pos > h),
+seqs as (
+  select conv_id, coalesce(list(dg order by pos) filter (where dg is not null), []) as s,
+    coalesce(list(words order by pos) filter (where dg is not null), []) as w
+  from convs left join rebuilt using (conv_id) group by conv_id),
+deep as (select conv_id, s, w, unnest(range(0, len(s) + 1)) as depth from seqs),
+members as (
+  select conv_id, depth, sha256(array_to_string(s[1:depth], '')) as k, sha256(array_to_string(s[1:depth - 1], '')) as pk,
+    case when depth > 0 then w[depth] else 0 end as words, len(s) = depth as is_end from deep),
+nodes as (
+  select depth, k, any_value(pk) as pk, min(conv_id) as conv_id, count(*) as n_convs, max(words) as words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where is_end), '')) as ends_sha256
+  from members group by depth, k),
+kids as (select depth - 1 as depth, pk as k, count(*) as n_children from nodes where depth > 0 group by 1, 2),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (depth, k)),
+sums as (
+  select m.depth, m.k, sum(case when n.n_children = 0 then 1 else 0 end)::bigint as n_leaves,
+    sum((n.n_convs - 1) * n.words)::bigint as saved_tokens
+  from full_nodes n join members m on m.conv_id = n.conv_id and m.depth <= n.depth group by 1, 2)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+from full_nodes n join sums using (depth, k) left join nodes p on p.depth = n.depth - 1 and p.k = n.pk
+"""
+
+
 def build(entropy, repetition, blocks, rules, domains) -> dict[str, str]:
     return {
         "op2_mixing": mixing(entropy, repetition, blocks),
         "op4_url_filter": url_filter(rules, domains),
         "op5_license_join": license_join(),
         "op12_exact_dedup": exact_dedup(),
+        "op13_prefix_trie": prefix_trie(),
     }

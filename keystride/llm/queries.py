@@ -15,9 +15,11 @@ from keystride.llm import (
     license_join,
     mixing,
     oracle,
+    prefix_trie,
     projection_dedup,
     quality,
     simhash,
+    token_alignment,
     token_files,
     toxicity,
     url_filter,
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Production parameters.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+ALIGNED_TOKENIZERS = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 1
 MIX_ENTROPY, MIX_REPETITION, MIX_BLOCKS = 0.95, 4.0, 64
 # Fixed values: (verdict, host, path) of url rules.
@@ -131,6 +134,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of(F.col("doc_id"), QUALITY_FOLDS) == QUALITY_HELD).alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ALIGNED_TOKENIZERS)
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), a, b, ["doc_id"])
+
+
 @query
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_index.group(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.share_openings(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
