@@ -141,6 +141,17 @@ REFILL = refill_of("(SELECT event_id AS req_id, * FROM search_event)", "query_no
 
 BEST = """SELECT query_norm, arg_min(query, (-"count", query)) AS display, max("count") AS "count"
           FROM search_query GROUP BY query_norm"""
+DAY_FOLDS = """
+    day_fold AS (
+        SELECT (ts >= TIMESTAMP '2024-01-10')::INT + (ts >= TIMESTAMP '2024-01-20')::INT AS batch, query_norm,
+               count(*) AS delta, arg_min(display, (us, event_id)) AS display, max(us) AS last_us
+        FROM search_event GROUP BY ALL),
+    merged AS (
+        SELECT query, arg_min(query_norm, created_us) AS query_norm, sum("count")::BIGINT AS "count",
+               max(last_us) AS last_us, min(created_us) AS created_us
+        FROM (SELECT query, query_norm, "count", epoch_us(TIMESTAMP '2024-01-01') AS last_us,
+                     epoch_us(TIMESTAMP '2024-01-01') AS created_us FROM search_query
+              UNION ALL SELECT display, query_norm, delta, last_us, last_us FROM day_fold) GROUP BY query)"""
 LIST_JSON = """to_json(list({'query': query, 'count': "count"} ORDER BY rank))::VARCHAR"""
 
 
@@ -305,6 +316,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT query, query_norm, "count", epoch_us(TIMESTAMP '2024-01-01') AS last_us,
                      epoch_us(TIMESTAMP '2024-01-01') AS created_us FROM search_query
               UNION ALL SELECT display, query_norm, delta, last_us, last_us FROM folded) GROUP BY query""", FLUSHES),
+    "upsert_ranges": sql('SELECT query, query_norm, "count", last_us, created_us FROM merged', EVENTS, DAY_FOLDS),
+    "lists_after_changes": sql("""
+        SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY "count" DESC, query)::INT AS rank, query, "count"
+        FROM (SELECT substr(query_norm, 1, i::INT) AS prefix, query, "count"
+              FROM (SELECT *, unnest(range(1, length(query_norm) + 1)) AS i FROM merged)) QUALIFY rank <= 10""", EVENTS, DAY_FOLDS),
     "load_last_wins": sql("""SELECT query, "count", line_no FROM query_line
         QUALIFY row_number() OVER (PARTITION BY query ORDER BY line_no DESC) = 1""", "doc_word query_line"),
     "parse_lines": sql("""SELECT origin, query, n AS "count" FROM parsed WHERE good AND query <> ''""", WORDS, PARSED),

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystride.functions import scoring, text
-from keystride.operators import expiry, fold, merge, prefix, reports, replay, ring, serving, trending
+from keystride.operators import expiry, fold, merge, prefix, reports, replay, ring, serving, trending, upkeep
 from keystride.session import materialize, work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.ranges import DictionaryRanges
 from keystride.sources.views import AS_OF, HALF_LIFE, NODES_3, NODES_4, TestViews, as_requests, searched_queries
 from keystride.streaming import jobs
 
@@ -38,6 +39,7 @@ MUCH_LATER, HOUR = "2024-03-31 00:00:00", 3600.0
 LOG_FILES = 4
 SMALL_GROUP = 500  # rows beyond which the large queries cut a group
 DAY = 86_400
+RANGE_ROWS = 20_000  # rows of a stored key range
 
 
 def query(fn: Callable[[TestViews], DataFrame]) -> Callable[[TestViews], DataFrame]:
@@ -316,6 +318,45 @@ def upsert_merge(v):
     return _rows(merge.upsert(_base(v), merge.deltas_as_rows(flushed(v))))
 
 
+DAY_BATCHES = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
+
+
+def _day_deltas(v: TestViews) -> list[DataFrame]:
+    """The events of three spans of days, each folded to one batch of deltas."""
+    bounds = [None, *map(at, DAY_BATCHES), None]
+    spans = [(F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high)
+             for low, high in zip(bounds, bounds[1:])]
+    return [materialize(merge.deltas_as_rows(fold.fold(v.search_event.where(span)))) for span in spans]
+
+
+def _ranges(v: TestViews, root: str) -> DictionaryRanges:
+    table = DictionaryRanges(v.spark, f"{root}/dictionary", target_rows=RANGE_ROWS)
+    table.load(_base(v))
+    return table
+
+
+@query
+def upsert_ranges(v):
+    """Three batches merged into a dictionary kept in key ranges; each rewrites the ranges it meets."""
+    table = _ranges(v, work_dir(v.spark, "upsert-ranges"))
+    for batch_id, deltas in enumerate(_day_deltas(v)):
+        table.upsert(deltas, batch_id)
+    return _rows(table.read())
+
+
+@query
+def lists_after_changes(v):
+    """The best completions of every prefix, kept up over three batches instead of ranked again."""
+    root = work_dir(v.spark, "lists-after-changes")
+    table = _ranges(v, root)
+    lists = upkeep.PrefixLists(v.spark, f"{root}/lists", target_rows=10 * RANGE_ROWS)
+    lists.build(table)
+    for batch_id, deltas in enumerate(_day_deltas(v)):
+        table.upsert(deltas, batch_id)
+        lists.update(table, deltas, batch_id)
+    return lists.lists()
+
+
 @query
 def load_last_wins(v):
     return merge.last_line_wins(v.query_line, ["line_no"]).select("query", "count", "line_no")

@@ -23,16 +23,17 @@ NODES_4 = NODES_3 + ",localhost:6379:3"
 def searched_queries(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``event_id, ts, user_id, raw, value``; works on a static and on a streaming event table.
 
-    ``raw`` varies in case and padding. A position outside the range is an error, not a dropped row.
+    ``raw`` varies in case and padding. A position that is missing, outside the range or beyond a small
+    dictionary is an error, not a dropped row.
     """
     order = [F.desc("count"), F.asc("query")]
     frequent = dictionary.select("query", "count").orderBy(*order).limit(POSITIONS)
     frequent = frequent.select("query", (F.row_number().over(Window.orderBy(*order)) - 1).alias("k"))
     k = F.get_json_object("props", "$.k").cast("int")
-    outside = F.raise_error(F.lit(f"event position outside 0 to {POSITIONS - 1}"))
-    placed = events.withColumn("k", F.when(~k.between(0, POSITIONS - 1), outside).otherwise(k))
-    # 100 rows at most.
-    named = placed.join(F.broadcast(frequent), "k")
+    outside = F.raise_error(F.lit(f"event position names none of the {POSITIONS} most frequent queries"))
+    # 100 rows at most. A null position meets no query either.
+    named = events.withColumn("k", k).join(F.broadcast(frequent), "k", "left")
+    named = named.withColumn("query", F.coalesce("query", outside.cast("string")))
     turn = F.col("event_id") % 3
     raw = F.when(turn == 0, F.upper("query")).when(turn == 1, F.concat(F.lit("  "), F.col("query"))).otherwise(F.col("query"))
     return named.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", raw.alias("raw"), "value")

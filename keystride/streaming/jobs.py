@@ -15,9 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keystride.operators import expiry, fold, trending
 from keystride.operators.merge import deltas_as_rows
+from keystride.operators.upkeep import PrefixLists
 from keystride.params import FLUSH_INTERVAL_SECONDS, HALF_LIFE_SECONDS
+from keystride.session import materialize
 from keystride.sources.batches import BatchTable
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.ranges import DictionaryRanges
 
 
 def _start(stream: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str,
@@ -39,6 +42,21 @@ def maintain_counts(events: DataFrame, store: DictionaryStore, checkpoint: str,
     return _start(events, publish, checkpoint, drain=drain)
 
 
+def maintain_lists(events: DataFrame, dictionary: DictionaryRanges, lists: PrefixLists, checkpoint: str,
+                   drain: bool = False) -> StreamingQuery:
+    """Fold each micro-batch into the dictionary and bring the lists of its prefixes up to date.
+
+    Both stores remember the last batch they contain, so one that ran half way is completed when it runs
+    again.
+    """
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        deltas = materialize(deltas_as_rows(fold.fold(fold.usable_events(batch))))
+        dictionary.upsert(deltas, batch_id)
+        lists.update(dictionary, deltas, batch_id)
+
+    return _start(events, publish, checkpoint, drain=drain)
+
+
 class PartialStore:
     """Per-window score sums as a stream writes them; a window's latest batch counts."""
 

@@ -25,7 +25,7 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", [
     "dictionary", "all_prefix_topk", "prefix_recency", "prefix_recency_old", "trending_recency_old", "suggest_batch", "trending_recency", "trending_cold_start", "trending_snapshots",
     "flush_fold", "requeue_merge", "upsert_merge", "parse_lines", "materialized_else_compute", "ttl_refresh",
-    "ring_assign", "debounce", "latency_percentiles", "debounce_large", "latency_large", "ttl_large", "stream_score",
+    "lists_after_changes", "upsert_ranges", "ring_assign", "debounce", "latency_percentiles", "debounce_large", "latency_large", "ttl_large", "stream_score",
 ])
 def test_equals_sql(spark, name):
     """A selection; ``tools/check.py`` runs them all."""

@@ -3,10 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from keystride.operators import expiry, fold, merge, trending
+from keystride.operators import expiry, fold, merge, prefix, trending, upkeep
 from keystride.sources import events as log
 from keystride.sources.batches import BatchTable
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.ranges import DictionaryRanges
 from keystride.sources.scores import ScoreStore
 from keystride.streaming import jobs
 
@@ -58,6 +59,20 @@ def test_counts_stream_equals_batch(spark, event_files, tmp_path):
     assert per_norm(store.read()) == {**expected_counts(spark, frame), "late": 10}
 
 
+def test_lists_stream_equals_lists_computed_afresh(spark, event_files, tmp_path):
+    path, frame = event_files
+    dictionary = DictionaryRanges(spark, str(tmp_path / "dictionary"), target_rows=5)
+    dictionary.load(base(spark))
+    lists = upkeep.PrefixLists(spark, str(tmp_path / "lists"), k=3, spare=1, target_rows=10)
+    lists.build(dictionary)
+    stream = log.stream_events(spark, path, max_files=2)
+    for checkpoint in ("check", "check", "lost"):  # the last run repeats every batch
+        jobs.maintain_lists(stream, dictionary, lists, str(tmp_path / checkpoint), drain=True).awaitTermination()
+        assert per_norm(dictionary.read()) == expected_counts(spark, frame)
+        fresh = prefix.all_prefix_top(dictionary.read(), 3)
+        assert sorted(map(tuple, lists.lists().collect())) == sorted(map(tuple, fresh.collect()))
+
+
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     store = DictionaryStore(spark, str(tmp_path / "store"))
     store.load_if_empty(base(spark))
