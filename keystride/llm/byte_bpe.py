@@ -6,8 +6,9 @@ byte stands for a character of its own (``byte_characters``), and every split of
 tokens becomes a merge, in the order of the ranks.
 
 Pieces are independent, so texts are cut at single spaces between other characters, which are always
-piece boundaries, and each distinct part is encoded once per worker (a bounded memo). A text with any
-other run of spaces is matched whole against the pattern.
+piece boundaries, and each distinct part that comes again is encoded once per worker (a bounded memo).
+The pieces of all new parts of a batch go to the library in one call and their ids are told apart by the
+bytes they stand for. A text with any other run of spaces is matched whole against the pattern.
 
 Null and empty texts have no ids. Rows are kept one by one, repeated ones too. Ids outside the
 vocabulary are an error. A character cut by the end of an id list decodes to U+FFFD in ``text``;
@@ -19,8 +20,8 @@ from __future__ import annotations
 import base64
 import functools
 import os
-from array import array
-from collections.abc import Iterable
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystride.llm.common import map_columns
+from keystride.llm.part_memo import PartMemo
 
-MEMO_PARTS = 120_000     # distinct parts remembered by a worker
-MEMO_LENGTH = 64         # longer parts are encoded each time
+MEMO_PARTS = 150_000     # distinct parts remembered by a worker, and as many on trial
+NOT_ALONE = b"?"         # stands for the ids of a part that cannot be encoded by itself
 
 
 def byte_characters() -> list[str]:
@@ -56,7 +58,16 @@ class ByteBpe:
         self.ranks = read_ranks(ranks_path)
         self.pieces = regex.compile(pattern)
         self.token_bytes = {r: t for t, r in self.ranks.items()}
-        self.memo: tuple[dict, dict] = ({}, {})  # parts as they stand, parts after a space
+        self.sizes = np.zeros(max(self.token_bytes, default=0) + 1, dtype=np.int64)
+        for token, rank in self.ranks.items():
+            self.sizes[rank] = len(token)
+        self.first = PartMemo(lambda parts: self._encode_parts(parts, ""), MEMO_PARTS // 8)
+        self.rest = PartMemo(lambda parts: self._encode_parts(parts, " "), MEMO_PARTS)
+
+    @functools.cached_property
+    def byte_table(self) -> pa.Array:
+        """The bytes of each id, empty where there is none."""
+        return pa.array([self.token_bytes.get(i, b"") for i in range(len(self.sizes))], pa.large_binary())
 
     @functools.cached_property
     def library(self):
@@ -76,43 +87,41 @@ class ByteBpe:
         made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return made
 
-    def _encode_pieces(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_parts(self, parts: list[str], lead: str) -> Iterable[bytes]:
-        found = [self.pieces.findall(lead + p) for p in parts]
-        flat = iter(self._encode_pieces([x for f in found for x in f]))
-        for f in found:
-            yield array("I", [i for _ in f for i in next(flat)]).tobytes()
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces, none of them empty, by one call of the library."""
+        if not pieces:
+            return {}
+        ids = np.array(self.library.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(ends, list(accumulate(len(p.encode()) for p in pieces)), side="right") * 4
+        packed = ids.tobytes()
+        return {p: packed[i:j] for p, i, j in zip(pieces, (0, *cuts[:-1].tolist()), cuts.tolist(), strict=True)}
+
+    def _encode_parts(self, parts: list[str], lead: str) -> Iterator[bytes]:
+        """Ids of parts after ``lead``. A cut beside another space is no piece boundary: such a part cannot stand alone."""
+        alone = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in parts]
+        found = [self.pieces.findall(lead + p) if a else () for p, a in zip(parts, alone, strict=True)]
+        known = self._encode_pieces(list(dict.fromkeys(x for f in found for x in f)))
+        for a, f in zip(alone, found, strict=True):
+            yield b"".join([known[x] for x in f]) if a else NOT_ALONE
+
+    def _encode_whole(self, text: str) -> bytes:
+        found = self.pieces.findall(text)
+        known = self._encode_pieces(list(dict.fromkeys(found)))
+        return b"".join(map(known.__getitem__, found))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t or "").split(" ") for t in texts]
-        known = []
-        for which, lead in ((0, ""), (1, " ")):
-            memo, wanted = self.memo[which], set()
-            if len(memo) > MEMO_PARTS:
-                memo.clear()
-            for parts in split:
-                wanted.update(parts[:1] if which == 0 else parts[1:])
-            wanted = [p for p in wanted if p not in memo]
-            # A cut beside another space is no piece boundary: such texts go the long way.
-            plain = [p for p in wanted if p and not p[0].isspace() and not p[-1].isspace()]
-            extra = dict.fromkeys(wanted)
-            extra.update(zip(plain, self._encode_parts(plain, lead), strict=True))
-            memo.update((p, v) for p, v in extra.items() if len(p) <= MEMO_LENGTH)
-            known.append((memo, {p: v for p, v in extra.items() if len(p) > MEMO_LENGTH}))
-        (first, long_first), (rest, long_rest) = known
+        first = self.first.values({parts[0] for parts in split})
+        rest = self.rest.values(set().union(*(parts[1:] for parts in split)))
         out = []
         for text, parts in zip(texts, split, strict=True):
-            head, *tail = parts
-            got = [first.get(head), *map(rest.get, tail)]
-            if None in got:  # a long part, or one that is no piece boundary
-                got = [long_first.get(head) if got[0] is None else got[0],
-                       *(long_rest.get(p) if g is None else g for p, g in zip(tail, got[1:], strict=True))]
-                if None in got:
-                    got = list(self._encode_parts([text], "")) if text else []
-            out.append(b"".join(got))
+            got = [first[parts[0]], *map(rest.__getitem__, parts[1:])]
+            if NOT_ALONE in got:
+                out.append(self._encode_whole(text) if text else b"")
+            else:
+                out.append(b"".join(got))
         return out
 
     def starts(self, text: str, ids: list[int]) -> list[int]:
@@ -124,6 +133,18 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
+    def decode_lists(self, lists: pa.Array) -> pa.Array:
+        """The bytes of each list of ids: one look-up of all ids, whose bytes then lie side by side."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < len(self.sizes))
+        if not known.all() or not self.sizes[ids].all():
+            raise ValueError("ids outside the vocabulary")
+        taken = self.byte_table.take(pa.array(ids))
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        offsets = pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int64))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, offsets, taken.buffers()[2]]).cast(pa.binary())
+
 
 @functools.lru_cache(maxsize=2)
 def shared_bpe(ranks_path: str, pattern: str) -> ByteBpe:
@@ -133,7 +154,7 @@ def shared_bpe(ranks_path: str, pattern: str) -> ByteBpe:
 
 def _id_lists(packed: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32()))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None,
@@ -167,9 +188,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
         bpe = shared_bpe(ranks_path, pattern)
 
         def compute(lists: pa.Array) -> list[pa.Array]:
-            back = [bpe.decode(x or []) for x in lists.to_pylist()]
-            columns = [pa.array(back, pa.binary())]
-            return columns + ([pa.array([b.decode("utf-8", "replace") for b in back])] if text else [])
+            back = bpe.decode_lists(lists)
+            return [back] + ([pa.array([b.as_py().decode("utf-8", "replace") for b in back], pa.string())] if text else [])
 
         return compute
 
@@ -183,12 +203,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
         bpe = shared_bpe(ranks_path, pattern)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            packed, back = [], []
+            packed = []
             for i in range(0, len(texts), 500):
                 packed += bpe.encode(texts.slice(i, 500).to_pylist())
-            for p in packed:
-                back.append(bpe.decode(np.frombuffer(p, "<u4").tolist()))
-            return [_id_lists(packed), pa.array(back, pa.binary())]
+            ids = _id_lists(packed)
+            return [ids, bpe.decode_lists(ids)]
 
         return compute
 

@@ -12,22 +12,23 @@ files of lost or repeated attempts are never read. ``path`` may be any URI that
 ``pyarrow.fs.FileSystem.from_uri`` opens.
 
 Order: ascending id (nulls first), then the hash of the text, then the text. Null and empty texts
-have the end id alone. Names of added tokens (``<|endoftext|>``) in a text are encoded as ordinary pieces
-(``encode_special_tokens``), so no text can put an end mark into the stream; the library's default would
-give their own ids. An empty table has a manifest without rows.
+have the end id alone. The tokenizer is used as it is loaded: names of added tokens (``<|endoftext|>``) in
+a text get their own ids; such texts go through the library whole. An empty table has a manifest without
+rows.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,12 +37,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keystride.llm.common import bound_batches, ship
+from keystride.llm.part_memo import PartMemo
 from keystride.session import materialize, work_dir
 
 SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 64
-MEMO_WORDS = 800_000
-MEMO_LENGTH = 64
+MEMO_WORDS = 250_000     # distinct words remembered by a worker, and as many on trial
 
 MANIFEST = "shard int, file string, index_file string, n_tokens bigint, n_sequences bigint, n_docs bigint"
 # Characters that str.split() takes for spaces and tokenizers do not.
@@ -51,7 +52,9 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never span white space.
 
-    Each distinct word is encoded once per worker, within a bounded memo.
+    Each distinct word that comes again is encoded once per worker, within a bounded memo. New words are
+    cut into the pieces of the tokenizer's own pattern where that is safe (``_cutter``), and the pieces not
+    met before go to the library in one call, an added token between them to tell their ids apart.
     """
 
     def __init__(self, path: str):
@@ -59,33 +62,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.type.itemsize == 2 else "I"
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            yield array(self.code, e.ids).tobytes()
+        added = self.library.get_added_tokens_decoder()
+        # Where one of these is in a text, or in its lower-case form, words are not encoded alone.
+        self.whole = [t.content for t in added.values()] + list(SEPARATORS)
+        self.mark = next(((i, t.content) for i, t in added.items() if not (t.single_word or t.normalized)), None)
+        self.cut = self._cutter(json.loads(self.library.to_str()))
+        self.memo = PartMemo(self._encode_words, MEMO_WORDS)
+        self.pieces = PartMemo(self._encode_pieces, MEMO_WORDS)
+
+    @staticmethod
+    def _cutter(made: dict) -> Callable[[str], list[str]] | None:
+        """What cuts a word into pieces, if pieces are the matches of a pattern in lower-cased text."""
+        def steps(part, inner):
+            return (part or {}).get(inner) or [part or {}]
+
+        forms, cuts = steps(made["normalizer"], "normalizers"), steps(made["pre_tokenizer"], "pretokenizers")
+        first = cuts[0]
+        plain = ([f.get("type") for f in forms] == ["NFC", "Replace", "Lowercase"] and forms[1]["pattern"] == {"Regex": r"\s+"}
+                 and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
+                 and all(c.get("type") == "ByteLevel" and not c["use_regex"] and not c["add_prefix_space"] for c in cuts[1:]))
+        return regex.compile(first["pattern"]["Regex"]).findall if plain else None
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.type).tobytes()
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        if self.mark is None:
+            return self._encode_each(pieces)
+        mark, name = self.mark
+        ids = np.array(self.library.encode_batch_fast([name.join(pieces)], add_special_tokens=False)[0].ids, dtype=self.type)
+        size, packed = self.type.itemsize, ids.tobytes()
+        marks = (np.flatnonzero(ids == mark) * size).tolist()
+        return [packed[i:j] for i, j in zip([0, *(m + size for m in marks)], [*marks, len(packed)], strict=True)]
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        # Below U+0250 letters and their normal forms are the same to all versions of Unicode.
+        cut = [self.cut(w.lower()) if self.cut and max(w) < "\u0250" else (w,) for w in words]
+        known = self.pieces.values(set().union(*cut))
+        return (b"".join([known[p] for p in c]) for c in cut)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        split = [(t or "").split() for t in texts]
-        wanted = [w for w in set().union(*split) if w not in self.memo]
-        now = dict(zip(wanted, self._encode(wanted), strict=True))
-        self.memo.update((w, v) for w, v in now.items() if len(w) <= MEMO_LENGTH)
-        known = self.memo
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if text and any(c in text for c in SEPARATORS):
-                out += self._encode([text])
-            else:
-                got = list(map(known.get, words))
-                if None in got:  # long words are not remembered
-                    got = [now[w] if g is None else g for w, g in zip(words, got, strict=True)]
-                out.append(b"".join(got))
-        return out
+        split = []
+        for text in texts:
+            text = text or ""
+            low = text.lower()
+            split.append(None if any(c in text or c in low for c in self.whole) else text.split())
+        known = self.memo.values(set().union(*(words for words in split if words)))
+        whole = iter(self._encode_each([t for t, words in zip(texts, split, strict=True) if words is None]))
+        return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=2)
