@@ -23,7 +23,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+import re
+from array import array
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -43,17 +45,21 @@ BROADCAST_PAIRS = 2_000_000  # rows of two integers and a flag, 40 bytes each in
 # How the piece model spells a space and a byte.
 SPACE_SIGN, BYTE_PIECE = "▁", "<0x{:02X}>"
 
-# Of one part or text: tokens of A, of B, groups, their spelling, keys of linked pairs.
-Aligned = tuple[int, int, int, str, list[int]]
+# Of one part or text: tokens of A, of B, groups, their spelling, keys of linked pairs as 64-bit integers.
+Aligned = tuple[int, int, int, bytes, bytes]
+# A space beside white space or an end of the text.
+_NO_CUT = re.compile(r"(?:\A|\s) | (?:\s|\Z)|\A\s|\s\Z")
 
 
-def slices(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """``a_from, a_to, b_from, b_to`` of each group, from ascending token ends."""
-    place_a = {end: i for i, end in enumerate(ends_a, 1)}
-    place_b = {end: i for i, end in enumerate(ends_b, 1)}
+def slices(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """``end, a_from, a_to, b_from, b_to`` of each group, from ascending token ends."""
+    place_a = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True))
+    place_b = dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
     a = b = 0
     for end in sorted(place_a.keys() & place_b.keys()):
-        yield a, (a := place_a[end]), b, (b := place_b[end])
+        to_a, to_b = place_a[end], place_b[end]
+        yield end, a, to_a, b, to_b
+        a, b = to_a, to_b
 
 
 def links(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
@@ -86,6 +92,7 @@ class Aligner:
         self.b_bytes = [raw[p] if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
         self.a_size, self.b_size = (list(map(len, t)) for t in (self.a_bytes, self.b_bytes))
+        self.spelled = [b"%d" % i for i in range(max(len(names), len(pieces)))]
         self.memo = PartMemo(self._align_parts, MEMO_PARTS)
 
     def _encoded(self, text: str) -> tuple[list[int], list[int]] | None:
@@ -103,19 +110,20 @@ class Aligner:
             return None
         a, b = ids
         ends_a, ends_b = (list(accumulate(map(size.__getitem__, x))) for x, size in ((a, self.a_size), (b, self.b_size)))
+        spell_a, spell_b = (list(map(self.spelled.__getitem__, x)) for x in ids)
         out, groups, pairs, width = [], [], [], len(self.b_size)
-        part_ends = accumulate(len(p.encode()) + 1 for p in text.split(" ")) if parts > 1 else iter([ends_a[-1]])
+        sizes = (len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in text.split(" ")) if parts > 1 else ends_a[-1:]
+        part_ends = accumulate(sizes)
         part_end, a_start, b_start = next(part_ends), 0, 0
-        for a0, a1, b0, b1 in slices(ends_a, ends_b):
-            groups.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-            if a1 - a0 == 1:
-                pairs += [a[a0] * width + y for y in b[b0:b1]]
-            elif b1 - b0 == 1:
-                pairs += [x * width + b[b0] for x in a[a0:a1]]
+        for end, a0, a1, b0, b1 in slices(ends_a, ends_b):
+            if a1 - a0 == 1 == b1 - b0:
+                groups.append(spell_a[a0] + b"|" + spell_b[b0])
+                pairs.append(a[a0] * width + b[b0])
             else:
+                groups.append(b",".join(spell_a[a0:a1]) + b"|" + b",".join(spell_b[b0:b1]))
                 pairs += [a[a0 + i] * width + b[b0 + j] for i, j in links(ends_a[a0:a1], ends_b[b0:b1])]
-            if ends_a[a1 - 1] == part_end:
-                out.append((a1 - a_start, b1 - b_start, len(groups), ";".join(groups), pairs))
+            if end == part_end:
+                out.append((a1 - a_start, b1 - b_start, len(groups), b";".join(groups), array("q", pairs).tobytes()))
                 groups, pairs, a_start, b_start, part_end = [], [], a1, b1, next(part_ends, None)
         return out
 
@@ -137,12 +145,9 @@ class Aligner:
 
     def parts_of(self, text: str) -> list[str] | None:
         """The parts between single spaces, or None if the text must be aligned whole."""
-        parts = text.split(" ")
-        if self.cuts and all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            return parts
-        return None
+        return text.split(" ") if self.cuts and not _NO_CUT.search(text) else None
 
-    def align(self, texts: list[str | None]) -> Iterator[tuple[list[Aligned], bool]]:
+    def align(self, texts: list[str | None]) -> Iterator[list[Aligned]]:
         """The aligned parts of each text; none if it has no tokens."""
         split = [self.parts_of(t) if t else None for t in texts]
         known = self.memo.values(set().union(*(p for p in split if p)))
@@ -150,8 +155,8 @@ class Aligner:
             if parts is None:
                 yield self._align(text) or [] if text else []
             else:
-                got = [v for p in parts for v in known[p]]
-                yield got if len(got) == len(parts) else []
+                got = [known[p] for p in parts]
+                yield [v for v, in got] if [] not in got else []
 
 
 @functools.lru_cache(maxsize=2)
@@ -175,13 +180,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str
             counts, digests, spelled, flat, times, bounds = [], [], [], [], [], [0]
             for start in range(0, len(texts), TEXTS_AT_ONCE):
                 for parts in aligner.align(texts.slice(start, TEXTS_AT_ONCE).to_pylist()):
-                    n_a, n_b, n_groups = (sum(p[i] for p in parts) for i in range(3))
-                    whole = ";".join([p[3] for p in parts])
-                    keys, often = np.unique(np.array([k for p in parts for k in p[4]], dtype=np.int64), return_counts=True)
-                    counts.append((n_a, n_b, n_groups, int(often.sum())))
-                    digests.append(hashlib.sha256(whole.encode()).hexdigest() if parts else "")
+                    n_a, n_b, n_groups, spellings, pairs = zip(*parts) if parts else ((),) * 5
+                    whole = b";".join(spellings)
+                    keys, often = np.unique(np.frombuffer(b"".join(pairs), dtype=np.int64), return_counts=True)
+                    counts.append((sum(n_a), sum(n_b), sum(n_groups), int(often.sum())))
+                    digests.append(hashlib.sha256(whole).hexdigest() if parts else "")
                     if groups:
-                        spelled.append(whole)
+                        spelled.append(whole.decode())
                     flat.append(keys)
                     times.append(often.astype(np.int32))
                     bounds.append(bounds[-1] + len(keys))
