@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystride.llm.common import map_columns
-from keystride.llm.part_memo import PartMemo
+from keystride.llm.part_memo import PartMemo, any_of, joined, split_texts
 
 MEMO_PARTS = 150_000     # distinct parts remembered by a worker, and as many on trial
 NOT_ALONE = b"?"         # stands for the ids of a part that cannot be encoded by itself
@@ -110,18 +110,24 @@ class ByteBpe:
         known = self._encode_pieces(list(dict.fromkeys(found)))
         return b"".join(map(known.__getitem__, found))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t or "").split(" ") for t in texts]
-        first = self.first.values({parts[0] for parts in split})
-        rest = self.rest.values(set().union(*(parts[1:] for parts in split)))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts, bounds = split_texts(texts)
+        # The first part of a text has no space before it.
+        tail = np.ones(len(parts), dtype=bool)
+        tail[bounds[:-1]] = False
+        codes, values = self.rest.lookup(parts.filter(pa.array(tail)))
+        tails = bounds - np.arange(len(bounds))
+        whole = any_of(np.array([v == NOT_ALONE for v in values], dtype=bool)[codes], tails)
+        heads, head_values = self.first.lookup(parts.take(pa.array(bounds[:-1])))
         out = []
-        for text, parts in zip(texts, split, strict=True):
-            got = [first[parts[0]], *map(rest.__getitem__, parts[1:])]
-            if NOT_ALONE in got:
+        for i, (head, rest) in enumerate(zip(heads.tolist(), joined(values, codes, tails), strict=True)):
+            if whole[i] or head_values[head] == NOT_ALONE:
+                text = texts[i].as_py()
                 out.append(self._encode_whole(text) if text else b"")
             else:
-                out.append(b"".join(got))
+                out.append(head_values[head] + rest)
         return out
 
     def starts(self, text: str, ids: list[int]) -> list[int]:
@@ -164,13 +170,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         bpe = shared_bpe(ranks_path, pattern)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            texts = texts.to_pylist()
-            out = []
-            for i in range(0, len(texts), 500):
-                out += bpe.encode(texts[i:i + 500])
+            out = bpe.encode(texts)
             columns = [_id_lists(out)]
             if offsets:
-                starts = [bpe.starts(t or "", np.frombuffer(p, "<u4").tolist()) for t, p in zip(texts, out, strict=True)]
+                starts = [bpe.starts(t.as_py() or "", np.frombuffer(p, "<u4").tolist()) for t, p in zip(texts, out, strict=True)]
                 columns.append(pa.array(starts, pa.list_(pa.int32())))
             return columns
 
@@ -203,10 +206,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
         bpe = shared_bpe(ranks_path, pattern)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            packed = []
-            for i in range(0, len(texts), 500):
-                packed += bpe.encode(texts.slice(i, 500).to_pylist())
-            ids = _id_lists(packed)
+            ids = _id_lists(bpe.encode(texts))
             return [ids, bpe.decode_lists(ids)]
 
         return compute

@@ -23,32 +23,33 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystride.llm.byte_bpe import byte_characters
 from keystride.llm.common import map_columns, meet
-from keystride.llm.part_memo import PartMemo
+from keystride.llm.part_memo import PartMemo, any_of, joined, split_texts
 from keystride.session import materialize
 
 MEMO_PARTS = 150_000
 CHUNK_CHARACTERS = 1 << 14   # new parts are encoded together in texts of about this length
-TEXTS_AT_ONCE = 200
 BROADCAST_PAIRS = 2_000_000  # rows of two integers and a flag, 40 bytes each in a worker's table
 # How the piece model spells a space and a byte.
 SPACE_SIGN, BYTE_PIECE = "▁", "<0x{:02X}>"
 
 # Of one part or text: tokens of A, of B, groups, their spelling, keys of linked pairs as 64-bit integers.
 Aligned = tuple[int, int, int, bytes, bytes]
-# A space beside white space or an end of the text.
-_NO_CUT = re.compile(r"(?:\A|\s) | (?:\s|\Z)|\A\s|\s\Z")
+NOTHING: Aligned = (0, 0, 0, b"", b"")  # a part whose bytes do not come back
+# A space beside white space, or white space at an end of the text.
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_NO_CUT = rf"{_WHITE} | {_WHITE}|\A{_WHITE}|{_WHITE}\z"
 
 
 def slices(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -123,12 +124,12 @@ class Aligner:
                 groups.append(b",".join(spell_a[a0:a1]) + b"|" + b",".join(spell_b[b0:b1]))
                 pairs += [a[a0 + i] * width + b[b0 + j] for i, j in links(ends_a[a0:a1], ends_b[b0:b1])]
             if end == part_end:
-                out.append((a1 - a_start, b1 - b_start, len(groups), b";".join(groups), array("q", pairs).tobytes()))
+                out.append((a1 - a_start, b1 - b_start, len(groups), b";".join(groups) + b";", array("q", pairs).tobytes()))
                 groups, pairs, a_start, b_start, part_end = [], [], a1, b1, next(part_ends, None)
         return out
 
-    def _align_parts(self, parts: list[str]) -> Iterator[list[Aligned]]:
-        """New parts are encoded many at a time; each is given as a list, empty if it has no tokens."""
+    def _align_parts(self, parts: list[str]) -> Iterator[Aligned]:
+        """New parts are encoded many at a time."""
         start = 0
         while start < len(parts):
             stop, length = start, 0
@@ -138,25 +139,32 @@ class Aligner:
             chunk = parts[start:stop]
             together = self._align(" ".join(chunk), len(chunk))
             if together is not None and len(together) == len(chunk):
-                yield from ([t] for t in together)
+                yield from together
             else:  # some part's bytes do not come back
-                yield from (self._align(p) or [] for p in chunk)
+                yield from ((self._align(p) or [NOTHING])[0] for p in chunk)
             start = stop
 
-    def parts_of(self, text: str) -> list[str] | None:
-        """The parts between single spaces, or None if the text must be aligned whole."""
-        return text.split(" ") if self.cuts and not _NO_CUT.search(text) else None
-
-    def align(self, texts: list[str | None]) -> Iterator[list[Aligned]]:
-        """The aligned parts of each text; none if it has no tokens."""
-        split = [self.parts_of(t) if t else None for t in texts]
-        known = self.memo.values(set().union(*(p for p in split if p)))
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                yield self._align(text) or [] if text else []
+    def align(self, texts: pa.Array) -> Iterator[tuple[int, int, int, memoryview | bytes, np.ndarray]]:
+        """Tokens of A and B, groups, their spelling and the keys of all links of each text; zeros without tokens."""
+        parts, bounds = split_texts(texts)
+        whole = pc.match_substring_regex(pc.fill_null(texts, ""), _NO_CUT).to_numpy(zero_copy_only=False)
+        whole = whole if self.cuts else np.ones(len(texts), dtype=bool)
+        alone = np.repeat(~whole, np.diff(bounds))
+        codes, values = self.memo.lookup(parts.filter(pa.array(alone)))
+        bounds = np.concatenate([[0], np.cumsum(alone)])[bounds]
+        numbers = np.array([v[:3] for v in values] or [(0, 0, 0)], dtype=np.int64)
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(numbers[codes], axis=0)])[bounds]
+        sums = np.diff(sums, axis=0).tolist()
+        lost = any_of(np.array([v == NOTHING for v in values], dtype=bool)[codes], bounds)
+        spelled, pairs = (joined([v[k] for v in values], codes, bounds) for k in (3, 4))
+        for i, text in enumerate(texts):
+            if whole[i]:
+                n_a, n_b, n_groups, spelling, keys = (self._align(text.as_py()) or [NOTHING])[0]
+            elif lost[i] or not sums[i][0]:
+                n_a, n_b, n_groups, spelling, keys = NOTHING
             else:
-                got = [known[p] for p in parts]
-                yield [v for v, in got] if [] not in got else []
+                (n_a, n_b, n_groups), spelling, keys = sums[i], spelled[i], pairs[i]
+            yield n_a, n_b, n_groups, spelling[:-1], np.frombuffer(keys, dtype=np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -178,18 +186,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text: str
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             counts, digests, spelled, flat, times, bounds = [], [], [], [], [], [0]
-            for start in range(0, len(texts), TEXTS_AT_ONCE):
-                for parts in aligner.align(texts.slice(start, TEXTS_AT_ONCE).to_pylist()):
-                    n_a, n_b, n_groups, spellings, pairs = zip(*parts) if parts else ((),) * 5
-                    whole = b";".join(spellings)
-                    keys, often = np.unique(np.frombuffer(b"".join(pairs), dtype=np.int64), return_counts=True)
-                    counts.append((sum(n_a), sum(n_b), sum(n_groups), int(often.sum())))
-                    digests.append(hashlib.sha256(whole).hexdigest() if parts else "")
-                    if groups:
-                        spelled.append(whole.decode())
-                    flat.append(keys)
-                    times.append(often.astype(np.int32))
-                    bounds.append(bounds[-1] + len(keys))
+            for n_a, n_b, n_groups, spelling, links in aligner.align(texts):
+                keys, often = np.unique(links, return_counts=True)
+                counts.append((n_a, n_b, n_groups, len(links)))
+                digests.append(hashlib.sha256(spelling).hexdigest() if n_a else "")
+                if groups:
+                    spelled.append(bytes(spelling).decode())
+                flat.append(keys)
+                times.append(often.astype(np.int32))
+                bounds.append(bounds[-1] + len(keys))
             lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(v))) for v in (flat, times)]
             columns = [pa.array(c, pa.int64()) for c in zip(*counts)] + [pa.array(digests), *lists]
             return columns + ([pa.array(spelled)] if groups else [])

@@ -2,7 +2,7 @@
 
 ``write`` sorts documents by id into ranges; each task encodes its range and writes one shard: an
 Arrow IPC file whose record batches hold ``batch`` sequences as fixed-size lists (``ids`` of
-``length`` integers, ``mask`` of as many booleans), and an index file with the place of each document
+``length`` integers, ``mask`` of as many bytes, 1 or 0), and an index file with the place of each document
 in the shard's stream. Every batch but a shard's last has the same number of sequences, so sequence
 ``i`` is row ``i % batch`` of batch ``i // batch`` and is read without copying. The last sequence of a
 shard is padded; its mask is false there.
@@ -25,9 +25,11 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark import TaskContext
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from keystride.llm.common import bound_batches, ship
-from keystride.llm.part_memo import PartMemo
+from keystride.llm.part_memo import PartMemo, joined, split_texts
 from keystride.session import materialize, work_dir
 
 SEQUENCE_LENGTH = 2048
@@ -45,8 +47,6 @@ BATCH_SEQUENCES = 64
 MEMO_WORDS = 250_000     # distinct words remembered by a worker, and as many on trial
 
 MANIFEST = "shard int, file string, index_file string, n_tokens bigint, n_sequences bigint, n_docs bigint"
-# Characters that str.split() takes for spaces and tokenizers do not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
@@ -64,8 +64,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         added = self.library.get_added_tokens_decoder()
-        # Where one of these is in a text, or in its lower-case form, words are not encoded alone.
-        self.whole = [t.content for t in added.values()] + list(SEPARATORS)
+        # A text that holds one of these, in whatever case, is not encoded word by word.
+        self.added = [t.content for t in added.values()]
         self.mark = next(((i, t.content) for i, t in added.items() if not (t.single_word or t.normalized)), None)
         self.cut = self._cutter(json.loads(self.library.to_str()))
         self.memo = PartMemo(self._encode_words, MEMO_WORDS)
@@ -99,21 +99,32 @@ class WordEncoder:
         marks = (np.flatnonzero(ids == mark) * size).tolist()
         return [packed[i:j] for i, j in zip([0, *(m + size for m in marks)], [*marks, len(packed)], strict=True)]
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+    def _pieces(self, word: str) -> list[str] | tuple[str, ...]:
+        if self.cut is None:
+            return (word,)
+        if word.isascii() and word.isalpha():
+            return (word.lower(),)
         # Below U+0250 letters and their normal forms are the same to all versions of Unicode.
-        cut = [self.cut(w.lower()) if self.cut and max(w) < "\u0250" else (w,) for w in words]
-        known = self.pieces.values(set().union(*cut))
-        return (b"".join([known[p] for p in c]) for c in cut)
+        return self.cut(word.lower()) if word.isprintable() and max(word, default="") < "\u0250" else (word,)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            text = text or ""
-            low = text.lower()
-            split.append(None if any(c in text or c in low for c in self.whole) else text.split())
-        known = self.memo.values(set().union(*(words for words in split if words)))
-        whole = iter(self._encode_each([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in split]
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        cut = list(map(self._pieces, words))
+        known = self.pieces.values(set(chain.from_iterable(cut)))
+        return (known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes | memoryview]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # All white space ends a word and is dropped; what is left in a part is the library's affair.
+        parts, bounds = split_texts(pc.replace_substring(texts, "\n", " "))
+        codes, values = self.memo.lookup(parts)
+        out = joined(values, codes, bounds)
+        held = np.zeros(len(texts), dtype=bool)
+        for name in self.added:
+            held |= pc.match_substring(texts, name, ignore_case=True).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(held).tolist()
+        for i, packed in zip(whole, self._encode_each([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = packed
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -137,7 +148,7 @@ class ShardWriter:
         stem = f"{place}/shard-{shard:05d}-{uuid.uuid4().hex}"
         self.files = f"{stem}.arrow", f"{stem}.index.arrow"
         self.length, self.batch, self.dtype = length, batch, dtype
-        ids, mask = pa.list_(pa.from_numpy_dtype(dtype), length), pa.list_(pa.bool_(), length)
+        ids, mask = pa.list_(pa.from_numpy_dtype(dtype), length), pa.list_(pa.uint8(), length)
         self.schema = pa.schema([("ids", ids), ("mask", mask)])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [store.open_output_stream(f) for f in self.files]
@@ -150,16 +161,16 @@ class ShardWriter:
         n = -(-len(stream) // self.length)
         padded = np.zeros(n * self.length, dtype=self.dtype)
         padded[:len(stream)] = stream
-        real = np.arange(n * self.length) < len(stream)
+        real = (np.arange(n * self.length) < len(stream)).view(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (padded, real)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.sequences += n
 
-    def add(self, doc_ids: list[int | None], encoded: list[bytes]) -> None:
+    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
         sizes = np.array([len(e) // self.dtype.itemsize for e in encoded], dtype=np.int64)
         starts = self.tokens + np.cumsum(sizes) - sizes
         self.index.write_batch(pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.index_schema))
+            [doc_ids.cast(pa.int64()), pa.array(starts), pa.array(sizes)], schema=self.index_schema))
         self.rest.append(np.frombuffer(b"".join(encoded), dtype=self.dtype))
         added = int(sizes.sum())
         self.tokens, self.docs, self.waiting = self.tokens + added, self.docs + len(encoded), self.waiting + added
@@ -194,10 +205,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, doc_id
         encoder, writer, shard = shared_encoder(tokenizer_path), None, TaskContext.get().partitionId()
         end = np.array([end_id], dtype=encoder.type).tobytes()
         for rows in batches:
-            ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            for i in range(0, len(ids), 500):
+            if rows.num_rows:
                 writer = writer or ShardWriter(folder, shard, encoder.type, length, batch)
-                writer.add(ids[i:i + 500], [e + end for e in encoder.encode(texts[i:i + 500])])
+                writer.add(rows.column(0), [b"".join((e, end)) for e in encoder.encode(rows.column(1))])
         if writer:
             row = (shard, *writer.close())
             yield pa.RecordBatch.from_arrays(
@@ -224,11 +234,10 @@ def open_tokens(store: fs.FileSystem, file: str) -> pa.ipc.RecordBatchFileReader
 
 
 def read_sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``i``; the ids are a view of the batch."""
+    """Ids and mask (1 for real tokens, 0 for padding) of sequence ``i``, both views of the batch."""
     size = reader.get_batch(0).num_rows
     rows = reader.get_batch(i // size)
-    ids, mask = (rows.column(c)[i % size].values for c in ("ids", "mask"))
-    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+    return tuple(rows.column(c)[i % size].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
 
 
 def read_sequences(manifest: DataFrame, folder: str) -> DataFrame:
@@ -241,7 +250,7 @@ def read_sequences(manifest: DataFrame, folder: str) -> DataFrame:
                 for b in range(reader.num_record_batches):
                     got = reader.get_batch(b)
                     n = got.num_rows
-                    real = got.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).sum(axis=1)
+                    real = got.column("mask").flatten().to_numpy().reshape(n, -1).sum(axis=1, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()),
                          got.column("ids").cast(pa.list_(pa.int64())), pa.array(real, pa.int64())],

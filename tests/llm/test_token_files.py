@@ -2,7 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keystride.llm import token_files
@@ -13,7 +17,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -62,9 +65,34 @@ def test_random_access_is_a_view(docs, tmp_path):
     store = token_files.open_store(folder)[0]
     for r in manifest.collect():
         reader = token_files.open_tokens(store, r.file)
-        stream = np.concatenate([token_files.read_sequence(reader, i)[0] for i in range(r.n_sequences)])
-        masks = np.concatenate([token_files.read_sequence(reader, i)[1] for i in range(r.n_sequences)])
-        assert masks.sum() == r.n_tokens and not masks[r.n_tokens:].any() and len(stream) == 16 * r.n_sequences
+        got = [token_files.read_sequence(reader, i) for i in range(r.n_sequences)]
+        stream, masks = (np.concatenate(x) for x in zip(*got))
+        assert masks[:r.n_tokens].all() and not masks[r.n_tokens:].any() and len(stream) == 16 * r.n_sequences
+        # Both lie in the mapped file itself: no batch and no mask is copied.
+        with pa.memory_map(r.file) as mapped:
+            whole = np.frombuffer(mapped.read_buffer(), dtype=np.uint8)
+            reader = pa.ipc.open_file(mapped)
+            for i in range(r.n_sequences):
+                assert all(np.shares_memory(whole, x) for x in token_files.read_sequence(reader, i))
+
+
+def test_added_tokens_have_the_ids_the_library_gives_them(library):
+    texts = ["a<|endoftext|>b <|startoftext|> c", "<|ENDOFTEXT|> x", "<|endoftext|>", "a\x1cb c\x85d e\u00a0f", "Ünï ÇÖ&&x,. 1a2's\n\nb"]
+    encoder = token_files.shared_encoder(PATH)
+    assert [np.frombuffer(e, encoder.type).tolist() for e in encoder.encode(texts)] == [library(t) for t in texts]
+    assert len(library(texts[0])) == 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=30), max_size=4))
+def test_any_text_encodes_alike(library, texts):
+    encoder = token_files.shared_encoder(PATH)
+    assert [np.frombuffer(e, encoder.type).tolist() for e in encoder.encode(texts)] == [library(t) for t in texts]
+
+
+def test_clashing_names(docs, tmp_path):
+    frame = docs((1, "a b"), (2, "c")).select("doc_id", "text", *[F.lit(9).alias(n) for n in ("start", "n_tokens", "shard", "ids", "file")])
+    assert [r[:3] for r in read_back(frame, str(tmp_path / "g"))[1]] == [(1, 0, 3), (2, 3, 2)]
 
 
 def test_repeated_rows_null_ids_and_empty_table(docs, library, tmp_path):
