@@ -17,16 +17,20 @@ RANK_DIGITS = 12
 LEVEL_DIGITS = 8
 
 
-def as_micros(moment: Column | dt.datetime | str) -> Column:
-    """Microseconds since the epoch of a timestamp column or of a UTC moment."""
-    if isinstance(moment, Column):
-        return F.unix_micros(moment)
+def micros_of(moment: dt.datetime | str) -> int:
+    """Microseconds since the epoch of a UTC moment."""
     if isinstance(moment, str):
         moment = dt.datetime.fromisoformat(moment)
     if moment.tzinfo is None:
         moment = moment.replace(tzinfo=dt.timezone.utc)
-    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
-    return F.lit((moment - epoch) // dt.timedelta(microseconds=1)).cast("bigint")
+    return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+
+
+def as_micros(moment: Column | dt.datetime | str) -> Column:
+    """Microseconds since the epoch of a timestamp column or of a UTC moment."""
+    if isinstance(moment, Column):
+        return F.unix_micros(moment)
+    return F.lit(micros_of(moment)).cast("bigint")
 
 
 def decay(age_seconds: Column, half_life: float = HALF_LIFE_SECONDS) -> Column:

@@ -73,12 +73,12 @@ def fold(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def merge_folds(*folds: DataFrame) -> DataFrame:
+def merge_folds(*folds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Fold of folds; equals folding all events together."""
     both = folds[0]
     for more in folds[1:]:
         both = both.unionByName(more)
-    return both.groupBy("query_norm").agg(
+    return both.groupBy(*(by or []), "query_norm").agg(
         F.sum("delta").alias("delta"),
         F.min_by("display", "first_seen").alias("display"),
         F.min("first_seen").alias("first_seen"),

@@ -454,3 +454,56 @@ ORACLE: dict[str, str] = {
     "stream_refills": sql("SELECT key AS prefix, ms AS filled_ms, req_id FROM refill", REQUESTS, "",
         refill_of("request_log", "prefix")),
 }
+
+
+def _sql_suggest() -> str:
+    parts, ctes = [], []
+    for i, (asked, wanted) in enumerate((("th", "th"), ("of%", "of%"), (" Th ", "th"))):
+        ctes += [
+            f"""p{i} AS ({prefix_top(wanted)})""",
+            f"""c{i} AS (SELECT query, "count", coalesce(score, 0) AS score, level FROM (SELECT * FROM search_query
+                WHERE starts_with(query_norm, '{wanted}') QUALIFY row_number() OVER (ORDER BY "count" DESC, query) <= 50)
+                LEFT JOIN settled USING (query_norm))""",
+            f"""r{i} AS ({blended(f'c{i}', '', 'query, "count", score, level', '"count" DESC, query', 10)})"""]
+        parts += [f"SELECT '{asked}' AS prefix, 'popularity' AS mode, rank, query, \"count\", 'DB' AS source FROM p{i}",
+                  f"SELECT '{asked}', 'RECENCY', rank, query, \"count\", 'DB+RECENCY' FROM r{i}"]
+    return sql(" UNION ALL ".join(parts), SCORES, ",\n".join(ctes))
+
+
+# The same questions put to streams, sketches and SQL functions.
+ORACLE |= {
+    "stream_debounce": ORACLE["debounce"],
+    "stream_superseded": ORACLE["superseded"],
+    "stream_snapshots": 'SELECT as_of_us, rank, query, "count", round(score, 4) AS score, round(blended, 4) AS blended, source FROM ('
+                        + ORACLE["trending_snapshots"] + ")",
+    "stream_late_scores": ORACLE["decayed_score"],
+    "stream_late_events": sql("""
+        SELECT query_norm, count(*) AS n, min(event_id) AS first_id FROM filed, mark
+        WHERE file = 3 AND (us // 3600000000 + 1) * 3600000000 <= newest - 3600000000 GROUP BY query_norm""", EVENTS, """
+        bounds AS (SELECT min(us) AS low, max(us) AS high FROM search_event),
+        filed AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 3 ELSE
+                      (us >= low + (high + 1 - low) // 4)::INT + (us >= low + (high + 1 - low) * 2 // 4)::INT
+                      + (us >= low + (high + 1 - low) * 3 // 4)::INT END AS file FROM search_event, bounds),
+        mark AS (SELECT max(us) AS newest FROM filed WHERE file < 3)"""),
+    "polled_flushes": sql("""
+        SELECT flush, query_norm, count(*) AS delta, arg_min(display, (us, event_id)) AS display, max(us) AS last_us
+        FROM (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // 10000 AS flush FROM search_event)
+        GROUP BY flush, query_norm""", EVENTS),
+    "latency_sketch": sql("""
+        SELECT phase, q, count(*) AS n, true AS "within" FROM (SELECT CASE WHEN req_id % 3 = 0 THEN 'cold' ELSE 'warm' END AS phase
+        FROM request_log), (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(q) GROUP BY phase, q""", REQUESTS),
+    "distinct_sketch": sql(f"""
+        SELECT span, count(*) AS n, count(DISTINCT {norm('w')}) AS exact, true AS "within" FROM doc_word,
+        (VALUES ('first two', 0, 1), ('last two', 2, 3), ('all', 0, 3)) t(span, low, high)
+        WHERE doc_id % 4 BETWEEN low AND high GROUP BY span""", "doc_word"),
+    "sql_suggest": _sql_suggest(),
+    "sql_trending": sql("""
+        SELECT rank, query_norm AS query, "count", 'RECENCY' AS mode, 'COMPUTED' AS source FROM hot
+        UNION ALL SELECT row_number() OVER (ORDER BY "count" DESC, query)::INT AS rank, query, "count", 'POPULARITY', 'COMPUTED'
+        FROM search_query QUALIFY rank <= 5""", SCORES, f"""
+        leaders AS (SELECT query_norm, score, level FROM settled ORDER BY level DESC, query_norm DESC LIMIT 30),
+        best AS ({BEST}),
+        scored AS (SELECT l.query_norm, coalesce(b."count", 0) AS "count", l.score, l.level
+                   FROM leaders l LEFT JOIN best b USING (query_norm)),
+        hot AS ({blended('scored', '', 'query_norm, "count", score, level', 'level DESC, query_norm DESC', 10)})"""),
+}

@@ -10,15 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.functions import scoring, text
+from keystride.functions import scoring, sql, text
 from keystride.operators import expiry, fold, merge, prefix, reports, replay, ring, serving, trending, upkeep
 from keystride.session import materialize, work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.polls import EventLog
 from keystride.sources.ranges import DictionaryRanges
+from keystride.sources.sketches import DistinctSketches, LatencySketches, distinct_bound, rank_bound
 from keystride.sources.views import AS_OF, HALF_LIFE, NODES_3, NODES_4, TestViews, as_requests, searched_queries
-from keystride.streaming import jobs
+from keystride.streaming import jobs, rankings, sessions
 
 QUERIES: dict[str, Callable[[TestViews], DataFrame]] = {}
 
@@ -40,6 +42,8 @@ LOG_FILES = 4
 SMALL_GROUP = 500  # rows beyond which the large queries cut a group
 DAY = 86_400
 RANGE_ROWS = 20_000  # rows of a stored key range
+POLL = 5_000         # events of a poll; the test log comes at once
+KLL_CHECKED = 200    # the bound of sketches of this size is asked of larger ones
 
 
 def query(fn: Callable[[TestViews], DataFrame]) -> Callable[[TestViews], DataFrame]:
@@ -564,10 +568,11 @@ def ttl_large(v):
 
 # -- streams ------------------------------------------------------------------------------------
 
-def _event_stream(v: TestViews) -> DataFrame:
+def _event_stream(v: TestViews, late: bool = False, closing: bool = False) -> DataFrame:
     """The event table as a log of several files in order of time, one to a micro-batch.
 
-    Searches are named from the dictionary as in the views.
+    Searches are named from the dictionary as in the views. With ``late`` every tenth event comes in the
+    last file, with ``closing`` two files with an event of user -1, a year and two years later, end the log.
     """
     table = v.table("events")
     path = work_dir(v.spark, "event-files")
@@ -575,7 +580,17 @@ def _event_stream(v: TestViews) -> DataFrame:
     first, last = table.agg(F.min(at), F.max(at)).first()
     for part in range(LOG_FILES):
         low, high = (first + (last + 1 - first) * n // LOG_FILES for n in (part, part + 1))
-        table.where((at >= low) & (at < high)).write.mode("append").parquet(f"{path}/part={part}")
+        inside = (at >= low) & (at < high)
+        if late:
+            held = F.col("event_id") % 10 == 0
+            inside = (inside | held) if part == LOG_FILES - 1 else inside & ~held
+        table.where(inside).coalesce(1).write.mode("append").parquet(f"{path}/part={part}")
+    if closing:
+        # A watermark holds from the batch after the one that moved it.
+        end = table.orderBy(F.desc("ts")).limit(1).withColumn("user_id", F.lit(-1).cast("bigint"))
+        for year in (1, 2):
+            later = end.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {365 * year} DAYS"))
+            later.coalesce(1).write.parquet(f"{path}/part={LOG_FILES + year}")
     stream = v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
     return searched_queries(stream, materialize(v.search_query))
 
@@ -626,3 +641,126 @@ def stream_refills(v):
     asked = as_requests(_event_stream(v)).select("req_id", "ts", "prefix")
     jobs.track_entries(asked, store, f"{root}/checkpoint", "prefix", TTL_MS, drain=True).awaitTermination()
     return store.filled("prefix string, filled_ms bigint, req_id bigint").select("prefix", "filled_ms", "req_id")
+
+
+@query
+def stream_debounce(v):
+    """As ``debounce``, by sessions over several micro-batches."""
+    root = work_dir(v.spark, "stream-debounce")
+    asked = as_requests(_event_stream(v, closing=True))
+    kept = sessions.debounce_stream(asked, DEBOUNCE, "1 hour").where("user_id <> -1").select("req_id", "user_id", "prefix")
+    kept.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(
+        f"{root}/kept").awaitTermination()
+    return v.spark.read.schema(kept.schema).parquet(f"{root}/kept")
+
+
+@query
+def stream_superseded(v):
+    root = work_dir(v.spark, "stream-superseded")
+    store = sessions.HeldRequests(v.spark, root)
+    asked = as_requests(_event_stream(v)).withColumn("took_ms", F.col("took_ms") * 60_000)
+    sessions.maintain_superseded(asked, store, f"{root}/checkpoint", 3600.0, drain=True).awaitTermination()
+    return store.read(ended=True).select("req_id", "superseded")
+
+
+def _late_sums(v: TestViews) -> rankings.WindowSums:
+    root = work_dir(v.spark, "stream-late")
+    store = rankings.WindowSums(v.spark, root)
+    events = fold.to_event(_event_stream(v, late=True).select("event_id", "ts", F.col("raw").alias("query")))
+    rankings.maintain_sums(events, store, f"{root}/checkpoint", "1 hour", 3600.0, HALF_LIFE, drain=True).awaitTermination()
+    return store
+
+
+@query
+def stream_late_events(v):
+    """Events that came after their window had been closed, by query."""
+    late = _late_sums(v).late.read()
+    return late.groupBy("query_norm").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query
+def stream_late_scores(v):
+    """Scores of a log with late events, after their windows have been reopened."""
+    store = _late_sums(v)
+    store.backfill("1 hour", HALF_LIFE)
+    store.compact()
+    return trending.scores_from_partials(store.read(), AS_OF, HALF_LIFE).select("query_norm", r6("score"))
+
+
+@query
+def stream_snapshots(v):
+    """As ``trending_snapshots``, written while events stream in, some of them late."""
+    root = work_dir(v.spark, "stream-snapshots")
+    store = rankings.SnapshotStore(v.spark, root)
+    events = fold.to_event(_event_stream(v, late=True).select("event_id", "ts", F.col("raw").alias("query")))
+    rankings.maintain_snapshots(
+        events, materialize(v.search_query), store, f"{root}/checkpoint", SNAPSHOTS[0], DAY, half_life=HALF_LIFE, drain=True, last=SNAPSHOTS[1])
+    # Sums of sums differ in their last bits, which levels rounded to eight places carry on.
+    lists = store.read().select(micros("as_of", "as_of_us"), "rank", "query", "count", r6("score"), r6("blended"), "source")
+    return lists.withColumns({c: F.round(c, 4) for c in ("score", "blended")})
+
+
+@query
+def polled_flushes(v):
+    """The event table as a numbered log, read in polls and folded by flushes of two polls."""
+    root = work_dir(v.spark, "polled-flushes")
+    log = EventLog(v.spark, f"{root}/log")
+    log.append(v.search_event.select("event_id", "ts", F.col("query_norm").alias("q"), F.col("display").alias("d")), 0)
+    store = jobs.FlushStore(v.spark, f"{root}/flushes")
+    jobs.maintain_flushes(log.stream(max_events=POLL), store, f"{root}/checkpoint", 2 * POLL, drain=True)
+    return store.read().select("flush", "query_norm", "delta", "display", micros("last_ts", "last_us"))
+
+
+# -- sketches and SQL functions -----------------------------------------------------------------
+
+def _quarters(v: TestViews) -> list[DataFrame]:
+    return [v.request_log.where(F.col("req_id") % LOG_FILES == n) for n in range(LOG_FILES)]
+
+
+@query
+def latency_sketch(v):
+    """Whether quantiles merged from sketches of four batches are within their bound of the exact ones."""
+    store = LatencySketches(v.spark, work_dir(v.spark, "latency-sketches"), ["phase"])
+    phase = F.when(F.col("req_id") % 3 == 0, "cold").otherwise("warm")
+    for batch_id, part in enumerate(_quarters(v)):
+        store.add(part.withColumn("phase", phase), batch_id)
+    found = store.quantiles().select("phase", "n", F.explode(F.map_from_arrays(
+        F.array(*[F.lit(q) for q in reports.QUANTILES]), F.array(*[f"p{round(q * 100)}" for q in reports.QUANTILES]))).alias("q", "estimate"))
+    met = v.request_log.withColumn("phase", phase).join(F.broadcast(found), "phase").groupBy("phase", "n", "q").agg(
+        F.avg((F.col("took_ms") < F.col("estimate")).cast("double")).alias("below"),
+        F.avg((F.col("took_ms") <= F.col("estimate")).cast("double")).alias("upto"))
+    bound = rank_bound(KLL_CHECKED)
+    return met.select("phase", "q", "n", ((F.col("below") <= F.col("q") + bound) & (F.col("upto") >= F.col("q") - bound)).alias("within"))
+
+
+@query
+def distinct_sketch(v):
+    """Whether distinct words merged from sketches of four batches are within their bound of the exact count."""
+    store = DistinctSketches(v.spark, work_dir(v.spark, "distinct-sketches"))
+    words = v.doc_word.select("doc_id", text.normalize(F.col("w")).alias("query_norm"))
+    for n in range(LOG_FILES):
+        store.add(words.where(F.col("doc_id") % LOG_FILES == n), n)
+    spans = [("first two", None, 1), ("last two", 1, None), ("all", None, None)]
+    parts = []
+    for name, after, through in spans:
+        part = F.col("doc_id") % LOG_FILES
+        inside = words.where((part > (-1 if after is None else after)) & (part <= (LOG_FILES if through is None else through)))
+        exact = inside.agg(F.count_distinct("query_norm").alias("exact"))
+        off = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * distinct_bound()
+        parts.append(store.count(after, through).join(exact).select(F.lit(name).alias("span"), "n", "exact", off.alias("within")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def sql_suggest(v):
+    """The table function over several prefixes and both modes."""
+    sql.register(v.spark, materialize(v.search_query), materialize(scores(v)))
+    calls = [(p, m) for p in (PREFIX, WILDCARD_PREFIX, " Th ", "") for m in ("popularity", "RECENCY")]
+    return v.spark.sql(" UNION ALL ".join(
+        f"SELECT '{p}' AS prefix, '{m}' AS mode, * FROM suggest('{p}', '{m}', 10)" for p, m in calls))
+
+
+@query
+def sql_trending(v):
+    sql.register(v.spark, materialize(v.search_query), materialize(scores(v)))
+    return v.spark.sql("SELECT * FROM trending() UNION ALL SELECT * FROM trending('popularity', 5)")

@@ -20,6 +20,7 @@ from keystride.params import FLUSH_INTERVAL_SECONDS, HALF_LIFE_SECONDS
 from keystride.session import materialize
 from keystride.sources.batches import BatchTable
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.polls import MAX_EVENTS
 from keystride.sources.ranges import DictionaryRanges
 
 
@@ -57,6 +58,39 @@ def maintain_lists(events: DataFrame, dictionary: DictionaryRanges, lists: Prefi
     return _start(events, publish, checkpoint, drain=drain)
 
 
+class FlushStore:
+    """Folds of flushes as polls bring them; a flush that spans several polls is merged when read."""
+
+    SCHEMA = ("flush bigint, query_norm string, delta bigint, display string, "
+              "first_seen struct<ts: timestamp, event_id: bigint>, last_ts timestamp")
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.batches = BatchTable(spark, root, self.SCHEMA)
+
+    def read(self) -> DataFrame:
+        return fold.merge_folds(self.batches.read(), by=["flush"])
+
+
+def maintain_flushes(events: DataFrame, store: FlushStore, checkpoint: str, flush_events: int = 2 * MAX_EVENTS,
+                     drain: bool = False) -> StreamingQuery:
+    """Fold a log that is read in polls into flushes of ``flush_events`` consecutive positions.
+
+    A flush closes with the poll that brings it to the flush threshold of 500: two full polls of 256. With
+    ``drain`` the log is read up and the query stopped.
+    """
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        numbered = fold.usable_events(batch).withColumn("flush", F.floor(F.col("position") / flush_events))
+        store.batches.write(fold.fold(numbered, ["flush"]), batch_id)
+
+    query = _start(events, publish, checkpoint, every="0 seconds" if drain else f"{FLUSH_INTERVAL_SECONDS} seconds")
+    if drain:  # polls have bounds of their own, so the log is not one batch
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query
+
+
 class PartialStore:
     """Per-window score sums as a stream writes them; a window's latest batch counts."""
 
