@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from keystride.llm.common import map_columns
 from keystride.llm.part_memo import PartMemo, any_of, joined, split_texts
 
-MEMO_PARTS = 150_000     # distinct parts remembered by a worker, and as many on trial
+MEMO_PARTS = 150_000     # distinct parts remembered by a worker, as many older ones and as many on trial
 NOT_ALONE = b"?"         # stands for the ids of a part that cannot be encoded by itself
 
 

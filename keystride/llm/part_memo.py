@@ -15,14 +15,16 @@ class PartMemo:
     """Most parts of a corpus are few and frequent, most distinct parts are rare.
 
     A part met for the first time waits among the ``fresh`` ones, which are dropped when they are too
-    many. One met again there is ``known``. When those are too many they become the fresh ones, so only
-    parts still in use are kept on. Both hold at most ``most`` parts of at most ``longest`` characters;
-    longer parts are computed each time. No value may be None.
+    many. One met again there is ``known``. When those are too many they become the ``old`` ones, from
+    which parts still in use are taken over, in place of the old ones before them. Each of the three
+    holds about ``most`` parts of at most ``longest`` characters; longer parts are computed each time. No
+    value may be None.
     """
 
     def __init__(self, compute: Callable[[list[str]], Iterable[Any]], most: int, longest: int = 64):
         self.compute, self.most, self.longest = compute, most, longest
         self.known: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
         self.fresh: dict[str, Any] = {}
         # The memo's many small objects form no cycles; looking through them all the time costs a fifth.
         gc.set_threshold(200_000, 20, 50)
@@ -30,22 +32,23 @@ class PartMemo:
     def values(self, parts: Iterable[str]) -> dict[str, Any]:
         """A value for each of the distinct ``parts``."""
         found, new = {}, []
+        known, old, fresh = self.known, self.old, self.fresh
         for part in parts:
-            value = self.known.get(part)
+            value = known.get(part)
             if value is None:
-                value = self.fresh.pop(part, None)
+                value = old.pop(part, None) or fresh.pop(part, None)
                 if value is None:
                     new.append(part)
                     continue
-                self.known[part] = value
+                known[part] = value
             found[part] = value
-        if len(self.known) > self.most:
-            self.known, self.fresh = {}, self.known
-        if len(self.fresh) > self.most:
-            self.fresh = {}
+        if len(known) > self.most:
+            self.known, self.old = {}, known
         if new:
             made = dict(zip(new, self.compute(new), strict=True))
             found.update(made)
+            if len(fresh) + len(made) > self.most:
+                self.fresh = {}
             self.fresh.update((p, v) for p, v in made.items() if len(p) <= self.longest)
         return found
 

@@ -2,7 +2,7 @@
 
 ``write`` sorts documents by id into ranges; each task encodes its range and writes one shard: an
 Arrow IPC file whose record batches hold ``batch`` sequences as fixed-size lists (``ids`` of
-``length`` integers, ``mask`` of as many bytes, 1 or 0), and an index file with the place of each document
+``length`` integers, ``mask`` of as many bits, packed into bytes), and an index file with the place of each document
 in the shard's stream. Every batch but a shard's last has the same number of sequences, so sequence
 ``i`` is row ``i % batch`` of batch ``i // batch`` and is read without copying. The last sequence of a
 shard is padded; its mask is false there.
@@ -44,7 +44,7 @@ from keystride.session import materialize, work_dir
 
 SEQUENCE_LENGTH = 2048
 BATCH_SEQUENCES = 64
-MEMO_WORDS = 250_000     # distinct words remembered by a worker, and as many on trial
+MEMO_WORDS = 200_000     # distinct words remembered by a worker, as many older ones and as many on trial
 
 MANIFEST = "shard int, file string, index_file string, n_tokens bigint, n_sequences bigint, n_docs bigint"
 
@@ -148,7 +148,7 @@ class ShardWriter:
         stem = f"{place}/shard-{shard:05d}-{uuid.uuid4().hex}"
         self.files = f"{stem}.arrow", f"{stem}.index.arrow"
         self.length, self.batch, self.dtype = length, batch, dtype
-        ids, mask = pa.list_(pa.from_numpy_dtype(dtype), length), pa.list_(pa.uint8(), length)
+        ids, mask = pa.list_(pa.from_numpy_dtype(dtype), length), pa.list_(pa.uint8(), -(-length // 8))
         self.schema = pa.schema([("ids", ids), ("mask", mask)])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [store.open_output_stream(f) for f in self.files]
@@ -161,8 +161,8 @@ class ShardWriter:
         n = -(-len(stream) // self.length)
         padded = np.zeros(n * self.length, dtype=self.dtype)
         padded[:len(stream)] = stream
-        real = (np.arange(n * self.length) < len(stream)).view(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (padded, real)]
+        real = np.packbits((np.arange(n * self.length) < len(stream)).reshape(n, -1), axis=1)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), k) for a, k in ((padded, self.length), (real, real.shape[1]))]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.sequences += n
 
@@ -234,12 +234,17 @@ def open_tokens(store: fs.FileSystem, file: str) -> pa.ipc.RecordBatchFileReader
 
 
 def read_sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask (1 for real tokens, 0 for padding) of sequence ``i``, both views of the batch."""
+    """Ids and packed mask of sequence ``i``, both views of the batch; ``unpack_mask`` spreads the mask."""
     size = reader.get_batch(0).num_rows
     rows = reader.get_batch(i // size)
     return tuple(rows.column(c)[i % size].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
 
 
+def unpack_mask(packed: np.ndarray, length: int) -> np.ndarray:
+    """A byte per position: 1 for a real token, 0 for padding."""
+    return np.unpackbits(packed, count=length)
+
+
 def read_sequences(manifest: DataFrame, folder: str) -> DataFrame:
     """``shard, sequence, ids array<bigint>, n_real`` of all files."""
     def run(batches):
@@ -250,7 +255,7 @@ def read_sequences(manifest: DataFrame, folder: str) -> DataFrame:
                 for b in range(reader.num_record_batches):
                     got = reader.get_batch(b)
                     n = got.num_rows
-                    real = got.column("mask").flatten().to_numpy().reshape(n, -1).sum(axis=1, dtype=np.int64)
+                    real = np.unpackbits(got.column("mask").flatten().to_numpy().reshape(n, -1), axis=1).sum(axis=1, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()),
                          got.column("ids").cast(pa.list_(pa.int64())), pa.array(real, pa.int64())],

@@ -138,5 +138,10 @@ def test_memo_keeps_parts_that_come_again_and_stays_bounded():
     for turn in range(50):
         parts = {"hot", "warm", "toolong", *(f"j{turn}{i}" for i in range(4))}
         assert memo.values(parts) == {p: p.upper() for p in parts}
-        assert len(memo.known) + len(memo.fresh) <= 20
+        assert len(memo.known) + len(memo.old) + len(memo.fresh) <= 40
     assert computed.count("hot") <= 2 and computed.count("toolong") == 50
+    many = [f"w{i}" for i in range(25)]
+    for _ in range(30):
+        for some in (many[:9], many[8:17], many[16:]):
+            assert memo.values(some) == {p: p.upper() for p in some}
+    assert computed.count("hot") <= 2 and computed.count("w3") <= 30
