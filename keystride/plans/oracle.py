@@ -474,8 +474,7 @@ def _sql_suggest() -> str:
 ORACLE |= {
     "stream_debounce": ORACLE["debounce"],
     "stream_superseded": ORACLE["superseded"],
-    "stream_snapshots": 'SELECT as_of_us, rank, query, "count", round(score, 4) AS score, round(blended, 4) AS blended, source FROM ('
-                        + ORACLE["trending_snapshots"] + ")",
+    "stream_snapshots": ORACLE["trending_snapshots"].replace("round(blended, 6)", "round(blended, 4)"),
     "stream_late_scores": ORACLE["decayed_score"],
     "stream_late_events": sql("""
         SELECT query_norm, count(*) AS n, min(event_id) AS first_id FROM filed, mark
