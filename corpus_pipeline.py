@@ -15,14 +15,19 @@ from keystride.session import materialize
 MIX_ENTROPY, MIX_REPETITION = 0.9, 2.0
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The text, and the row as one column, so that no name of it can clash with a score's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.score(_whole(docs), model, ["row"]).where("predicted = 1").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(_whole(docs), model, ["row"]).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

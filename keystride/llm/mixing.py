@@ -40,7 +40,7 @@ from keystride.session import materialize
 SEED = "mix"
 ROUNDS, CUTS = 12, 8      # each round narrows the exponent to one of CUTS + 1 parts
 TAU_DIGITS = 6
-WEIGHT_DIGITS = 9
+WEIGHT_DIGITS = 12        # significant ones, so that no source is too small for a weight
 BUCKET_ROWS = 1_000       # rows of a hash bucket, on average
 BLOCKS = 64
 
@@ -60,6 +60,12 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
+def significant(weight: Column) -> Column:
+    """A weight above 0, rounded to its first digits."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(weight)))
+    return F.round(weight / unit, WEIGHT_DIGITS - 1) * unit
+
+
 def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Join on ``_source``: the source table is sent out if it is small, else hot sources are salted."""
     return join_hot(rows, sources, ["_source"], max_broadcast=MAX_BROADCAST_ROWS)
@@ -125,10 +131,10 @@ def plan(counted: DataFrame, target_entropy: float | None = None, max_repetition
     tau = round(exponent(real, target_entropy, max_repetition, relative), TAU_DIGITS)
     power = F.when(F.col("share") > 0, F.pow("share", F.lit(tau))).otherwise(0.0)
     norm = shares.agg(F.sum(power)).first()[0] or 1.0
-    weighted = shares.withColumn("weight", F.round(power / F.lit(norm), WEIGHT_DIGITS))
+    weighted = shares.withColumn("weight", F.when(F.col("share") > 0, significant(power / F.lit(norm))).otherwise(0.0))
     if budget is None:
         budget = weighted.where("weight > 0").agg(F.max(F.ceil(F.col("tokens") / F.col("weight")))).first()[0] or 0
-        # A weight that rounds to nothing still has its source read once.
+        # Rounding may take a token from a source that is to be read just once.
         goal = F.greatest(F.round(F.col("weight") * F.lit(float(budget))).cast("bigint"), F.col("tokens"))
     else:
         goal = F.round(F.col("weight") * F.lit(float(budget))).cast("bigint")

@@ -51,7 +51,9 @@ r(lo, hi, i) as (
 tau as (select round(case when n < 2 or {_repeats('t')} <= {repetition} + 1e-9 then t else hi end, 6) as t
         from r, s, t1 where i = 50),
 p as (select k, tokens, case when share > 0 then pow(share, t) else 0.0 end as p from shares, tau),
-w as (select k, tokens, round(round(p / (select sum(p) from p), 9) * b::double)::bigint as goal from p, tot),
+n as (select k, tokens, p / (select sum(p) from p) as w from p),
+w as (select k, tokens, case when w > 0 then round(round(w / pow(10, floor(log10(w))), 11) * pow(10, floor(log10(w))) * b::double)::bigint
+        else 0 end as goal from n, tot),
 g as (select k, tokens, goal, case when tokens > 0 then goal // tokens else 1 end as passes,
         case when tokens > 0 then goal % tokens else 0 end as rest from w),
 reads as (

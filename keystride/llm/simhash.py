@@ -130,12 +130,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
 
     Of rows that share id and text one stays; a class with null ids only keeps one row.
     """
-    named = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"),
-                        F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("_row"))
+    ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    named = docs.select(ids.alias("_id"), texts.alias("_text"), F.xxhash64(ids, texts).alias("_row"))
     classes = group(named, "_id", "_text", radius, segments, keep=["_id", "_row"])
     ranked = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-    kept = classes.groupBy("root").agg(F.min(ranked).alias("m")).select(F.col("m.r").alias("_kept"))
-    row = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    chosen = docs.withColumn("_kept", row).join(kept, "_kept", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.lit(0)))
-    return chosen.withColumn("_n", first).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes.groupBy("root").agg(F.min(ranked).alias("m")).select(F.col("m.i").alias("_i"), F.col("m.r").alias("_r"))
+    # The row is one column, so no name of it can clash; it is told by its id and its hash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), ids.alias("_id"),
+                       F.xxhash64(ids, texts).alias("_row"))
+    chosen = rows.join(kept, rows["_id"].eqNullSafe(kept["_i"]) & (rows["_row"] == kept["_r"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.lit(0)))
+    return chosen.withColumn("_n", first).where("_n = 1").select("_doc.*")

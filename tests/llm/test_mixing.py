@@ -96,3 +96,9 @@ def test_a_source_of_a_tiny_share_is_read_without_a_budget(spark):
     counted = spark.createDataFrame([("sbig", 10 ** 12), ("ssmall", 2)], "_source string, n_tokens bigint")
     got = {r._source: (r.goal, r.passes, r.rest) for r in mixing.plan(counted).collect()}
     assert got == {"sbig": (10 ** 12, 1, 0), "ssmall": (2, 1, 0)}
+
+
+def test_a_source_of_a_tiny_share_is_read_within_a_budget(spark):
+    counted = spark.createDataFrame([("big", 10**12), ("small", 40)], "_source string, n_tokens bigint")
+    got = {r._source: r for r in mixing.plan(counted, None, None, 10**12 + 40).collect()}
+    assert got["small"].passes == 1 and got["small"].rest == 0 and got["small"].weight > 0
