@@ -472,6 +472,8 @@ def _sql_suggest() -> str:
 
 # The same questions put to streams, sketches and SQL functions.
 ORACLE |= {
+    "list_store_answers": ORACLE["materialized_else_compute"],
+    "stream_refills_state": ORACLE["stream_refills"],
     "stream_debounce": ORACLE["debounce"],
     "stream_superseded": ORACLE["superseded"],
     "stream_snapshots": ORACLE["trending_snapshots"].replace("round(blended, 6)", "round(blended, 4)"),

@@ -16,11 +16,12 @@ from keystride.session import materialize, work_dir
 from keystride.sources import events as event_log
 from keystride.sources import lines
 from keystride.sources.dictionary import DictionaryStore
+from keystride.sources.lists import ListStore
 from keystride.sources.polls import EventLog
 from keystride.sources.ranges import DictionaryRanges
 from keystride.sources.sketches import DistinctSketches, LatencySketches, distinct_bound, rank_bound
 from keystride.sources.views import AS_OF, HALF_LIFE, NODES_3, NODES_4, TestViews, as_requests, searched_queries
-from keystride.streaming import jobs, rankings, sessions
+from keystride.streaming import entries, jobs, rankings, sessions
 
 QUERIES: dict[str, Callable[[TestViews], DataFrame]] = {}
 
@@ -451,6 +452,17 @@ def materialized_else_compute(v):
     return answered.select("req_id", "prefix", "mode", "source", "value")
 
 
+@query
+def list_store_answers(v):
+    """As ``materialized_else_compute``, the lists being stored by key and read from there."""
+    stored = _stored(v).unionByName(_stored(v, "RECENCY"))
+    odd = F.char_length("cache_key") % 2 == 1
+    store = ListStore(v.spark, work_dir(v.spark, "list-store"), buckets=8)
+    store.write(stored.withColumn("expires_at", F.when(odd, at(AS_OF)).otherwise(F.col("expires_at"))))
+    answered = serving.answer(_requests(v), store.read(), v.search_query, scores(v), at(AS_OF))
+    return answered.select("req_id", "prefix", "mode", "source", "value")
+
+
 @query
 def suggest_batch(v):
     answered = serving.suggest_batch(_requests(v), v.search_query, scores(v), _arcs(v))
@@ -643,6 +655,17 @@ def stream_refills(v):
     return store.filled("prefix string, filled_ms bigint, req_id bigint").select("prefix", "filled_ms", "req_id")
 
 
+@query
+def stream_refills_state(v):
+    """As ``stream_refills``, with the entries' ends in Spark's state."""
+    root = work_dir(v.spark, "stream-refills-state")
+    asked = as_requests(_event_stream(v)).select("req_id", "ts", "prefix")
+    filled = entries.refills_in_state(asked, "prefix", TTL_MS)
+    filled.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(
+        f"{root}/filled").awaitTermination()
+    return v.spark.read.schema(filled.schema).parquet(f"{root}/filled")
+
+
 @query
 def stream_debounce(v):
     """As ``debounce``, by sessions over several micro-batches."""
