@@ -53,8 +53,8 @@ class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never span white space.
 
     Each distinct word that comes again is encoded once per worker, within a bounded memo. New words are
-    cut into the pieces of the tokenizer's own pattern where that is safe (``_cutter``), and the pieces not
-    met before go to the library in one call, an added token between them to tell their ids apart.
+    cut into the pieces of the tokenizer's own pattern where that is safe (``_cutter``); the pieces not met
+    before go to the library's model in one call, and the ends of words among the ids tell them apart.
     """
 
     def __init__(self, path: str):
@@ -63,11 +63,19 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        added = self.library.get_added_tokens_decoder()
         # A text that holds one of these, in whatever case, is not encoded word by word.
-        self.added = [t.content for t in added.values()]
-        self.mark = next(((i, t.content) for i, t in added.items() if not (t.single_word or t.normalized)), None)
-        self.cut = self._cutter(json.loads(self.library.to_str()))
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        made = json.loads(self.library.to_str())
+        self.cut = self._cutter(made)
+        if self.cut:
+            # Pieces are in their normal form already, so this one only turns bytes into ids.
+            made.update(normalizer=None, added_tokens=[], pre_tokenizer={
+                "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False})
+            self.model = Tokenizer.from_str(json.dumps(made))
+            suffix = made["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+            for name, i in made["model"]["vocab"].items():
+                self.ends[i] = name.endswith(suffix)
         self.memo = PartMemo(self._encode_words, MEMO_WORDS)
         self.pieces = PartMemo(self._encode_pieces, MEMO_WORDS)
 
@@ -81,6 +89,7 @@ class WordEncoder:
         first = cuts[0]
         plain = ([f.get("type") for f in forms] == ["NFC", "Replace", "Lowercase"] and forms[1]["pattern"] == {"Regex": r"\s+"}
                  and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
+                 and made["model"].get("end_of_word_suffix")
                  and all(c.get("type") == "ByteLevel" and not c["use_regex"] and not c["add_prefix_space"] for c in cuts[1:]))
         return regex.compile(first["pattern"]["Regex"]).findall if plain else None
 
@@ -91,26 +100,25 @@ class WordEncoder:
         return [self._packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        if self.mark is None:
-            return self._encode_each(pieces)
-        mark, name = self.mark
-        ids = np.array(self.library.encode_batch_fast([name.join(pieces)], add_special_tokens=False)[0].ids, dtype=self.type)
+        ids = np.array(self.model.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=self.type)
         size, packed = self.type.itemsize, ids.tobytes()
-        marks = (np.flatnonzero(ids == mark) * size).tolist()
-        return [packed[i:j] for i, j in zip([0, *(m + size for m in marks)], [*marks, len(packed)], strict=True)]
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+        return [packed[i:j] for i, j in zip([0, *stops], stops)]
 
-    def _pieces(self, word: str) -> list[str] | tuple[str, ...]:
+    def _pieces(self, word: str) -> list[str] | tuple[str, ...] | None:
+        """The pieces of a word, or None if the library must see the word itself."""
         if self.cut is None:
-            return (word,)
+            return None
         if word.isascii() and word.isalpha():
             return (word.lower(),)
         # Below U+0250 letters and their normal forms are the same to all versions of Unicode.
-        return self.cut(word.lower()) if word.isprintable() and max(word, default="") < "\u0250" else (word,)
+        return self.cut(word.lower()) if word.isprintable() and max(word, default="") < "\u0250" else None
 
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
         cut = list(map(self._pieces, words))
-        known = self.pieces.values(set(chain.from_iterable(cut)))
-        return (known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut)
+        known = self.pieces.values(set(chain.from_iterable(c for c in cut if c is not None)))
+        others = iter(self._encode_each([w for w, c in zip(words, cut, strict=True) if c is None]))
+        return (next(others) if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut)
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes | memoryview]:
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
