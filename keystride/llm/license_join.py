@@ -1,20 +1,27 @@
 """License texts found by an exact set-similarity join of text blocks with templates. DataFrame operations only.
 
-Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Blocks are the lines of a text.
-A block matches a template if it holds at least ``threshold`` of the template's distinct words.
+Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. The blocks of a text for a template
+are all runs of one and a half times the template's words, over line ends: a wrapped notice is one block,
+and a long line is not. A block matches if it holds at least ``threshold`` of the template's distinct words.
+Only blocks that begin with a word of the template are looked at; no other holds more of its words.
 
-The join is exact:
+The join is exact. A text is first taken as one set of words, which no block of it exceeds:
 
-* words of templates are ranked by the number of blocks of the whole corpus that hold them, rare ones
-  first; blocks are reduced to their ranked template words, which leaves every overlap as it was;
-* length: a block with fewer template words than the overlap a template needs can't match it;
+* words of templates are ranked by the number of texts of the whole corpus that hold them, rare ones
+  first; texts are reduced to their ranked template words, which leaves every overlap as it was;
+* length: a text with fewer template words than the overlap a template needs can't match it;
 * prefix: of a template with ``t`` words that needs ``a``, one of its ``t - a + 1`` rarest must be among the
-  block's first ``b - a + 1``, so only those are joined on;
+  text's first ``b - a + 1``, so only those are joined on;
 * position: a shared word at places ``i`` and ``j`` leaves at most ``min(t - i, b - j)`` further ones;
 * the overlap of the pairs left is computed.
 
-Prefix words are rare by construction, and a block enters the join once per prefix word, so a line that
-very many texts share is no group of its own; equal blocks are joined once.
+Then the blocks of each pair left are counted, by a range of words in a window over the places of
+template words. Prefix words are rare by construction, and a text enters the join once per prefix word, so
+a word that very many texts share is no group of its own; equal sets are joined once.
+
+Every matched block labels its text, save where one that begins less than a block's width away holds all
+its matched words and is matched better (a greater share, or as great and more words): so ``cc by nc 4.0``
+is no ``cc by 4.0``, and a text with several notices has all their labels.
 
 Phrases are places where words stand consecutively in the text. Null and empty texts have no words, no
 places and no labels. Repeated rows are kept. An empty table gives no rows.
@@ -28,9 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keystride.operators.ordered import join_hot, null_safe_join
+from keystride.params import MAX_BROADCAST_ROWS
 from keystride.session import materialize
 
 THRESHOLD = 0.8
+MAX_TEMPLATE_WORDS = 20_000  # distinct words of all templates, which are held in one array
 
 # Phrases and their labels.
 PHRASES = (
@@ -117,11 +127,15 @@ def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) ->
     return spark.range(1).select(F.inline(rows))
 
 
-def blocks_of(docs: DataFrame, row: Sequence[str], text: str, vocabulary: Column) -> DataFrame:
-    """``row``, ``block`` (its number) and the distinct template words of each line that has any."""
-    lines = docs.select(*row, F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("block", "line"))
-    words = F.array_intersect(split_words(F.col("line")), vocabulary)
-    return lines.select(*row, "block", words.alias("words")).where(F.size("words") > 0)
+def width_of(template: str | Column) -> Column:
+    """Words of a template's blocks: one and a half times its own."""
+    n = F.size(split_words(F.lit(template) if isinstance(template, str) else template))
+    return n + F.floor(n / 2).cast("int")
+
+
+def need_of(size: Column, threshold: float) -> Column:
+    """How many of a template's ``size`` distinct words a block must hold."""
+    return F.greatest(F.ceil(size * F.lit(threshold) - 1e-9).cast("int"), F.lit(1))
 
 
 def similarity_join(blocks: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -135,10 +149,11 @@ def similarity_join(blocks: DataFrame, templates: DataFrame, threshold: float =
     held = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     order = [F.coalesce("n", F.lit(0)), F.col("word")]
     known = parts.select("word").distinct().join(held, "word", "left")
+    if known.count() > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} distinct words")
     ranks = materialize(known.select("word", F.row_number().over(Window.orderBy(*order)).cast("int").alias("rank")))
     ranked = parts.join(ranks, "word").groupBy("template", "label").agg(F.array_sort(F.collect_list("rank")).alias("t"))
-    need = F.greatest(F.ceil(F.size("t") * F.lit(threshold) - 1e-9).cast("int"), F.lit(1))
-    sized = materialize(ranked.withColumn("need", need))
+    sized = materialize(ranked.withColumn("need", need_of(F.size("t"), threshold)))
     least = sized.agg(F.min("need")).first()[0] or 1
     sets = blocks.where(F.size("words") >= least).select(F.array_sort("words").alias("words")).distinct()
     # Words become ranks by their place in one constant array; template words are few and are arguments.
@@ -157,34 +172,70 @@ def similarity_join(blocks: DataFrame, templates: DataFrame, threshold: float =
         "words", "template", "label", (overlap / F.size("t")).alias("containment"), F.size("t").alias("size")).distinct()
 
 
+def matched_blocks(texts: DataFrame, pairs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, row, start, label, containment`` of the blocks that match and are not part of a better match.
+
+    ``texts`` has ``doc_id, row, text`` (equal rows once), ``pairs`` the ``template`` numbers each text may match.
+    """
+    table = templates.select(
+        "template", "label", F.array_distinct(split_words(F.col("text"))).alias("t"), width_of(F.col("text")).alias("width"))
+    table = materialize(table.withColumn("need", need_of(F.size("t"), threshold)))
+    widest = table.agg(F.max("width")).first()[0] or 1
+    wanted = null_safe_join(pairs, table, ["template"], small=True)  # templates are an argument, so few
+    words = table.select(F.explode("t").alias("w")).distinct().agg(F.collect_set("w").alias("all"))
+    # A word's place stands beside it; only template words are kept.
+    placed = texts.join(F.broadcast(words)).select("doc_id", "row", F.posexplode(F.transform(
+        split_words(F.col("text")), lambda w: F.when(F.array_contains(F.col("all"), w), w))).alias("start", "w")).where("w is not null")
+    by = ["doc_id", "row"]
+    listed = wanted.groupBy(*by).agg(F.collect_list(F.struct("template", "label", "t", "width", "need")).alias("_wanted"))
+    met = null_safe_join(placed, listed, by).select(*by, "start", "w", F.explode("_wanted").alias("x")).select(*by, "start", "w", "x.*").where(F.array_contains("t", F.col("w")))
+    # In millionths of the template's block, so that one range serves templates of all lengths.
+    block = Window.partitionBy(*by, "template").orderBy(F.expr("start * 1000000L div width")).rangeBetween(
+        Window.currentRow, 1_000_000 - 500_000 // widest)
+    hits = met.withColumn("m", F.collect_set("w").over(block)).where(F.size("m") >= F.col("need")).select(
+        *by, "start", F.struct("start", "width", "label", "m", (F.size("m") / F.size("t")).alias("c"), F.size("t").alias("size")).alias("hit"))
+
+    def better(a: Column, b: Column) -> Column:
+        more = (b["c"] > a["c"]) | ((b["c"] == a["c"]) & (b["size"] > a["size"]))
+        return more & (F.abs(b["start"] - a["start"]) < a["width"]) & (F.size(F.array_except(a["m"], b["m"])) == 0)
+
+    # A hit per template and place at most, in two blocks' width.
+    around = Window.partitionBy(*by).orderBy("start").rangeBetween(-widest, widest)
+    seen = hits.withColumn("around", F.collect_list("hit").over(around))
+    return seen.where(~F.exists("around", lambda b: better(F.col("hit"), b))).select(
+        *by, "start", F.col("hit.label").alias("label"), F.col("hit.c").alias("containment"))
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES,
          threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per document its counts and labels, and per matched block its labels.
+    """Per document its counts and labels, and the matched blocks.
 
     First: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``; second:
-    ``doc_id, block, label, containment``.
+    ``doc_id, start, label, containment``, ``start`` being the block's first word.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    # Rows of one id and text have the same answer, so this names a row well enough.
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    # A row is told by its id and this; rows of one id and text have the same answer.
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    by = ["doc_id", "row"]
     table = template_table(spark, templates)
     vocabulary = F.array_distinct(F.flatten(F.array(*[split_words(F.lit(t)) for t, _ in templates])))
-    blocks = materialize(blocks_of(rows, ["doc_id", "row"], "text", vocabulary))
-    found = similarity_join(blocks, table, threshold)
-    # Of several templates the one held best labels the block, of those the largest, then the smallest label.
-    rank = F.struct((-F.col("containment")).alias("c"), (-F.col("size")).alias("s"), "label")
-    hits = found.groupBy("words").agg(F.min(rank).alias("best")).select(
-        "words", F.col("best.label").alias("label"), (-F.col("best.c")).alias("containment"))
-    # Equal word sets may be a third of all blocks: sets with hits are few and known, AQE splits the rest.
-    matched = materialize(blocks.withColumn("words", F.array_sort("words")).join(hits, "words").select(
-        "doc_id", "row", "block", "label", "containment"))
-    per_row = matched.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
+    sets = rows.select(*by, F.array_sort(F.array_intersect(split_words(F.col("text")), vocabulary)).alias("words"))
+    sets = materialize(sets.where(F.size("words") > 0))
+    found = materialize(similarity_join(sets, table, threshold).groupBy("words").agg(F.collect_set("template").alias("may")))
+    # Equal word sets may be a third of all texts.
+    pairs = materialize(join_hot(sets, found, ["words"]).select(*by, "may").distinct())
+    few = pairs.count() <= MAX_BROADCAST_ROWS
+    texts = null_safe_join(rows, pairs, by, small=few).dropDuplicates(by).select(*by, "text")
+    blocks = matched_blocks(texts, pairs.select(*by, F.explode("may").alias("template")), table, threshold)
+    blocks = materialize(blocks)
+    per_row = materialize(blocks.groupBy(*by).agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")))
     base = phrase_columns(rows, "text", phrases).drop("text")
-    joined = base.join(per_row, "row", "left")
+    # A text may be a third of all rows, under one id.
+    joined = join_hot(base, per_row, by, "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0)))
     answer = joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"), score.alias("score"))
-    return answer, matched.select("doc_id", "block", "label", "containment")
+    return answer, blocks.select("doc_id", "start", "label", "containment")

@@ -109,15 +109,18 @@ def license_join() -> str:
         for phrase, label in PHRASES)
     return f"""
 with t(text, label) as (values {templates}),
-tt as (select label, list_distinct(regexp_extract_all({_LOWERED.format('text')}, '{_WORD}')) as tw from t),
+tt as (select label, list_distinct(tw) as tw, len(tw) + len(tw) // 2 as width
+  from (select label, regexp_extract_all({_LOWERED.format('text')}, '{_WORD}') as tw from t)),
+vocabulary as (select list(distinct word) as v from (select unnest(tw) as word from tt)),
 d as (select row_number() over () as n, doc_id, text,
         coalesce(regexp_extract_all({_LOWERED.format('text')}, '{_WORD}'), []) as w from documents),
-lines as (select n, row_number() over () as m, list_distinct(regexp_extract_all({_LOWERED.format('line')}, '{_WORD}')) as lw
-  from (select n, unnest(string_split(text, chr(10))) as line from d)),
-hits as (select n, m, label, c, row_number() over (partition by m order by c desc, size desc, label) as rn
-  from (select n, m, label, len(tw) as size, len(list_intersect(lw, tw)) / len(tw) as c, len(list_intersect(lw, tw)) as o
-        from lines, tt) where o >= greatest(ceil(size * {THRESHOLD} - 1e-9), 1)),
-found as (select n, list(distinct label) as more, max(c) as most from hits where rn = 1 group by n),
+starts as (select n, w, unnest([i for i in range(1, len(w) + 1) if list_contains(v, w[i])]) as s from d, vocabulary),
+blocks as (select n, s, label, width, len(tw) as size, list_intersect(list_distinct(w[s:s + width - 1]), tw) as m
+  from starts, tt where list_contains(tw, w[s])),
+hits as (select n, s, label, width, size, m, len(m) / size as c from blocks where len(m) >= greatest(ceil(size * {THRESHOLD} - 1e-9), 1)),
+found as (select n, list(distinct label) as more, max(c) as most from hits a
+  where not exists (select 1 from hits b where b.n = a.n and abs(b.s - a.s) < a.width and (b.c > a.c or (b.c = a.c and b.size > a.size))
+    and len(list_intersect(a.m, b.m)) = len(a.m)) group by n),
 p as (select n, doc_id, len(w) as n_words, {places} as starts, list_distinct([x for x in [{labels}] if x is not null]) as base from d)
 select doc_id, n_words::bigint as n_words, len(starts)::bigint as n_base, list_min(starts)::bigint as first_word,
   list_max(starts)::bigint as last_word, array_to_string(list_sort(base), ',') as base_labels,

@@ -53,7 +53,32 @@ def test_the_join_is_exact(spark, threshold):
 
 def test_blocks_are_named(docs):
     blocks = license_join.scan(docs((1, "a\nReleased under the MIT License.\nb")))[1]
-    assert [(r.doc_id, r.block, r.label, r.containment) for r in blocks.collect()] == [(1, 1, "mit", 1.0)]
+    assert [(r.doc_id, r.start, r.label, r.containment) for r in blocks.orderBy("start").collect()] == [(1, 1, "mit", 1.0)]
+
+
+def labels_of(docs, *texts):
+    rows = license_join.scan(docs(*texts))[0].collect()
+    return [r.labels for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_every_notice_labels_a_text(docs):
+    mozilla = "This Source Code Form is subject to the terms of the Mozilla public license"
+    assert labels_of(
+        docs, f"{mozilla}; docs licensed under CC BY 4.0", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-NC 4.0, and the text is licensed under CC BY 4.0.") == ["cc-by,mpl", "cc-by-nc,cc-by-sa", "cc-by", "cc-by,cc-by-nc"]
+
+
+def test_a_block_runs_over_line_ends_and_ends_in_long_lines(docs):
+    head = "Redistribution and use in source and binary forms, with or without"
+    scattered = " ".join(f"filler{i} " + ("by cc 4 under 0 licensed".split()[i // 1000] if i % 1000 == 7 else "") for i in range(6000))
+    assert labels_of(docs, f"x\n * {head}\n * modification, are permitted", scattered, head.replace("and", "\n\n")) == ["bsd", "", ""]
+
+
+def test_more_words_than_an_array_may_hold_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(license_join, "MAX_TEMPLATE_WORDS", 2)
+    frame = spark.createDataFrame([(["a"],)], "words array<string>")
+    with pytest.raises(ValueError, match="distinct words"):
+        license_join.similarity_join(frame, license_join.template_table(spark, [("a b c", "x")]))
 
 
 def test_no_python_in_the_plan(docs):
