@@ -36,7 +36,9 @@ class PartMemo:
         for part in parts:
             value = known.get(part)
             if value is None:
-                value = old.pop(part, None) or fresh.pop(part, None)
+                value = old.pop(part, None)
+                if value is None:
+                    value = fresh.pop(part, None)
                 if value is None:
                     new.append(part)
                     continue

@@ -236,12 +236,15 @@ class Features:
     restorer: Restorer
     wanted: dict[str, int] | None = None  # all, while features are being counted
     memo: dict[str, tuple] = field(default_factory=dict)
+    older: dict[str, tuple] = field(default_factory=dict)  # the memo before, for words still in use
     starts: set[str] = field(default_factory=set)  # of wanted words, shorter than these
+    heads: set[str] = field(default_factory=set)   # their first letters, as many as the shortest beginning has
 
     def __post_init__(self):
         for x in self.wanted or ():
             word = x.removesuffix("~")
             self.starts.update(word[:n] for n in range(1, len(word)))
+            self.heads.add(word[:BEGINNINGS[0]])
 
     def of_word(self, word: str) -> tuple:
         """What a written word, and the word restored from it, give."""
@@ -273,6 +276,8 @@ class Features:
             if not piece.isalpha():
                 break
             known, joined = len(joined), joined + piece
+            if joined[:BEGINNINGS[0]] not in self.heads and joined not in self.starts:
+                break
             pieces.append(piece)
             names = [joined, *(f"{joined[:n]}~" for n in BEGINNINGS if known < n <= len(joined))]
             if any(x in self.wanted for x in names) and self.restorer.joins(pieces):
@@ -283,16 +288,19 @@ class Features:
         in_order, spelled = self.restorer.words(text)
         written = set(in_order)
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         found: set = set()
-        memo = self.memo
+        memo, older = self.memo, self.older
         for w in written:
             got = memo.get(w)
             if got is None:
-                got = self.of_word(w)
+                got = older.get(w)
+                if got is None:
+                    got = self.of_word(w)
                 if len(w) <= MEMO_LENGTH:
                     memo[w] = got
-            found.update(got)
+            if got:
+                found.update(got)
         if self.starts:
             lead = {w for w in written if w.lstrip(_STRIP) in self.starts}
             for at in [i for i, w in enumerate(in_order) if w in lead]:
