@@ -3,8 +3,13 @@
 In each pass the signs of random projections are concatenated to a code; vectors are ordered by
 (label, code) and each is compared with the ``window`` vectors after it. Close vectors share long
 beginnings of their codes with a probability that falls with their angle, so they come near each other
-in some pass; pairs verified in any pass are united. Precision is exact (cosine in double precision),
-recall grows with ``passes`` and ``window``; the tests measure it.
+in some pass; pairs verified in any pass are united. Precision is exact (cosine in double precision).
+
+How many passes a label takes follows from its size (``passes_of``): a bit of two vectors at the threshold
+agrees with probability ``1 - angle / pi``, and they come within a window of ``w`` among ``n`` vectors if
+about ``log2(n / w)`` leading bits agree. There are as many passes as bring such a pair together in one of
+them with probability ``RECALL``, and ``PASSES`` at least. Closer pairs, and pairs that others connect, are
+found with a higher one. The tests measure it.
 
 A window bounds the partners seen in a pass, so the passes only find the classes. Links are then counted
 exactly within each class: every pair of its vectors is compared once. A class is cut into chunks by the
@@ -24,19 +29,22 @@ without any id in its class has none, and is kept.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystride.llm.common import bound_batches, connected_components, ship
+from keystride.llm.common import bound_batches, connected_components, meet, ship
 from keystride.llm.vectors import directions, is_usable, matrix
 from keystride.session import materialize
 
 THRESHOLD = 0.93
-PASSES = 14
+PASSES = 14        # the least
+RECALL = 0.99      # of pairs at the threshold that no other vectors connect
 CODE_BITS = 62
 WINDOW = 384
 BLOCK = 1536
@@ -46,16 +54,35 @@ SLICE = 512  # rows of a chunk compared at a time
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
 
-def codes(distinct: DataFrame, passes: int, seed: int) -> DataFrame:
-    """``pass, label, dims, code, key, vector`` for every pass."""
+def passes_of(n: Column, threshold: float = THRESHOLD, window: int = WINDOW, least: int = PASSES) -> Column:
+    """Passes for a label of ``n`` distinct vectors."""
+    agree = 1 - math.acos(threshold) / math.pi
+    met = F.pow(F.lit(agree), F.greatest(F.log2(n / F.lit(float(window))), F.lit(0.0)))
+    needed = F.ceil(F.lit(math.log(1 - RECALL)) / F.log(1 - F.least(met, F.lit(1 - 1e-9))))
+    return F.greatest(needed, F.lit(least)).cast("int")
+
+
+def with_passes(distinct: DataFrame, threshold: float, window: int, least: int) -> DataFrame:
+    """Add ``passes``, by the number of vectors of a label and length."""
+    by = ["label", "dims"]
+    sized = distinct.withColumn("dims", F.size("vector"))
+    counts = materialize(sized.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    needed = counts.select(*by, passes_of(F.col("n"), threshold, window, least).alias("passes"))
+    return meet(sized, needed, by).drop("dims")
+
+
+def codes(distinct: DataFrame, seed: int) -> DataFrame:
+    """``pass, label, dims, code, key, vector`` for each of a vector's ``passes``."""
     def run(batches):
         powers = 1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64)
         for rows in batches:
             sizes = rows.column("vector").value_lengths().to_numpy()
             for dims in np.unique(sizes):
-                part = rows.filter(pa.array(sizes == dims))
-                unit = directions(matrix(part.column("vector")))
-                for p in range(passes):
+                whole = rows.filter(pa.array(sizes == dims))
+                passes = whole.column("passes").to_numpy()
+                for p in range(int(passes.max())):
+                    part = whole if (passes > p).all() else whole.filter(pa.array(passes > p))
+                    unit = directions(matrix(part.column("vector")))
                     planes = np.random.default_rng([seed, p, int(dims)]).normal(size=(int(dims), CODE_BITS))
                     code = ((unit @ planes) > 0) @ powers
                     n = part.num_rows
@@ -67,7 +94,7 @@ def codes(distinct: DataFrame, passes: int, seed: int) -> DataFrame:
     ship(distinct.sparkSession)
     bound_batches(distinct.sparkSession)
     schema = f"pass int, label string, dims int, code bigint, key bigint, vector {distinct.schema['vector'].dataType.simpleString()}"
-    return distinct.select("label", "key", "vector").mapInArrow(run, schema)
+    return distinct.select("label", "key", "vector", "passes").mapInArrow(run, schema)
 
 
 def in_blocks(ordered: DataFrame, block: int, window: int) -> DataFrame:
@@ -100,12 +127,15 @@ def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         least = after
 
 
-def class_edges(distinct: DataFrame, threshold: float, passes: int, window: int, block: int, seed: int) -> DataFrame:
-    """``a, b`` with ``a < b``: keys that verified pairs connect, at most one row per vector, pass and block."""
+def class_edges(distinct: DataFrame, threshold: float, window: int, block: int, seed: int) -> DataFrame:
+    """``a, b`` with ``a < b``: keys that verified pairs connect, at most one row per vector, pass and block.
+
+    ``distinct``: ``key, label, vector, passes``.
+    """
     if block < window:
         raise ValueError("a block holds at least a window")
     order = ["pass", "label", "dims", "code", "key"]
-    ordered = codes(distinct, passes, seed).repartitionByRange(*order).sortWithinPartitions(*order).drop("code")
+    ordered = codes(distinct, seed).repartitionByRange(*order).sortWithinPartitions(*order).drop("code")
     blocks = in_blocks(ordered, block, window)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,9 +209,9 @@ def count_links(members: DataFrame, threshold: float, least_chunk: int = LEAST_C
     return counted.groupBy("key").agg(F.sum("links").alias("links"))
 
 
-def group(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK,
+def group(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, block: int = BLOCK,
           seed: int = SEED, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row."""
+    """``vec_id, n_links, component_id, kept`` for every row; ``passes`` sets a number for all labels."""
     rows = embeddings.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").alias("vector"),
                              F.col(f"`{label}`").cast("string").alias("label"))
     usable = is_usable(F.col("vector")) & F.col("label").isNotNull()
@@ -189,7 +219,8 @@ def group(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PAS
     # Copies are one vertex: a hot one is one row per task after the partial aggregation.
     grouped = split.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     distinct = materialize(grouped.withColumn("key", F.monotonically_increasing_id()))
-    edges = materialize(class_edges(distinct, threshold, passes, window, block, seed))
+    numbered = with_passes(distinct, threshold, window, PASSES) if passes is None else distinct.withColumn("passes", F.lit(passes))
+    edges = materialize(class_edges(numbered, threshold, window, block, seed))
     roots = connected_components(edges).withColumnRenamed("v", "key")
     rooted = materialize(distinct.drop("vector", "label").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
