@@ -118,3 +118,10 @@ def suggest_batch(requests: DataFrame, dictionary: DataFrame, scores: DataFrame,
     answered = join_hot(asked, placed, ["cache_key"], "left")
     source = F.when(F.col("cache_key").isNull(), "EMPTY").when(F.col("mode") == "RECENCY", "DB+RECENCY").otherwise("DB")
     return answered.withColumn("source", source).withColumn("value", F.coalesce("value", F.lit(_EMPTY_LIST)))
+
+
+def suggest_one(dictionary: DataFrame, scores: DataFrame, arcs: DataFrame, q: str | None, mode: str | None = None, k: int = K,
+                alpha: float = ALPHA) -> DataFrame:
+    """``prefix, mode, source, node, value`` of one request; a blank prefix has the source ``EMPTY`` and no node."""
+    asked = dictionary.sparkSession.range(1).select(F.lit(q).cast("string").alias("q"), F.lit(mode).cast("string").alias("mode"))
+    return suggest_batch(asked, dictionary, scores, arcs, k, alpha).select("prefix", "mode", "source", "node", "value")

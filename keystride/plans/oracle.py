@@ -472,6 +472,10 @@ def _sql_suggest() -> str:
 
 # The same questions put to streams, sketches and SQL functions.
 ORACLE |= {
+    "missing_file": sql("""SELECT 'there' AS folder, count(*) AS lines FROM search_query
+        UNION ALL SELECT 'missing', 0""", WORDS),
+    "score_store": ORACLE["decayed_score"],
+    "stream_retry": ORACLE["stream_fold_replayed"],
     "list_store_answers": ORACLE["materialized_else_compute"],
     "stream_refills_state": ORACLE["stream_refills"],
     "stream_debounce": ORACLE["debounce"],

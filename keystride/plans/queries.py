@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import StreamingQueryException
 
 from keystride.functions import scoring, sql, text
 from keystride.operators import expiry, fold, merge, prefix, reports, replay, ring, serving, trending, upkeep
@@ -19,6 +20,7 @@ from keystride.sources.dictionary import DictionaryStore
 from keystride.sources.lists import ListStore
 from keystride.sources.polls import EventLog
 from keystride.sources.ranges import DictionaryRanges
+from keystride.sources.scores import ScoreStore
 from keystride.sources.sketches import DistinctSketches, LatencySketches, distinct_bound, rank_bound
 from keystride.sources.views import AS_OF, HALF_LIFE, NODES_3, NODES_4, TestViews, as_requests, searched_queries
 from keystride.streaming import entries, jobs, rankings, sessions
@@ -197,6 +199,16 @@ def decayed_score(v):
     return scores(v).select("query_norm", r6("score"))
 
 
+@query
+def score_store(v):
+    """Two halves of the log added to the stored scores one after the other, the second one twice."""
+    store = ScoreStore(v.spark, work_dir(v.spark, "score-store"))
+    store.add(v.search_event.where(F.col("ts") <= at(MIDDLE)), MIDDLE, HALF_LIFE, batch_id=0)
+    for _ in range(2):
+        store.add(v.search_event.where(F.col("ts") > at(MIDDLE)), AS_OF, HALF_LIFE, batch_id=1)
+    return store.read().select("query_norm", r6("score"))
+
+
 @query
 def score_partials(v):
     partials = trending.score_partials(v.search_event, "1 day", HALF_LIFE)
@@ -376,6 +388,16 @@ def _lines(v: TestViews) -> DataFrame:
     return lines.drop_blank(written.unionByName(prose))
 
 
+@query
+def missing_file(v):
+    """Lines of a folder that is there and of one that is not."""
+    root = work_dir(v.spark, "missing-file")
+    lines.render(v.search_query).select("line").write.text(f"{root}/there")
+    found = [lines.read_lines(v.spark, f"{root}/{name}").agg(F.count("line").alias("lines")).select(F.lit(name).alias("folder"), "lines")
+             for name in ("there", "missing")]
+    return found[0].unionByName(found[1])
+
+
 @query
 def parse_lines(v):
     return lines.accepted(lines.parse(_lines(v))).select("origin", "query", "count")
@@ -635,6 +657,32 @@ def stream_fold_replayed(v):
     return store.read().groupBy("query_norm").agg(F.sum("count").alias("count"))
 
 
+@query
+def stream_retry(v):
+    """A batch that fails when it is published, and the same stream started again."""
+    root = work_dir(v.spark, "stream-retry")
+    store, broken = (kind(v.spark, f"{root}/dictionary") for kind in (DictionaryStore, FailingStore))
+    events = fold.to_event(_event_stream(v).select("event_id", "ts", F.col("raw").alias("query")))
+    try:
+        jobs.maintain_counts(events, broken, f"{root}/checkpoint", drain=True).awaitTermination()
+    except StreamingQueryException as problem:
+        if FailingStore.MESSAGE not in str(problem):
+            raise
+    jobs.maintain_counts(events, store, f"{root}/checkpoint", drain=True).awaitTermination()
+    return store.read().groupBy("query_norm").agg(F.sum("count").alias("count"))
+
+
+class FailingStore(DictionaryStore):
+    """Publishes the first batch and no other."""
+
+    MESSAGE = "the second batch is lost"
+
+    def commit(self, deltas: DataFrame, batch_id: int) -> None:
+        if batch_id:
+            raise RuntimeError(self.MESSAGE)
+        super().commit(deltas, batch_id)
+
+
 @query
 def stream_score(v):
     root = work_dir(v.spark, "stream-score")

@@ -77,3 +77,14 @@ def test_batch_of_suggestions_names_source_and_node(world, spark):
     assert {i: r.source for i, r in got.items()} == {1: "DB", 2: "DB+RECENCY", 3: "EMPTY", 4: "DB"}
     assert got[3].node is None and all(got[i].node.startswith("node-") for i in (1, 2, 4))
     assert json.loads(got[2].value)[0]["query"] == "iPhone" and got[4].value == "[]"
+
+
+def test_one_request_names_its_node_and_a_blank_one_is_empty(world, spark):
+    table, scores, _ = world
+    arcs = ring.build_arcs(ring.build_ring(ring.nodes_from_spec(spark, "a:1,b:2")))
+    row = serving.suggest_one(table, scores, arcs, " IP", "Recency", k=2).first()
+    assert (row.prefix, row.mode, row.source) == ("ip", "RECENCY", "DB+RECENCY") and row.node.startswith("node-")
+    assert [x["query"] for x in json.loads(row.value)] == [r.query for r in prefix.suggest(table, scores, "ip", "recency", k=2).orderBy("rank").collect()]
+    for blank in (" \t", None):
+        row = serving.suggest_one(table, scores, arcs, blank).first()
+        assert (row.prefix, row.source, row.node, row.value) == ("", "EMPTY", None, "[]")
