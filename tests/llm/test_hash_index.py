@@ -56,6 +56,11 @@ def test_small_tables_and_sql(small, plain, answers):
     assert got(small("documents")) == brute([(r.doc_id, r.text) for r in small("documents").collect()])
 
 
+def test_texts_are_shuffled_to_many_keys(docs, monkeypatch):
+    monkeypatch.setattr(hash_index, "MAX_BROADCAST_ROWS", 0)
+    assert got(docs(*ODD)) == brute(ODD)
+
+
 def test_empty_table_and_clashing_names(docs):
     assert got(docs()) == []
     frame = docs((1, "a"), (2, "a")).select("doc_id", "text", *[
