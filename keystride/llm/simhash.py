@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -131,13 +131,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     Of rows that share id and text one stays; a class with null ids only keeps one row.
     """
     ids, texts = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    named = docs.select(ids.alias("_id"), texts.alias("_text"), F.xxhash64(ids, texts).alias("_row"))
+
+    def key(id_: Column, row: Column) -> list[Column]:
+        """What a row is told by: its id, whether it has one, and its hash."""
+        return [F.coalesce(id_.cast("string"), F.lit("")).alias("_key"), id_.isNull().alias("_none"), row.alias("_row")]
+
+    row = F.xxhash64(ids, texts)
+    named = docs.select(ids.alias("_id"), texts.alias("_text"), row.alias("_row"))
     classes = group(named, "_id", "_text", radius, segments, keep=["_id", "_row"])
     ranked = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-    kept = classes.groupBy("root").agg(F.min(ranked).alias("m")).select(F.col("m.i").alias("_i"), F.col("m.r").alias("_r"))
-    # The row is one column, so no name of it can clash; it is told by its id and its hash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), ids.alias("_id"),
-                       F.xxhash64(ids, texts).alias("_row"))
-    chosen = rows.join(kept, rows["_id"].eqNullSafe(kept["_i"]) & (rows["_row"] == kept["_r"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.lit(0)))
-    return chosen.withColumn("_n", first).where("_n = 1").select("_doc.*")
+    kept = classes.groupBy("root").agg(F.min(ranked).alias("m")).select(*key(F.col("m.i"), F.col("m.r")))
+    # The row is one column, so no name of it can clash. Join and numbering share one shuffle of the rows.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *key(ids, row))
+    by = ["_key", "_none", "_row"]
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    return rows.join(kept, by, "left_semi").withColumn("_n", first).where("_n = 1").select("_doc.*")
