@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from keystride.llm.license_join import PHRASES, TEMPLATES, THRESHOLD
+from keystride.llm.projection_dedup import THRESHOLD as COSINE
 
 _LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,6 +131,24 @@ from p left join found using (n)
 """
 
 
+# -- op6 ----------------------------------------------------------------------------------------
+
+def projection_dedup() -> str:
+    """All pairs of a label, and what links reach."""
+    return f"""
+with recursive v as (select row_number() over () as n, vec_id, label, embedding::double[] as e from embeddings),
+usable as (select n, label, [coalesce(x, 0.0) for x in e] as e from v where len(e) > 0
+  and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+links as (select a.n, b.n as m from usable a join usable b on a.label = b.label and a.n <> b.n
+  where case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) end >= {COSINE}),
+reach(n, m) as (select n, n from v union select reach.n, links.m from reach join links on links.n = reach.m),
+class as (select reach.n, min(v.vec_id) as component_id from reach join v on v.n = reach.m group by reach.n),
+counted as (select n, count(*) as n_links from links group by n)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, component_id is null) as kept
+from v join class using (n) left join counted using (n)
+"""
+
+
 # -- op12 ---------------------------------------------------------------------------------------
 
 def exact_dedup() -> str:
@@ -196,6 +215,7 @@ def build(entropy, repetition, blocks, rules, domains) -> dict[str, str]:
         "op2_mixing": mixing(entropy, repetition, blocks),
         "op4_url_filter": url_filter(rules, domains),
         "op5_license_join": license_join(),
+        "op6_projection_dedup": projection_dedup(),
         "op12_exact_dedup": exact_dedup(),
         "op13_prefix_trie": prefix_trie(),
     }

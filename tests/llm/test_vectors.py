@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystride.llm import graph_search, projection_dedup
+from keystride.llm import graph_search, oracle, projection_dedup
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 NAN, INF = float("nan"), float("inf")
@@ -83,6 +83,13 @@ def test_passes_grow_with_the_label(spark):
     assert got[:2] == [14, 14] and 14 < got[2] < got[3] < 100
 
 
+def test_sql_counts_the_same_links(spark, answers, plain):
+    rows = [(i, v.tolist(), int(i % 4)) for i, v in enumerate(clustered(300, 6))]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, rows[5][1], None), (303, [1.0, None], 2), (304, [NAN, 1.0], 2), (None, rows[7][1], 3), (7, rows[7][1], 3)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert plain(projection_dedup.group(frame)) == answers(oracle.projection_dedup(), embeddings=frame)
+
+
 def test_windows_across_blocks(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(clustered(300, 2))]
     want = brute_links(rows)
