@@ -47,9 +47,9 @@ SPACE_SIGN, BYTE_PIECE = "▁", "<0x{:02X}>"
 # Of one part or text: tokens of A, of B, groups, their spelling, keys of linked pairs as 64-bit integers.
 Aligned = tuple[int, int, int, bytes, bytes]
 NOTHING: Aligned = (0, 0, 0, b"", b"")  # a part whose bytes do not come back
-# A space beside white space, or white space at an end of the text.
+# A space beside white space, white space at an end of the text, or no text: an empty part would be a space between others.
 _WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
-_NO_CUT = rf"{_WHITE} | {_WHITE}|\A{_WHITE}|{_WHITE}\z"
+_NO_CUT = rf"{_WHITE} | {_WHITE}|\A{_WHITE}|{_WHITE}\z|\A\z"
 
 
 def slices(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, int]]:

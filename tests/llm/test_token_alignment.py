@@ -111,6 +111,13 @@ def test_any_text_aligns_as_span_by_span(aligner, libraries, texts):
         assert n_a + n_b - n_groups == len(pairs)
 
 
+def test_empty_texts_between_others_have_no_tokens():
+    texts = ["0 1", None, "fig", "", "1 2"]
+    found = list(token_alignment.Aligner(A, B).align(pa.array(texts, pa.string())))
+    assert [(n_a, n_b, n_groups, bytes(spelling), len(keys)) for n_a, n_b, n_groups, spelling, keys in found[1::2]] == 2 * [(0, 0, 0, b"", 0)]
+    assert all(n_a for n_a, *_ in found[::2])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["the", "cat", "'s", "it's", "zzyzx", "\n\nThe", "café", "a▁", "...", "(x)", "<0x0A>", "10", "\tq"]), max_size=30))
 def test_texts_of_known_parts(aligner, libraries, words):
