@@ -46,6 +46,7 @@ SMALL_GROUP = 500  # rows beyond which the large queries cut a group
 DAY = 86_400
 RANGE_ROWS = 20_000  # rows of a stored key range
 POLL = 5_000         # events of a poll; the test log comes at once
+BACKLOG_POLLS = 200  # full polls that a micro-batch takes of it
 KLL_CHECKED = 200    # the bound of sketches of this size is asked of larger ones
 
 
@@ -779,7 +780,7 @@ def polled_flushes(v):
     log = EventLog(v.spark, f"{root}/log")
     log.append(v.search_event.select("event_id", "ts", F.col("query_norm").alias("q"), F.col("display").alias("d")), 0)
     store = jobs.FlushStore(v.spark, f"{root}/flushes")
-    jobs.maintain_flushes(log.stream(max_events=POLL), store, f"{root}/checkpoint", 2 * POLL, drain=True)
+    jobs.maintain_flushes(log.stream(max_events=POLL, max_polls=BACKLOG_POLLS), store, f"{root}/checkpoint", 2 * POLL, drain=True)
     return store.read().select("flush", "query_norm", "delta", "display", micros("last_ts", "last_us"))
 
 

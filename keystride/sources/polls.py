@@ -2,10 +2,11 @@
 
 ``EventLog`` numbers events as they are appended: an append is a segment of consecutive positions,
 written as files sorted by position and named by a commit row, so an append that is repeated after a
-failure adds nothing. ``EventPolls`` is a stream source over the positions: a micro-batch holds at most
+failure adds nothing. ``EventPolls`` is a stream source over the positions: a poll holds at most
 ``max_events`` of them, and waits until ``min_events`` have come or ``max_wait`` seconds have passed,
-whichever is first. Positions planned for a batch are in the query's checkpoint before it runs, so a
-batch that was cut off is read again with the same bounds.
+whichever is first. A micro-batch is one poll, or up to ``max_polls`` of those that a backlog fills, so that
+reading up a long log does not cost a batch for each. Positions planned for a batch are in the query's
+checkpoint before it runs, so a batch that was cut off is read again with the same bounds.
 
 Layout below the root:
 ``data/segment=S/attempt=A``  events of one append, with ``position``
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from keystride.operators.ordered import row_numbers
+from keystride.session import materialize
 from keystride.sources.batches import read_or_empty
 from keystride.sources.events import EVENT
 
@@ -55,9 +57,10 @@ class EventLog:
         if not known.where(F.col("segment") == segment).isEmpty():
             return False
         first = known.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 0
+        events = materialize(events.select(*EVENT.names))  # counted, sampled and written
         attempt = uuid.uuid4().hex
         path = f"{self.root}/data/segment={segment}/attempt={attempt}"
-        numbered = row_numbers(events.select(*EVENT.names), [], [F.asc("ts"), F.asc("event_id"), F.asc("q"), F.asc("d")], "position")
+        numbered = row_numbers(events, [], [F.asc("ts"), F.asc("event_id"), F.asc("q"), F.asc("d")], "position")
         placed = numbered.select((F.col("position") - 1 + first).alias("position"), *EVENT.names)
         placed.repartitionByRange("position").sortWithinPartitions("position").write.parquet(path)
         n = self.spark.read.schema(LOGGED).parquet(path).count()
@@ -72,11 +75,13 @@ class EventLog:
         paths = [f"{self.root}/data/segment={c.segment}/attempt={c.attempt}" for c in named]
         return self.spark.read.schema(LOGGED).parquet(*paths) if paths else read_or_empty(self.spark, LOGGED, f"{self.root}/data")
 
-    def stream(self, max_events: int = MAX_EVENTS, min_events: int = 1, max_wait: float = MAX_WAIT_SECONDS) -> DataFrame:
+    def stream(self, max_events: int = MAX_EVENTS, min_events: int = 1, max_wait: float = MAX_WAIT_SECONDS,
+               max_polls: int = 1) -> DataFrame:
         """``position, event_id, ts, q, d`` as a stream from the log's start."""
         self.spark.dataSource.register(EventPolls)
         reader = self.spark.readStream.format(EventPolls.name()).option("path", self.root)
-        return reader.option("maxEvents", max_events).option("minEvents", min_events).option("maxWait", max_wait).load()
+        reader = reader.option("maxEvents", max_events).option("minEvents", min_events).option("maxWait", max_wait)
+        return reader.option("maxPolls", max_polls).load()
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -96,7 +101,7 @@ class PollReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
         self.most, self.least = int(options.get("maxEvents", MAX_EVENTS)), int(options.get("minEvents", 1))
-        self.wait = float(options.get("maxWait", MAX_WAIT_SECONDS))
+        self.wait, self.polls = float(options.get("maxWait", MAX_WAIT_SECONDS)), int(options.get("maxPolls", 1))
         self.planned: int | None = None   # end of the last batch that was planned
         self.waiting: tuple[int, float] | None = None  # for events after which position, since when
 
@@ -123,7 +128,8 @@ class PollReader(DataSourceStreamReader):
                 self.waiting = (start, time.monotonic())
             if time.monotonic() - self.waiting[1] < self.wait:
                 return {"position": start}
-        return {"position": start + min(there, self.most)}
+        full = min(there // self.most, self.polls)  # a poll that is not full comes alone
+        return {"position": start + (full * self.most or there)}
 
     def partitions(self, start: dict, end: dict) -> list[Segment]:
         # A restarted query plans its last batch once more, so this is where the polls go on.

@@ -53,6 +53,15 @@ def test_polls_are_bounded_and_go_on_after_a_restart(spark, log, tmp_path):
     assert sizes[3:] == [(3, 730, 256), (4, 986, 44)]
 
 
+def test_a_backlog_is_read_in_batches_of_several_polls(spark, log, tmp_path):
+    sizes, checkpoint = [], str(tmp_path / "check")
+    run(log.stream(max_events=50, max_polls=6), checkpoint, sizes)
+    assert sizes == [(0, 0, 300), (1, 300, 300), (2, 600, 100), (3, 700, 30)]
+    log.append(events(spark, 120, 730), 2)
+    run(log.stream(max_events=50, max_polls=6), checkpoint, sizes)
+    assert sizes[4:] == [(4, 730, 100), (5, 830, 20)]
+
+
 def test_a_lost_batch_is_read_again_with_the_same_bounds(spark, log, tmp_path):
     sizes, checkpoint = [], str(tmp_path / "check")
     with pytest.raises(Exception, match="lost"):
