@@ -6,6 +6,7 @@ node at the first position at or after the key's own, wrapping past the last one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from keystride.session import materialize
 
 _LOWEST, _HIGHEST = -(2 ** 63), 2 ** 63 - 1
 _BUCKET_BITS = 12  # 4096 slices of the ring; 64-bit positions are shifted down to a slice number
+SPOTS_PER_TASK = 1_000_000  # positions that a task makes, and orders
 
 
 def node_label(index: Column, spec: Column) -> Column:
@@ -39,18 +41,37 @@ def nodes_from_spec(spark: SparkSession, spec: str) -> DataFrame:
     return parse_nodes(spark.range(1).select(F.lit(spec).alias("spec")))
 
 
+def _parts(nodes: DataFrame, each: int) -> int:
+    """In how many parts a ring with ``each`` positions per node is made."""
+    return max(1, math.ceil(nodes.count() * each / SPOTS_PER_TASK))
+
+
+def _deal(nodes: DataFrame, parts: int) -> DataFrame:
+    """A few small files of nodes become very many positions, so the nodes are dealt out before."""
+    return nodes.repartition(parts) if parts > 1 else nodes
+
+
+def _settle(spots: DataFrame, parts: int, by: Sequence[str] = ()) -> DataFrame:
+    """``pos, node_index, node`` of numbered spots (``v``); if two positions collide the later one stays."""
+    pos = ring_position(F.concat(F.col("node"), F.lit("#vn"), F.col("v").cast("string")))
+    spots = spots.withColumn("pos", pos)
+    if parts > 1:  # hardly any two collide, so nothing is gained by folding them before the shuffle
+        spots = spots.repartition(parts, *by, "pos")
+    last = F.max_by(F.struct("node_index", "node"), F.struct("node_index", "v"))
+    return spots.groupBy(*by, "pos").agg(last.alias("n")).select(*by, "pos", "n.node_index", "n.node")
+
+
 def build_ring(nodes: DataFrame, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """``pos, node_index, node``; if two positions collide the later one stays."""
-    spots = nodes.select(
+    parts = _parts(nodes, virtual_nodes)
+    spots = _deal(nodes, parts).select(
         "node_index", "node", F.explode(F.sequence(F.lit(0), F.lit(virtual_nodes - 1))).alias("v")
     )
-    pos = ring_position(F.concat(F.col("node"), F.lit("#vn"), F.col("v").cast("string")))
-    last = F.max_by(F.struct("node_index", "node"), F.struct("node_index", "v"))
-    return spots.groupBy(pos.alias("pos")).agg(last.alias("n")).select("pos", "n.node_index", "n.node")
+    return _settle(spots, parts)
 
 
-def _bucket(pos: Column) -> Column:
-    return F.shiftright(pos, 64 - _BUCKET_BITS)
+def _bucket(pos: Column, bits: int = _BUCKET_BITS) -> Column:
+    return F.shiftright(pos, 64 - bits)
 
 
 def build_arcs(ring: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -125,13 +146,10 @@ def balance(keys: DataFrame, nodes: DataFrame, replica_counts: Sequence[int], ke
     of literals, exploded next to the keys.
     """
     counts = F.array(*[F.lit(int(r)) for r in replica_counts])
-    spots = nodes.select("node_index", "node", F.explode(counts).alias("replicas"))
+    parts = _parts(nodes, sum(replica_counts))
+    spots = _deal(nodes, parts).select("node_index", "node", F.explode(counts).alias("replicas"))
     spots = spots.select("*", F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("v"))
-    pos = ring_position(F.concat(F.col("node"), F.lit("#vn"), F.col("v").cast("string")))
-    last = F.max_by(F.struct("node_index", "node"), F.struct("node_index", "v"))
-    rings = spots.groupBy("replicas", pos.alias("pos")).agg(last.alias("n")).select(
-        "replicas", "pos", "n.node_index", "n.node"
-    )
+    rings = _settle(spots, parts, ["replicas"])
     arcs = build_arcs(rings, ["replicas"])
     spread = keys.select(key, F.explode(counts).alias("replicas"))
     placed = assign(spread, arcs, key, ["replicas"]).groupBy("replicas", "node").agg(F.count(F.lit(1)).alias("keys"))

@@ -53,6 +53,16 @@ def test_assignment_equals_a_plain_ring(spark, keys, virtual_nodes, max_broadcas
     assert len(got) == 3010 and all(r.node == plain.of(r.key) and r.pos == spot(r.key) for r in got)
 
 
+def test_a_large_ring_is_made_in_parts(spark, monkeypatch):
+    nodes = spark.range(40).coalesce(1).select(F.col("id").cast("int").alias("node_index"), F.concat(F.lit("n"), "id").alias("node"))
+    whole = {tuple(r) for r in ring.build_ring(nodes).collect()}
+    monkeypatch.setattr(ring, "SPOTS_PER_TASK", 1000)
+    made = ring.build_ring(nodes)
+    assert {tuple(r) for r in made.collect()} == whole and len(whole) == 6000
+    assert made.rdd.getNumPartitions() == 6
+    assert max(made.rdd.glom().map(len).collect()) < 1500
+
+
 def test_single_node_owns_all(spark, keys):
     arcs = ring.build_arcs(ring.build_ring(ring.nodes_from_spec(spark, "h:1"), 1))
     assert {r.node for r in ring.assign(keys, arcs).collect()} == {"node-0 (h:1/0)"}
