@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystride.operators.ordered import join_hot
 from keystride.functions import text
 from keystride.functions.hashing import ring_position
 from keystride.params import MAX_BROADCAST_ROWS, VIRTUAL_NODES
@@ -110,25 +109,26 @@ def assign(keys: DataFrame, arcs: DataFrame, key: str = "key", by: Sequence[str]
     """Add ``pos, node_index, node`` to every key.
 
     The range condition is turned into an equality on ring slices, so a hash join is planned. Arcs
-    are broadcast when there are few of them; beyond the bound both sides are shuffled by slice,
-    repeated keys folded first, since a hot key would fall into a single slice.
+    are broadcast when there are few of them; beyond the bound both sides are shuffled by slice, and
+    there are as many slices as leave a few arcs in each, so a key meets no more arcs on a larger
+    ring. Keys that repeat without bound fall into one slice, whose part the merge join splits as it
+    runs.
     """
-    wide = arcs.withColumn(
-        "_b", F.explode(F.sequence(_bucket(F.col("lo")), _bucket(F.col("hi"))))
-    )
     inside = ((F.col("pos") > F.col("lo")) | (F.col("closed") & (F.col("pos") == F.col("lo")))) & (
         F.col("pos") <= F.col("hi")
     )
     drop = ["_b", "lo", "hi", "closed"]
+    bits = _BUCKET_BITS
 
-    def owners(df: DataFrame, spread: DataFrame) -> DataFrame:
-        placed = df.withColumn("pos", ring_position(F.col(key))).withColumn("_b", _bucket(F.col("pos")))
-        return placed.join(spread, [*by, "_b"]).where(inside).drop(*drop)
+    def spread() -> DataFrame:
+        return arcs.withColumn("_b", F.explode(F.sequence(_bucket(F.col("lo"), bits), _bucket(F.col("hi"), bits))))
 
-    if wide.limit(max_broadcast + 1).count() <= max_broadcast:
-        return owners(keys, F.broadcast(wide))
-    distinct = owners(keys.select(*by, key).distinct(), wide)
-    return join_hot(keys, distinct, [*by, key])
+    small = spread().limit(max_broadcast + 1).count() <= max_broadcast
+    if not small:
+        bits = max(bits, arcs.count().bit_length() - 2)  # two to four arcs in a slice
+    placed = keys.withColumn("pos", ring_position(F.col(key))).withColumn("_b", _bucket(F.col("pos"), bits))
+    met = placed.join(F.broadcast(spread()), [*by, "_b"]) if small else placed.hint("merge").join(spread(), [*by, "_b"])
+    return met.where(inside).drop(*drop)
 
 
 def keys_per_node(assigned: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -63,6 +63,18 @@ def test_a_large_ring_is_made_in_parts(spark, monkeypatch):
     assert max(made.rdd.glom().map(len).collect()) < 1500
 
 
+def test_a_key_meets_a_few_arcs_however_large_the_ring(spark, keys):
+    labels = [f"n{i}" for i in range(400)]
+    nodes = spark.createDataFrame(list(enumerate(labels)), "node_index int, node string")
+    arcs = ring.build_arcs(ring.build_ring(nodes))
+    assigned = ring.assign(keys, arcs, max_broadcast=0)
+    plan = assigned._jdf.queryExecution().analyzed().toString()
+    plain = PlainRing(labels)
+    assert {(r.key, r.node) for r in assigned.collect()} == {(k, plain.of(k)) for k in (f"suggest:{i}" for i in range(3000))}
+    # 60,001 arcs in 2 ** 14 slices; an owner is found by one join.
+    assert "shiftright(pos" in plan and ", 50)" in plan and plan.count("Join ") == 1
+
+
 def test_single_node_owns_all(spark, keys):
     arcs = ring.build_arcs(ring.build_ring(ring.nodes_from_spec(spark, "h:1"), 1))
     assert {r.node for r in ring.assign(keys, arcs).collect()} == {"node-0 (h:1/0)"}
