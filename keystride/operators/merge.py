@@ -48,11 +48,18 @@ def upsert(base: DataFrame, *deltas: DataFrame) -> DataFrame:
 def last_line_wins(lines: DataFrame, order: list[str | Column]) -> DataFrame:
     """One row per query: the line that comes last in ``order``.
 
-    An aggregation, not a window: a query repeated on a third of the lines folds before the shuffle.
+    An aggregation, not a window: a query repeated on a third of the lines folds before the shuffle. By
+    one column, lines without a number coming first, each column has an aggregate of its own, all of
+    which choose the same line: numbers are then folded by hashing, where structs would be sorted.
     """
     others = [c for c in lines.columns if c != "query"]
-    last = F.max_by(F.struct(*others), F.struct(*order))
-    return lines.groupBy("query").agg(last.alias("_last")).select("query", "_last.*")
+    if len(order) > 1 or not isinstance(order[0], str):
+        last = F.max_by(F.struct(*others), F.struct(*order))
+        return lines.groupBy("query").agg(last.alias("_last")).select("query", "_last.*")
+    key = F.col(order[0])
+    unnumbered = F.when(key.isNull(), F.lit(True))
+    lasts = [F.when(F.count(key) > 0, F.max_by(c, key)).otherwise(F.max_by(c, unnumbered)).alias(c) for c in others]
+    return lines.groupBy("query").agg(*lasts)
 
 
 def as_dictionary(lines: DataFrame, loaded_at: Column) -> DataFrame:

@@ -51,6 +51,14 @@ def test_last_line_wins_across_files(spark, tmp_path, values):
     assert got == [("bar", 2), ("foo", 8)]
 
 
+def test_last_line_wins_by_a_number_that_may_be_missing(spark, values):
+    rows = [("a", 1, 10), ("a", 3, None), ("a", None, 30), ("b", None, 5), ("c", 2, 7), ("c", 1, 8), (None, 4, 1)]
+    found = merge.last_line_wins(spark.createDataFrame(rows, "query string, line_no long, count long"), ["line_no"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [("a", 3, None), ("b", None, 5), ("c", 2, 7), (None, 4, 1)], key=repr)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_written_files_read_back(spark, tmp_path, values):
     rows = [('q"uote', 1), ("com,ma", 2), (' lead "and" , tail', 3), ("plain", -4), ("bé", 5), ('"both"', 6)]
     corpus = spark.createDataFrame(rows, "query string, count long").repartition(3)
