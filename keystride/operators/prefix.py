@@ -149,7 +149,7 @@ def prefix_recency(dictionary: DataFrame, scores: DataFrame, prefix: str, k: int
     pool = candidate_pool(k) if pool == -1 else pool
     found = starting_with(dictionary, prefix).select("query", "query_norm", "count")
     if pool is None:
-        scored = with_scores(found, scores)
+        scored = materialize(with_scores(found, scores))  # read for both maxima and for the rows
         tops = scored.agg(F.max("count").alias("c"), F.max("level").alias("s"))
         top_count, top_score = tops.select("c").scalar(), tops.select("s").scalar()
     else:

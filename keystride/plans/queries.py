@@ -166,7 +166,7 @@ def prefix_recency(v):
 
 @query
 def prefix_recency_unpooled(v):
-    top = prefix.prefix_recency(v.search_query, scores(v), PREFIX, pool=None)
+    top = prefix.prefix_recency(v.kept_query, scores(v), PREFIX, pool=None)
     return top.select("rank", "query", "count", r6("score"), r6("blended"))
 
 
@@ -322,7 +322,7 @@ def requeue_merge(v):
 
 
 def _base(v: TestViews) -> DataFrame:
-    return merge.as_dictionary(v.search_query, at(LOADED_AT))
+    return merge.as_dictionary(v.kept_query, at(LOADED_AT))
 
 
 def _rows(stored: DataFrame) -> DataFrame:
@@ -427,9 +427,9 @@ def _arcs(v: TestViews) -> DataFrame:
 
 def _stored(v: TestViews, mode: str = "POPULARITY") -> DataFrame:
     if mode == "RECENCY":
-        top = prefix.all_prefix_recency(v.search_query, scores(v), cluster=not v.laid_out)
+        top = prefix.all_prefix_recency(v.kept_query, scores(v), cluster=not v.laid_out)
     else:
-        top = prefix.all_prefix_top(v.search_query, cluster=not v.laid_out)
+        top = prefix.all_prefix_top(v.kept_query, cluster=not v.laid_out)
     return serving.materialize_lists(top, _arcs(v), at(AS_OF), mode)
 
 
@@ -471,7 +471,7 @@ def materialized_else_compute(v):
     stored = _stored(v).unionByName(_stored(v, "RECENCY"))
     odd = F.char_length("cache_key") % 2 == 1
     stored = stored.withColumn("expires_at", F.when(odd, at(AS_OF)).otherwise(F.col("expires_at")))
-    answered = serving.answer(_requests(v), stored, v.search_query, scores(v), at(AS_OF))
+    answered = serving.answer(_requests(v), stored, v.kept_query, scores(v), at(AS_OF))
     return answered.select("req_id", "prefix", "mode", "source", "value")
 
 
@@ -482,7 +482,7 @@ def list_store_answers(v):
     odd = F.char_length("cache_key") % 2 == 1
     store = ListStore(v.spark, work_dir(v.spark, "list-store"), buckets=8)
     store.write(stored.withColumn("expires_at", F.when(odd, at(AS_OF)).otherwise(F.col("expires_at"))))
-    answered = serving.answer(_requests(v), store.read(), v.search_query, scores(v), at(AS_OF))
+    answered = serving.answer(_requests(v), store.read(), v.kept_query, scores(v), at(AS_OF))
     return answered.select("req_id", "prefix", "mode", "source", "value")
 
 

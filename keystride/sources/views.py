@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from keystride.functions import text
 from keystride.operators.prefix import sort_for_prefixes
 from keystride.params import MAX_QUERY_LENGTH
+from keystride.session import materialize
 
 # Events name one of the 100 most frequent words by its position, 0 to 99.
 POSITIONS = 100
@@ -28,10 +29,11 @@ def searched_queries(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     order = [F.desc("count"), F.asc("query")]
     frequent = dictionary.select("query", "count").orderBy(*order).limit(POSITIONS)
-    frequent = frequent.select("query", (F.row_number().over(Window.orderBy(*order)) - 1).alias("k"))
+    # 100 rows at most, kept: each reader of the events would count the dictionary's words again.
+    frequent = materialize(frequent.select("query", (F.row_number().over(Window.orderBy(*order)) - 1).alias("k")))
     k = F.get_json_object("props", "$.k").cast("int")
     outside = F.raise_error(F.lit(f"event position names none of the {POSITIONS} most frequent queries"))
-    # 100 rows at most. A null position meets no query either.
+    # A null position meets no query either.
     named = events.withColumn("k", k).join(F.broadcast(frequent), "k", "left")
     named = named.withColumn("query", F.coalesce("query", outside.cast("string")))
     turn = F.col("event_id") % 3
@@ -75,16 +77,22 @@ class TestViews:
     @property
     def overlong(self) -> Column:
         """Words that validation rejects as searches."""
-        return text.utf16_length(F.col("w")) > MAX_QUERY_LENGTH
+        # No text has more units than bytes, and hardly a word has so many bytes.
+        return (F.octet_length("w") > MAX_QUERY_LENGTH) & (text.utf16_length(F.col("w")) > MAX_QUERY_LENGTH)
 
     @cached_property
     def search_query(self) -> DataFrame:
         counted = self.doc_word.groupBy(F.col("w").alias("query")).agg(F.count(F.lit(1)).alias("count"))
         return counted.select("query", text.normalize(F.col("query")).alias("query_norm"), "count")
 
+    @cached_property
+    def kept_query(self) -> DataFrame:
+        """``search_query`` written once, for jobs that read it several times."""
+        return self.search_query if self.laid_out else materialize(self.search_query)
+
     @cached_property
     def raw_event(self) -> DataFrame:
-        return searched_queries(self.table("events"), self.search_query)
+        return searched_queries(self.table("events"), self.kept_query)
 
     @cached_property
     def search_event(self) -> DataFrame:
