@@ -120,13 +120,17 @@ class PrefixLists(RangeTable):
 
         def combine(buffers: DataFrame, entering: DataFrame) -> DataFrame:
             nonlocal anew
+            # A few prefixes of a range change; the others' buffers are written again as they are.
+            met = materialize(entering.select("prefix").distinct())
+            met = F.broadcast(met) if met.count() <= MAX_BROADCAST_ROWS else met
+            same, buffers = (buffers.join(met, "prefix", how).select(*COLUMNS) for how in ("left_anti", "left_semi"))
             after = materialize(apply_changes(buffers, entering.where("count is not null"), changed, self.k, self.spare))
             dry = materialize(after.where("dry").select("prefix").distinct())
             anew = dry.count()
             if not anew:
-                return after.drop("dry")
+                return same.unionByName(after.drop("dry"))
             fresh = build_buffers(dictionary.read_for(dry, "prefix", beginnings=True), self.k, self.spare, wanted=dry)
-            return after.where("not dry").drop("dry").unionByName(fresh)
+            return same.unionByName(after.where("not dry").drop("dry")).unionByName(fresh)
 
         self.merge(entering.unionByName(gone), "prefix", combine, batch_id)
         return anew

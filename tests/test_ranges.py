@@ -117,6 +117,24 @@ def test_deleted_queries_leave_the_lists(spark, dictionary, values, tmp_path):
     assert values(lists.lists(), *LIST) == values(all_prefix_top(dictionary.read(), 3), *LIST)
 
 
+def test_only_changed_prefixes_are_ranked_again(spark, dictionary, values, tmp_path, monkeypatch):
+    lists = upkeep.PrefixLists(spark, str(tmp_path / "l"), k=3, spare=3, target_rows=10_000)
+    lists.build(dictionary)
+    seen, apply = [], upkeep.apply_changes
+
+    def watched(buffers, *rest):
+        seen.extend(r.prefix for r in buffers.select("prefix").distinct().collect())
+        return apply(buffers, *rest)
+
+    monkeypatch.setattr(upkeep, "apply_changes", watched)
+    query = dictionary.read().where("char_length(query_norm) > 2").orderBy("query").first().query_norm
+    deltas = counts(spark, [(query, 1000)])
+    dictionary.upsert(deltas)
+    lists.update(dictionary, deltas)
+    assert sorted(seen) == [query[:n] for n in range(1, len(query) + 1)]
+    assert values(lists.lists(), *LIST) == values(all_prefix_top(dictionary.read(), 3), *LIST)
+
+
 def test_an_update_reads_only_touched_ranges(spark, dictionary, tmp_path):
     lists = upkeep.PrefixLists(spark, str(tmp_path / "l"), k=3, spare=3, target_rows=60)
     lists.build(dictionary)
